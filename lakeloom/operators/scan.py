@@ -3,13 +3,18 @@ last-value carry (as-of).
 
 A ``Window.partitionBy(key)`` puts every row of a key into one task, so a key
 holding a third of the data becomes a third of the job on one core.  These
-operators instead range-partition on ``(keys, order)``: the range partitioner
-samples the composite key, so a hot key is cut into many order-contiguous
-chunks.  Each chunk is scanned locally (window over ``(keys, chunk)``), a
-summary of at most ``groups x chunks`` rows yields the carry-in from earlier
-chunks, and a join on ``(keys, chunk)`` adds it back.  Rows with equal
-``(keys, order)`` always land in the same chunk, which keeps ``rank`` and
-``dense_rank`` exact across chunk borders.
+operators cut the composite sort key ``(keys, order)`` into chunks at
+quantile bounds taken from a seeded sample: a hot key spans many chunks, and
+rows with equal ``(keys, order)`` always share a chunk, which keeps ``rank``
+and ``dense_rank`` exact across chunk borders.  Each chunk is scanned locally
+(window over ``(keys, chunk)``, one shuffle), a summary of at most
+``groups x chunks`` rows gives the carry-in from earlier chunks, and a join
+on ``(keys, chunk)`` adds it back.
+
+The chunk id is a pure function of the row (a binary-search ``CASE`` tree
+over literal bounds), so both branches of the plan, and any task re-run after
+an executor loss, compute the same chunk for the same row.  Order
+expressions are ascending.
 """
 
 from __future__ import annotations
@@ -20,16 +25,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PID = "__chunk"
+SAMPLE_PER_CHUNK = 20      # sampled rows per chunk when picking bounds
+SMALL_INPUT_ROWS = 200_000  # below this, one chunk per group is cheap enough
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
+def _sort_key(keys: Sequence[str], order: Sequence[Column]) -> Column:
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+                    *[o.alias(f"o{i}") for i, o in enumerate(order)])
+
+
+def chunk_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[Column], num_chunks: int,
+                 seed: int = 17) -> list:
+    """Up to ``num_chunks - 1`` ascending, distinct bounds of the composite sort key.
+
+    Driver traffic is bounded by ``SAMPLE_PER_CHUNK * num_chunks`` rows.
+    """
+    total = df.count()
+    if total <= SMALL_INPUT_ROWS or num_chunks <= 1:
+        return []
+    frac = min(1.0, SAMPLE_PER_CHUNK * num_chunks / total)
+    key = _sort_key(keys, order).alias("__k")
+    sample = [r["__k"] for r in df.select(key).sample(fraction=frac, seed=seed).orderBy("__k").collect()]
+    if not sample:
+        return []
+    bounds = []
+    for i in range(1, num_chunks):
+        b = sample[min(len(sample) - 1, i * len(sample) // num_chunks)]
+        if not bounds or b != bounds[-1]:
+            bounds.append(b)
+    return bounds
+
+
+def _chunk_expr(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bounds: list) -> Column:
+    """Number of bounds <= the row's sort key, as a balanced CASE tree (log2 depth)."""
+    if not bounds:
+        return F.lit(0)
+    key_type = df.select(_sort_key(keys, order).alias("__k")).schema["__k"].dataType
+    row = _sort_key(keys, order)
+
+    def lit_bound(b) -> Column:
+        return F.struct(*[F.lit(b[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(key_type.fields)])
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(row < lit_bound(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    return tree(0, len(bounds))
+
+
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
              num_chunks: int | None) -> DataFrame:
     n = num_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *_cols(keys), *order).withColumn(_PID, F.spark_partition_id())
+    bounds = chunk_bounds(df, keys, order, n)
+    return df.withColumn(_PID, _chunk_expr(df, keys, order, bounds))
 
 
 def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
