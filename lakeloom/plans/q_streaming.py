@@ -1 +1,47 @@
-"""Registered queries."""
+"""Registered streaming queries: each runs a Structured Streaming job over a file
+stream of a driver table (trigger ``availableNow``) into the shared checkpoint
+folder, then reads its sink back as a batch DataFrame."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lakeloom.plans.registry import register
+from lakeloom.sources.tables import load
+from lakeloom.streaming.state import read_materialized_view, start_materialized_view
+from lakeloom.streaming.topics import event_time, start_stream_job
+
+
+def events_stream(s, d, max_files_per_trigger: int | None = None):
+    schema = load(s, d, "events").schema
+    # the file source watches a folder; the glob keeps it to the one table
+    r = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(d)
+
+
+@register("stream_filter", oracle="""
+select event_id, user_id, event_type, value, ts from events where value > 50""")
+def q_stream_filter(s, d):
+    view = f"events_stream_{uuid.uuid4().hex[:8]}"
+    events_stream(s, d).createOrReplaceTempView(view)
+    job = start_stream_job(s, f"stream_filter_{uuid.uuid4().hex[:8]}",
+                           f"SELECT event_id, user_id, event_type, value, ts FROM {view} WHERE value > 50")
+    job.query.awaitTermination()
+    return s.read.schema("event_id long, user_id long, event_type string, value double, ts timestamp_ntz"
+                         ).parquet(job.sink_path)
+
+
+@register("stream_latest_state", oracle="""
+select user_id, event_id, event_type, value, ts from (
+  select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) x
+where rn = 1""")
+def q_stream_latest_state(s, d):
+    stream = event_time(events_stream(s, d), "ts").select("user_id", "event_id", "event_type", "value", "ts")
+    q, path = start_materialized_view(stream, ["user_id"], ["ts", "event_id"], name=f"mv_{uuid.uuid4().hex[:8]}")
+    q.awaitTermination()
+    mv = read_materialized_view(s, path, ["user_id"], ["ts", "event_id"])
+    return mv.select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
