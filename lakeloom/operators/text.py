@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.functions.scalar import is_upper_text
 from lakeloom.functions.text import html_to_text, line_break_pattern, strip_pattern, ws_class
@@ -18,13 +19,13 @@ DEFAULT_SYSTEM_PROMPT = "You are a data assistant. Answer questions about the ex
 PAGE_BREAK = "\n---\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text_udf(html: pd.Series) -> pd.Series:
     """Stripped text nodes joined by newlines."""
     return html.map(lambda h: html_to_text(h, "\n", True))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_raw_text_udf(html: pd.Series) -> pd.Series:
     """Raw concatenation of text nodes."""
     return html.map(lambda h: html_to_text(h, "", False))
