@@ -36,7 +36,8 @@ def cells(records: DataFrame, order_col: str = "row_idx", json_col: str = "recor
     """One row per (record, key): ``(row_idx, key, ordinal, value variant, sql_type)``."""
     v = records.select(F.col(order_col).alias("row_idx"), F.parse_json(json_col).alias("v"),
                        F.json_object_keys(json_col).alias("keys"))
-    e = v.select("row_idx", "keys", F.expr("variant_explode(v)").alias("pos", "key", "value"))
+    obj = F.try_variant_get("v", "$", "map<string,variant>")
+    e = v.select("row_idx", "keys", F.explode(obj).alias("key", "value"))
     return e.select("row_idx", "key", (F.array_position("keys", F.col("key")) - 1).alias("ordinal"), "value",
                     F.expr(_sql_type("schema_of_variant(value)")).alias("sql_type"))
 

@@ -106,7 +106,7 @@ def database_to_lakehouse(spark: SparkSession, jdbc_url: str, source: str, targe
     df = JDBC.read_table(spark, jdbc_url, table=None if is_query else source, query=source if is_query else None,
                          partition_column=partition_column, num_partitions=num_partitions, properties=properties)
     if K.table_exists(spark, target_table):
-        df.writeTo(target_table).append()
+        K.append_rows(df, target_table)
     else:
         K.create_table(df, target_table)
 

@@ -71,6 +71,14 @@ def create_table(df: DataFrame, name: str, primary_key: str | None = None, fmt:
     w.create()
 
 
+def append_rows(df: DataFrame, name: str) -> None:
+    """Append by column name (absent columns NULL) to an existing catalog table."""
+    target = df.sparkSession.table(name).schema
+    out = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                      for f in target.fields])
+    out.write.insertInto(name)
+
+
 def primary_key_of(spark: SparkSession, name: str) -> str | None:
     props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
     return props.get("primary_key")
@@ -98,7 +106,7 @@ def insert_rows(df: DataFrame, name: str, create_if_not_exists: bool = True, pri
             target = f"{name}_{collision_suffix}"
             create_table(df, target, key)
             return {"table": target, "created": True, "collision": True}
-    df.writeTo(name).append()
+    append_rows(df, name)
     return {"table": target, "created": False}
 
 
@@ -177,7 +185,7 @@ def stats_insert(df: DataFrame, table: str, name: str | None = None, update_if_e
     else:
         rows = conform(fill_defaults(df.drop(order) if order else df, table), table)
         if table_exists(spark, name):
-            rows.writeTo(name).append()
+            append_rows(rows, name)
         else:
             create_table(rows, name, key or "id")
     return spark.table(name)
