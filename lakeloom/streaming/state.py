@@ -34,8 +34,9 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def start_materialized_view(stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str | None = None,
                             checkpoint: str | None = None, trigger: str | None = "available_now",
-                            name: str = "mv") -> tuple[StreamingQuery, str]:
-    """Keep the latest row per key of a stream in a changelog at ``path``."""
+                            name: str = "mv", output_mode: str = "append") -> tuple[StreamingQuery, str]:
+    """Keep the latest row per key of a stream in a changelog at ``path``.
+    Use ``output_mode='update'`` when the stream is a stateful aggregation."""
     spark = stream.sparkSession
     path = path or scratch_path(spark, f"mv/{name}/log")
     checkpoint = checkpoint or scratch_path(spark, f"mv/{name}/checkpoint")
@@ -43,7 +44,7 @@ def start_materialized_view(stream: DataFrame, keys: Sequence[str], order: Seque
     def sink(batch: DataFrame, batch_id: int) -> None:
         _write_batch(latest_per_key(batch, keys, order), path, batch_id)
 
-    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(output_mode)
          .queryName(name).trigger(**trigger_kwargs(trigger)).start())
     return q, path
 
