@@ -24,7 +24,9 @@ def register_scalar(spark: SparkSession, name: str, fn: Callable[[pd.Series], pd
 def register_aggregate(spark: SparkSession, name: str, fn: Callable[[pd.Series], Any], return_type: str):
     """A grouped-aggregate pandas UDF (Series -> scalar); note that these do
     not combine map-side, so each group's values meet in one task."""
-    f = F.pandas_udf(fn, return_type)
+    def agg(s: pd.Series) -> float:   # Series -> scalar hint makes it a grouped aggregate
+        return fn(s)
+    f = F.pandas_udf(agg, return_type)
     return spark.udf.register(name, f)
 
 
