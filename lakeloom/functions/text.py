@@ -35,6 +35,11 @@ def line_break_pattern(dialect: str = "java") -> str:
     return "\\r\\n|[" + "".join(cp(c) for c in LINE_BREAKS) + "]"
 
 
+def whitespace_chars() -> str:
+    """All characters of ``WHITESPACE_RANGES``, for ``trim(BOTH chars FROM s)``."""
+    return "".join(chr(c) for a, b in WHITESPACE_RANGES for c in range(a, b + 1))
+
+
 def strip_pattern(dialect: str = "java") -> str:
     w = ws_class(dialect)
     return f"^{w}+|{w}+$"

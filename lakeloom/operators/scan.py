@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PID = "__chunk"
-SAMPLE_PER_CHUNK = 20      # sampled rows per chunk when picking bounds
-SMALL_INPUT_ROWS = 200_000  # below this, one chunk per group is cheap enough
+SAMPLE_PER_CHUNK = 20               # sampled rows per chunk when picking bounds
+SMALL_INPUT_BYTES = 256 * 1024 * 1024  # below this (plan estimate), one chunk per group is cheap enough
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -42,14 +42,23 @@ def chunk_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nu
                  seed: int = 17) -> list:
     """Up to ``num_chunks - 1`` ascending, distinct bounds of the composite sort key.
 
-    Driver traffic is bounded by ``SAMPLE_PER_CHUNK * num_chunks`` rows.
+    The decision and the sample fraction come from Catalyst's size estimate of
+    the input plan (no job); only a large input pays for sampling (a count of
+    the sample and its collection), and the driver sees about
+    ``SAMPLE_PER_CHUNK * num_chunks`` rows whatever the estimate was.
     """
-    total = df.count()
-    if total <= SMALL_INPUT_ROWS or num_chunks <= 1:
+    est_bytes, est_rows = _estimate(df)
+    if est_bytes <= SMALL_INPUT_BYTES or num_chunks <= 1:
         return []
-    frac = min(1.0, SAMPLE_PER_CHUNK * num_chunks / total)
+    want = SAMPLE_PER_CHUNK * num_chunks
+    frac = min(1.0, want / max(est_rows, 1))
     key = _sort_key(keys, order).alias("__k")
-    sample = [r["__k"] for r in df.select(key).sample(fraction=frac, seed=seed).orderBy("__k").collect()]
+    sampled = df.select(key).sample(fraction=frac, seed=seed)
+    got = sampled.count()
+    if got > 4 * want:
+        # the size estimate was low: thin the sample so the driver sees ~want rows
+        sampled = sampled.sample(fraction=want / got, seed=seed + 1)
+    sample = [r["__k"] for r in sampled.orderBy("__k").collect()]
     if not sample:
         return []
     bounds = []
@@ -60,6 +69,18 @@ def chunk_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nu
     return bounds
 
 
+def _estimate(df: DataFrame) -> tuple[int, int]:
+    """(bytes, rows) from the optimized plan's statistics; rows fall back to
+    bytes / row width when no row count is known."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    size = int(str(stats.sizeInBytes()))
+    rc = stats.rowCount()
+    if rc.isDefined():
+        return size, int(str(rc.get()))
+    width = max(1, int(str(df._jdf.schema().defaultSize())))
+    return size, size // width
+
+
 def _chunk_expr(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bounds: list) -> Column:
     """Number of bounds <= the row's sort key, as a balanced CASE tree (log2 depth)."""
     if not bounds:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.functions.scalar import is_upper_text
-from lakeloom.functions.text import html_to_text, line_break_pattern, strip_pattern, ws_class
+from lakeloom.functions.text import html_to_text, line_break_pattern, whitespace_chars, ws_class
 
 DEFAULT_SYSTEM_PROMPT = "You are a data assistant. Answer questions about the extracted tables."
 PAGE_BREAK = "\n---\n"
@@ -41,7 +41,7 @@ def page_text(pages: DataFrame, raw: bool = False) -> DataFrame:
 def _lines(text: Column) -> Column:
     """``str.splitlines`` then ``str.strip`` per line, blanks dropped."""
     parts = F.split(text, line_break_pattern("java"))
-    stripped = F.transform(parts, lambda l: F.regexp_replace(l, strip_pattern("java"), ""))
+    stripped = F.transform(parts, lambda l: F.trim(l, F.lit(whitespace_chars())))
     return F.filter(stripped, lambda l: l != "")
 
 

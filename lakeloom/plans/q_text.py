@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions.scalar import round6
-from lakeloom.functions.text import line_break_pattern, strip_pattern, ws_class
+from lakeloom.functions.text import line_break_pattern, whitespace_chars, ws_class
 from lakeloom.operators import text as X
 from lakeloom.operators.vectors import label_centroids, topk_cosine
 from lakeloom.plans.registry import register
+from lakeloom.session import spread
 from lakeloom.sources.tables import load
 
 
 @register("page_text_rows")
 def q_page_text_rows(s, d):
-    return X.page_text(load(s, d, "pages"))
+    return X.page_text(spread(load(s, d, "pages")))
 
 
 @register("page_raw_text")
 def q_page_raw_text(s, d):
-    return X.page_text(load(s, d, "pages"), raw=True)
+    return X.page_text(spread(load(s, d, "pages")), raw=True)
 
 
 def _md_sql(col: str) -> str:
-    nl, strip, ws = line_break_pattern("re2"), strip_pattern("re2"), ws_class("re2")
+    nl, ws = line_break_pattern("re2"), ws_class("re2")
+    chars = "".join(f"chr({ord(c)})" if i == 0 else f" || chr({ord(c)})" for i, c in enumerate(whitespace_chars()))
     lines = (f"list_filter(list_transform(regexp_split_to_array({col}, '{nl}'), "
-             f"lambda x: regexp_replace(x, '{strip}', '', 'g')), lambda x: x <> '')")
+             f"lambda x: trim(x, {chars})), lambda x: x <> '')")
     fmt = (f"list_transform({lines}, lambda x: case "
            f"when x = upper(x) and x <> lower(x) and len(regexp_split_to_array(x, '{ws}+')) < 10 then '## ' || x "
            f"when suffix(x, ':') then '**' || x || '**' else x end)")
@@ -37,14 +39,14 @@ def _md_sql(col: str) -> str:
 @register("text_to_markdown", oracle=f"""
 select doc_id, {_md_sql('text')} as markdown from documents""")
 def q_text_to_markdown(s, d):
-    docs = load(s, d, "documents")
+    docs = spread(load(s, d, "documents"))
     return docs.select("doc_id", X.text_to_markdown(F.col("text")).alias("markdown"))
 
 
 @register("markdown_roundtrip", oracle=f"""
 select doc_id, {X.markdown_rules_sql(_md_sql('text'))} as plain from documents""")
 def q_markdown_roundtrip(s, d):
-    docs = load(s, d, "documents")
+    docs = spread(load(s, d, "documents"))
     return docs.select("doc_id", X.markdown_to_text(X.text_to_markdown(F.col("text"))).alias("plain"))
 
 

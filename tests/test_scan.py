@@ -16,7 +16,7 @@ def _skewed(spark):
 
 
 def _force_chunks(monkeypatch):
-    monkeypatch.setattr(scan, "SMALL_INPUT_ROWS", 0)
+    monkeypatch.setattr(scan, "SMALL_INPUT_BYTES", 0)
 
 
 def test_chunk_bounds_split_hot_key(spark, monkeypatch):
