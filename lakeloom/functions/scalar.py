@@ -79,3 +79,45 @@ def calc(a: str | Column, b: str | Column, op: str) -> Column:
     if op == "/":
         return a / b
     raise ValueError(f"unsupported operator {op!r}")
+
+
+def json_path(c: str | Column, path: str, default=None) -> Column:
+    """a JSON path value with a default when missing or malformed."""
+    v = F.get_json_object(col(c), path)
+    return v if default is None else F.coalesce(v, F.lit(default))
+
+
+def json_normalize(c: str | Column) -> Column:
+    """parse and re-render JSON text compactly; malformed text becomes NULL."""
+    return F.to_json(F.try_parse_json(col(c)))
+
+
+def date_text(c: str | Column) -> Column:
+    """``YYYY-MM-DD``."""
+    return F.date_format(col(c), "yyyy-MM-dd")
+
+
+def truncate_units(c: str | Column) -> Column:
+    """prices truncated toward zero to whole units (like an int64 cast)."""
+    return col(c).cast("long")
+
+
+def to_db_value(c: str | Column, data_type=None) -> Column:
+    """F8: nested values (struct, array, map) to JSON text, dates to midnight
+    timestamps, others unchanged; ``data_type`` is the column's Spark type."""
+    from pyspark.sql import types as T
+    if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(col(c))
+    if isinstance(data_type, T.DateType):
+        return col(c).cast("timestamp")
+    return col(c)
+
+
+def now() -> Column:
+    """the query's timestamp (outside oracle-checked output)."""
+    return F.current_timestamp()
+
+
+def new_id() -> Column:
+    """a random UUID text."""
+    return F.expr("uuid()")

@@ -233,3 +233,12 @@ def drop_old_partitions(spark: SparkSession, path: str, column: str, keep_after:
                 fs.delete(st.getPath(), True)
                 dropped.append(os.path.join(path, name))
     return sorted(dropped)
+
+
+def convert_format(spark: SparkSession, src: str, in_fmt: str, dst: str, out_fmt: str,
+                   read_options: dict | None = None, write_options: dict | None = None) -> None:
+    """Record-to-record format conversion (any readable format to any writable one)."""
+    r = spark.read.format(in_fmt).options(**(read_options or {}))
+    if in_fmt == "csv":
+        r = r.option("header", (read_options or {}).get("header", "true"))
+    write_files(r.load(src), dst, out_fmt, mode="overwrite", options=write_options)
