@@ -63,3 +63,19 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(ORACLES[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert _rows(srecs, sdf.columns) == _rows(rel.fetchall(), rel.columns)
+
+
+def test_approx_users_close_to_exact(spark):
+    from pyspark.sql import functions as F
+    from lakeloom.sources.tables import load
+    approx = {r["event_type"]: r["approx_users"] for r in QUERIES["approx_users"](spark, SF).collect()}
+    exact = {r["event_type"]: r["n"] for r in load(spark, SF, "events").groupBy("event_type")
+             .agg(F.count_distinct("user_id").alias("n")).collect()}
+    assert approx.keys() == exact.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.03 * exact[k]) for k in exact)
+
+
+def test_page_text_is_visible_text_only(spark):
+    rows = QUERIES["page_text_rows"](spark, SF).collect()
+    assert rows and all("<" not in r["text"] and "track(" not in r["text"] for r in rows)
+    assert all(r["n_lines"] == len(r["text"].split("\n")) for r in rows)

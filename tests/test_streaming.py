@@ -21,6 +21,15 @@ def _tmp(kind):
     return tempfile.mkdtemp(prefix=f"lakeloom-{kind}-")
 
 
+def _in_order(folder):
+    """The file source reads files by modification time: give the range-ordered
+    part files strictly increasing times so arrival order follows event time."""
+    parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+    for i, f in enumerate(parts):
+        os.utime(os.path.join(folder, f), (1_700_000_000 + i, 1_700_000_000 + i))
+    return folder
+
+
 def _land_json(lines, folder, name):
     with open(os.path.join(folder, name), "w") as f:
         f.write("\n".join(lines) + "\n")
@@ -69,7 +78,7 @@ def _events_folder(spark, parts=4):
     out = _tmp("events") + "/e"
     e = load(spark, SF, "events")
     e.repartitionByRange(parts, "ts").write.parquet(out)
-    return out, e.schema
+    return _in_order(out), e.schema
 
 
 def test_sampler_matches_batch(spark):
@@ -132,6 +141,7 @@ def test_stream_stream_latency_join(spark):
 def _run_status(spark, ev, delay, parts):
     folder = _tmp("status") + "/s"
     ev.repartitionByRange(parts, "at").write.parquet(folder)
+    _in_order(folder)
     stream = ST.event_time(ST.file_stream(spark, folder, "parquet", ev.schema, max_files_per_trigger=1), "at")
     out = SS.status_machine(stream.withWatermark("at", delay))
     q, path = SS.start_materialized_view(out.withColumn("seq", F.lit(0)), ["trace_id"], ["seq"],
