@@ -6,10 +6,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.scan import carry_last, grouped_rank
+from lakeloom.operators.scan import carry_last, grouped_rank, needs_chunks
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
@@ -71,15 +71,25 @@ def ordered_analytics(df: DataFrame, key: str, order: Sequence[Column], value: s
     scan; lag/lead are equi-joins on ``(key, rn +- 1)``, which are unique pairs
     and so carry no skew; first value and group size join on ``key`` against one
     row per key."""
+    if not needs_chunks(df):
+        # small input: one window per key gives the same columns in one pass
+        w = Window.partitionBy(key).orderBy(*order)
+        return df.select(
+            *id_cols, key, F.row_number().over(w).cast("long").alias("rn"), value,
+            F.lag(value).over(w).alias("lag_value"), F.lead(value).over(w).alias("lead_value"),
+            F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first_value"),
+            F.ntile(tiles).over(w).cast("long").alias("ntile"),
+            F.count(F.lit(1)).over(Window.partitionBy(key)).alias("cnt"))
     ranked = grouped_rank(df, [key], list(order), "rn")
     base = ranked.select(key, "rn", value, *id_cols)
     nxt = base.select(F.col(key).alias("__k"), (F.col("rn") - 1).alias("__rn"), F.col(value).alias("lead_value"))
     prv = base.select(F.col(key).alias("__k"), (F.col("rn") + 1).alias("__rn"), F.col(value).alias("lag_value"))
-    per_key = base.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"),
-                                    F.min_by(value, "rn").alias("first_value"))
-    j = (base.join(prv, (base[key] == prv["__k"]) & (base["rn"] == prv["__rn"]), "left").drop("__k", "__rn")
-         .join(nxt, (F.col(key) == nxt["__k"]) & (F.col("rn") == nxt["__rn"]), "left").drop("__k", "__rn")
-         .join(per_key, key))
+    per_key = base.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("cnt"),
+                                                        F.min_by(value, "rn").alias("first_value"))
+    # null-safe on the key: a NULL key is still a group
+    j = (base.join(prv, base[key].eqNullSafe(prv["__k"]) & (base["rn"] == prv["__rn"]), "left").drop("__k", "__rn")
+         .join(nxt, F.col(key).eqNullSafe(nxt["__k"]) & (F.col("rn") == nxt["__rn"]), "left").drop("__k", "__rn")
+         .join(per_key, F.col(key).eqNullSafe(per_key["__k"])).drop("__k"))
     # ntile: the first (cnt % n) tiles hold one extra row
     q = F.floor(F.col("cnt") / tiles)
     r = F.col("cnt") % tiles

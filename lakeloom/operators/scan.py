@@ -100,12 +100,21 @@ def _chunk_expr(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bou
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-             num_chunks: int | None) -> DataFrame:
+             num_chunks: int | None) -> DataFrame | None:
+    """The input with a chunk column, or None when one chunk per group will do
+    (small input): callers then use a plain window, which gives the same answer."""
     n = num_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = chunk_bounds(df, keys, order, n)
+    if not bounds:
+        return None
     return df.withColumn(_PID, _chunk_expr(df, keys, order, bounds))
 
 
+def needs_chunks(df: DataFrame) -> bool:
+    """Whether ordered scans over ``df`` are chunked (input above the size bound)."""
+    return _estimate(df)[0] > SMALL_INPUT_BYTES
+
+
 def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     # null-safe on the group keys: a NULL group is still a group
     c = carry.select(*[F.col(k).alias(f"__ck_{k}") for k in keys], F.col(_PID).alias("__cpid"),
@@ -126,6 +135,10 @@ def grouped_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     base = df.select("*", *[m.alias(f"__m_{name}") for name, m in measures.items()])
     ranged = _chunked(base, keys, order, num_chunks)
     end = Window.currentRow if inclusive else -1
+    if ranged is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return base.select(*[F.col(c) for c in df.columns],
+                           *[F.coalesce(F.sum(f"__m_{n}").over(w), F.lit(0)).alias(n) for n in measures])
     w_local = Window.partitionBy(*keys, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = ranged.select(
         "*", *[F.coalesce(F.sum(f"__m_{n}").over(w_local), F.lit(0)).alias(f"__l_{n}") for n in measures])
@@ -146,8 +159,10 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     For ``row_number`` the order must be total within a group.
     """
     ranged = _chunked(df, keys, order, num_chunks)
-    w_local = Window.partitionBy(*keys, _PID).orderBy(*order)
     fn = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}[method]
+    if ranged is None:
+        return df.withColumn(out_col, fn().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    w_local = Window.partitionBy(*keys, _PID).orderBy(*order)
     local = ranged.withColumn("__l", fn().over(w_local).cast("long"))
     if method == "dense_rank":
         # distinct order values per chunk; equal values never straddle chunks
@@ -168,6 +183,10 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     before it within ``keys`` (forward fill across chunk borders)."""
     base = df.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
     ranged = _chunked(base, keys, order, num_chunks)
+    if ranged is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return base.select(*[F.col(c) for c in df.columns],
+                           *[F.last(f"__v_{n}", ignorenulls=True).over(w).alias(n) for n in values])
     w_local = Window.partitionBy(*keys, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(w_local).alias(f"__l_{n}")
                                  for n in values])

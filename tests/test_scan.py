@@ -54,3 +54,29 @@ def test_carry_last_matches_window(spark, monkeypatch):
     w = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.withColumn("last_x", F.last("x", ignorenulls=True).over(w))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_ordered_analytics_chunked_matches_windows(spark, monkeypatch):
+    from lakeloom.operators.joins import ordered_analytics
+    df = _skewed(spark).withColumn("val", F.col("v").cast("double"))
+    plain = ordered_analytics(df, "k", [F.col("v"), F.col("id")], "val", tiles=4, id_cols=["id"])
+    _force_chunks(monkeypatch)
+    chunked = ordered_analytics(df, "k", [F.col("v"), F.col("id")], "val", tiles=4, id_cols=["id"])
+    assert plain.exceptAll(chunked).count() == 0 and chunked.exceptAll(plain).count() == 0
+
+
+def test_asof_join_chunked_matches_plain(spark, monkeypatch):
+    from lakeloom.operators.joins import asof_join
+    left = spark.range(0, 2000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 1000).alias("t"),
+                                       F.col("id").alias("lid"))
+    right = spark.range(0, 500).select((F.col("id") % 3).alias("k"), (F.col("id") * 13 % 1000).alias("t"),
+                                       F.col("id").alias("rid"))
+    plain = asof_join(left, right, ["k"], "t", "t", ["rid"], tie="rid")
+    _force_chunks(monkeypatch)
+    chunked = asof_join(left, right, ["k"], "t", "t", ["rid"], tie="rid")
+    assert plain.exceptAll(chunked).count() == 0 and chunked.exceptAll(plain).count() == 0
+    # brute force: greatest right time <= left time, ties by greatest rid
+    brute = (left.alias("l").join(right.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("r.t") <= F.col("l.t")), "left")
+             .groupBy("l.lid").agg(F.max_by("r.rid", F.struct("r.t", "r.rid")).alias("asof_rid")))
+    got = plain.select("lid", "asof_rid")
+    assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
