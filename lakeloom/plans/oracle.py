@@ -68,10 +68,9 @@ from orders cross join (select 0 as seq, 'submitted' as kind union all select 1,
   union all select 2, 'crew_kickoff_completed' union all select 3, 'api_error') s
 where (s.seq < 2) or (s.seq = 2 and o_orderkey % 4 <> 3) or (s.seq = 3 and o_orderkey % 6 = 0)""",
     "upsert_target": """
-select o_orderkey as k, o_orderstatus as status, o_totalprice as amount from orders where o_orderkey < 100""",
+select c_custkey as k, c_mktsegment as status, c_acctbal as amount from customer where c_acctbal > 0""",
     "upsert_batch": """
-select o_orderkey % 120 as k, o_orderkey as seq, o_orderpriority as status, o_totalprice as amount
-from orders where o_orderkey between 50 and 349""",
+select o_custkey as k, o_orderkey as seq, o_orderpriority as status, o_totalprice as amount from orders""",
     "flow_components": """
 select s_suppkey as component_id, case s_suppkey % 3 when 0 then 'processor' when 1 then 'service' else 'connection' end as kind,
   case when s_suppkey % 3 = 2 then null when s_suppkey % 17 = 0 then 'Invalid' when s_suppkey % 5 = 0 then 'Stopped' else 'Running' end as state,

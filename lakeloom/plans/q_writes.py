@@ -9,18 +9,19 @@ from lakeloom.plans.registry import register
 from lakeloom.sources.derived import view
 from lakeloom.sources.tables import load
 
-# The change feed: the upsert batch with every tenth order turned into a delete.
+# The change feed: every order is a change of its customer's row; low-priority
+# orders are deletes (the latest change per customer decides).
 CDC_FEED_SQL = """
-select o_orderkey % 120 as k, o_orderkey as seq,
-  case when o_orderkey % 10 = 0 then 'delete' else 'upsert' end as op,
+select o_custkey as k, o_orderkey as seq,
+  case when o_orderpriority = '5-LOW' then 'delete' else 'upsert' end as op,
   o_orderpriority as status, o_totalprice as amount
-from orders where o_orderkey between 50 and 349"""
+from orders"""
 
 
 def cdc_feed(s, d):
-    o = load(s, d, "orders").filter(F.col("o_orderkey").between(50, 349))
-    return o.select((F.col("o_orderkey") % 120).alias("k"), F.col("o_orderkey").alias("seq"),
-                    F.when(F.col("o_orderkey") % 10 == 0, "delete").otherwise("upsert").alias("op"),
+    o = load(s, d, "orders")
+    return o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"),
+                    F.when(F.col("o_orderpriority") == "5-LOW", "delete").otherwise("upsert").alias("op"),
                     F.col("o_orderpriority").alias("status"), F.col("o_totalprice").alias("amount"))
 
 

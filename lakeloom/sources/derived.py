@@ -143,14 +143,17 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").filter(F.col("o_orderkey") < 100)
-    return o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"),
-                    F.col("o_totalprice").alias("amount"))
+    """Keyed table to upsert into: customers in credit, keyed by customer."""
+    c = load(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
+    return c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("status"),
+                    F.col("c_acctbal").alias("amount"))
 
 
 def upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").filter(F.col("o_orderkey").between(50, 349))
-    return o.select((F.col("o_orderkey") % 120).alias("k"), F.col("o_orderkey").alias("seq"),
+    """Every order is an update of its customer: many in-batch duplicates per key
+    (the last by order key wins), and customers not in the target are inserts."""
+    o = load(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"),
                     F.col("o_orderpriority").alias("status"), F.col("o_totalprice").alias("amount"))
 
 
