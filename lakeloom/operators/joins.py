@@ -38,10 +38,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
 
 
 def band_join_count(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-                    before_seconds: int, left_id: str, measures: dict[str, Column] | None = None
-                    ) -> DataFrame:
+                    before_seconds: int, left_id: str, measures: dict[str, Column] | None = None,
+                    inclusive_end: bool = False) -> DataFrame:
     """Per left row, aggregate the right rows with equal ``keys`` and
-    ``left_time - before <= right_time < left_time``.
+    ``left_time - before <= right_time < left_time`` (``<=`` with
+    ``inclusive_end``, which is a RANGE frame ending at the current row, peers included).
 
     Both sides are bucketed by time (bucket width = the band), the left side is
     replicated to its own and the previous bucket, and the join is an equi-join
@@ -57,7 +58,8 @@ def band_join_count(left: DataFrame, right: DataFrame, keys: Sequence[str], left
                       F.floor(rt / w).alias("__rb"), *(
                           [v.alias(f"__m_{n}") for n, v in (measures or {}).items()]))
     cond = [lb[k] == rb[f"__r_{k}"] for k in keys] + [lb["__b"] == rb["__rb"]]
-    cond += [rb["__rt"] >= lb["__lt"] - F.make_dt_interval(secs=F.lit(w)), rb["__rt"] < lb["__lt"]]
+    upper = rb["__rt"] <= lb["__lt"] if inclusive_end else rb["__rt"] < lb["__lt"]
+    cond += [rb["__rt"] >= lb["__lt"] - F.make_dt_interval(secs=F.lit(w)), upper]
     j = lb.join(rb, cond, "left")
     aggs = [F.count("__rb").alias("matches")]
     aggs += [F.sum(f"__m_{n}").alias(n) for n in (measures or {})]

@@ -204,3 +204,16 @@ def q_percentiles_value(s, d):
                                     round6(F.percentile("value", 0.9)).alias("p90"),
                                     F.count(F.lit(1)).alias("having_n"))
     return g.filter(F.col("having_n") > 100)
+
+
+@register("rolling_hour_value", oracle="""
+select user_id, event_id,
+  count(*) over w as matches,
+  round(sum(value) over w, 6) as value_sum
+from events
+window w as (partition by user_id order by ts range between interval '1 hour' preceding and current row)""")
+def q_rolling_hour_value(s, d):
+    e = load(s, d, "events").select("user_id", "event_id", "ts", "value")
+    r = band_join_count(e, e, ["user_id"], "ts", "ts", 3600, "event_id", {"value_sum": F.col("value")},
+                        inclusive_end=True)
+    return r.select("user_id", "event_id", "matches", round6("value_sum").alias("value_sum"))
