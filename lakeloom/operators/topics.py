@@ -149,3 +149,23 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str =
         F.count(F.lit(1)).alias("events"), F.sum("value").alias("total_value"))
     return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
                     "events", "total_value")
+
+
+def watermark_drops(records: DataFrame, event_ts: str, arrival_ts: str, trigger_seconds: int = 60,
+                    delay_seconds: int = 30, keys=("topic",)) -> DataFrame:
+    """T18 late data, batch rendering of micro-batch watermarks: records arrive in
+    ``arrival_ts`` order in triggers of ``trigger_seconds``; the watermark of a
+    trigger is the greatest event time of all earlier triggers minus the delay,
+    and a record whose event time is older is dropped.  The per-trigger table
+    (one row per trigger) carries the running maximum; records join back to it
+    by trigger id, so no step orders the records themselves."""
+    trig = F.floor(epoch_ms(arrival_ts) / (trigger_seconds * 1000)).cast("long")
+    r = records.withColumn("__trigger", trig).withColumn("__ev", epoch_ms(event_ts))
+    per_trigger = r.groupBy("__trigger").agg(F.max("__ev").alias("__max_ev"))
+    from pyspark.sql import Window
+    w = Window.orderBy("__trigger").rowsBetween(Window.unboundedPreceding, -1)
+    marks = per_trigger.select("__trigger", (F.max("__max_ev").over(w) - delay_seconds * 1000).alias("__wm"))
+    j = r.join(marks, "__trigger")
+    late = F.coalesce(F.col("__ev") < F.col("__wm"), F.lit(False))
+    return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("arrived"), F.count_if(late).alias("dropped"),
+                                F.max(F.when(late, (F.col("__wm") - F.col("__ev")) / 1000)).alias("max_late_seconds"))

@@ -170,3 +170,20 @@ from s group by user_id, sid""")
 def q_session_activity(s, d):
     r = TP.sessions(load(s, d, "events"))
     return r.withColumn("total_value", round6("total_value"))
+
+
+@register("late_dropped", views=("consumed",), oracle="""
+with r as (
+  select topic, cast(floor(epoch_ms(consumed_at) / 60000) as bigint) as trig, epoch_ms(ts) as ev
+  from consumed c join (select event_id, ts from events) e on c.msg_id = e.event_id),
+pt as (select trig, max(ev) as max_ev from r group by trig),
+m as (select trig, max(max_ev) over (order by trig rows between unbounded preceding and 1 preceding) - 30000 as wm
+      from pt)
+select topic, count(*) as arrived, count(*) filter (where ev < wm) as dropped,
+  max(case when ev < wm then (wm - ev) / 1000.0 end) as max_late_seconds
+from r join m using (trig) group by topic""")
+def q_late_dropped(s, d):
+    c = consumed(s, d)
+    e = load(s, d, "events").select(F.col("event_id").alias("msg_id"), "ts")
+    r = TP.watermark_drops(c.join(e, "msg_id"), "ts", "consumed_at", 60, 30)
+    return r.withColumn("max_late_seconds", F.col("max_late_seconds").cast("double"))
