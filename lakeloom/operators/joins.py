@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.scan import carry_last, grouped_rank, needs_chunks
+from lakeloom.operators.scan import carry_last, grouped_rank, grouped_running, needs_chunks
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
@@ -100,3 +100,49 @@ def ordered_analytics(df: DataFrame, key: str, order: Sequence[Column], value: s
         r + F.floor((F.col("rn") - 1 - big) / F.greatest(q, F.lit(1))) + 1)
     return j.select(*id_cols, key, "rn", value, "lag_value", "lead_value", "first_value",
                     ntile.cast("long").alias("ntile"), "cnt")
+
+
+def range_frame_sums(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str, measures: dict[str, Column],
+                     window_seconds: int, include_current: bool = True, data: DataFrame | None = None,
+                     data_id: str | None = None) -> DataFrame:
+    """Sums over a time RANGE frame without pairing rows.
+
+    For each row of ``df``, the sum of each measure over the rows of ``data``
+    (default ``df``) with equal ``keys`` and time in ``[t - w, t]``
+    (``[t - w, t)`` when ``include_current`` is False).  With S(x) the running
+    sum up to time x, the answer is S(t) - S(t - w), and each S is an as-of
+    lookup into the chunked running sums: work is linear in the rows whatever
+    the density of a key's events, where a band join is quadratic in it.
+    Count is the measure ``F.lit(1)``.  ``id_col`` (and ``data_id`` for
+    ``data``) must be unique: they order rows with equal time deterministically.
+    """
+    data = df if data is None else data
+    data_id = data_id or id_col
+    names = list(measures)
+    d = data.select(*keys, F.col(time_col).alias("__t"), F.col(data_id).alias("__rid"),
+                    *[m.alias(f"__x_{n}") for n, m in measures.items()])
+    # running sums in (time, row) order: S at a row includes everything up to it
+    run = grouped_running(d, keys, [F.col("__t"), F.col("__rid")], {n: F.col(f"__x_{n}") for n in names})
+    vals = F.struct(*[F.col(n).alias(n) for n in names])
+    data_rows = run.select(*keys, "__t", F.lit(0).alias("__side"), F.col("__rid").cast("long").alias("__ord"),
+                           vals.alias("__s"), F.lit(None).cast("long").alias("__pid"), F.lit(None).alias("__end"))
+    w = F.make_dt_interval(secs=F.lit(window_seconds))
+    probe_src = df.select(*keys, F.col(time_col).alias("__pt"), F.col(id_col).alias("__pid"))
+    null_s = F.lit(None).cast(data_rows.schema["__s"].dataType)
+    # upper probe: after every data row at the same time (inclusive) or before them (exclusive)
+    upper = probe_src.select(*keys, F.col("__pt").alias("__t"), F.lit(1 if include_current else -1).alias("__side"),
+                             F.lit(0).cast("long").alias("__ord"), null_s.alias("__s"), "__pid",
+                             F.lit("hi").alias("__end"))
+    # lower probe at t - w, before data rows at that time: sums strictly earlier rows
+    lower = probe_src.select(*keys, (F.col("__pt") - w).alias("__t"), F.lit(-1).alias("__side"),
+                             F.lit(0).cast("long").alias("__ord"), null_s.alias("__s"), "__pid",
+                             F.lit("lo").alias("__end"))
+    u = data_rows.unionByName(upper).unionByName(lower)
+    filled = carry_last(u, keys, [F.col("__t"), F.col("__side"), F.col("__ord")], {"__c": F.col("__s")})
+    probes = filled.filter(F.col("__pid").isNotNull())
+    g = probes.groupBy("__pid").agg(F.max_by("__c", F.col("__end") == "hi").alias("__hi"),
+                                    F.max_by("__c", F.col("__end") == "lo").alias("__lo"))
+    out = g.select(F.col("__pid").alias(id_col), *[
+        (F.coalesce(F.col(f"__hi.{n}"), F.lit(0)) - F.coalesce(F.col(f"__lo.{n}"), F.lit(0))).alias(n)
+        for n in names])
+    return df.join(out, id_col)

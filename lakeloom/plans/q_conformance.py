@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions.scalar import round6
-from lakeloom.operators.joins import asof_join, band_join_count, ordered_analytics
+from lakeloom.operators.joins import asof_join, ordered_analytics, range_frame_sums
 from lakeloom.operators.scan import grouped_rank, grouped_running
 from lakeloom.plans.registry import register
 from lakeloom.sources.tables import load
@@ -62,9 +62,13 @@ group by p.user_id, p.event_id""")
 def q_join_range(s, d):
     e = load(s, d, "events")
     purchases = e.filter(F.col("event_type") == "purchase").select("user_id", "event_id", "ts")
-    views = e.filter(F.col("event_type") == "view").select("user_id", "ts", "value")
-    return band_join_count(purchases, views, ["user_id"], "ts", "ts", 3600, "event_id",
-                           {"view_value": F.col("value")})
+    views = e.filter(F.col("event_type") == "view").select("user_id", "ts", "value", "event_id")
+    r = range_frame_sums(purchases, ["user_id"], "ts", "event_id",
+                         {"matches": F.lit(1).cast("long"), "view_value": F.col("value")}, 3600,
+                         include_current=False, data=views, data_id="event_id")
+    # a purchase with no view in the band has a NULL sum, like SUM over no rows
+    return r.select("user_id", "event_id", "matches",
+                    F.when(F.col("matches") > 0, F.col("view_value")).alias("view_value"))
 
 
 _GROUPING = """
@@ -214,6 +218,6 @@ from events
 window w as (partition by user_id order by ts range between interval '1 hour' preceding and current row)""")
 def q_rolling_hour_value(s, d):
     e = load(s, d, "events").select("user_id", "event_id", "ts", "value")
-    r = band_join_count(e, e, ["user_id"], "ts", "ts", 3600, "event_id", {"value_sum": F.col("value")},
-                        inclusive_end=True)
+    r = range_frame_sums(e, ["user_id"], "ts", "event_id",
+                         {"matches": F.lit(1).cast("long"), "value_sum": F.col("value")}, 3600)
     return r.select("user_id", "event_id", "matches", round6("value_sum").alias("value_sum"))

@@ -80,3 +80,22 @@ def test_asof_join_chunked_matches_plain(spark, monkeypatch):
              .groupBy("l.lid").agg(F.max_by("r.rid", F.struct("r.t", "r.rid")).alias("asof_rid")))
     got = plain.select("lid", "asof_rid")
     assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
+
+
+def test_range_frame_sums_chunked_match_brute_force(spark, monkeypatch):
+    from lakeloom.operators.joins import range_frame_sums
+    # key 0 is hot and dense: many events share a time, so peers matter
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 4 == 0, F.lit(1)).otherwise(F.lit(0)).alias("k"), F.col("id").alias("rid"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 37 % 7200)).cast("timestamp_ntz").alias("t"),
+        (F.col("id") % 5).cast("double").alias("v"))
+    brute = (df.alias("a").join(df.alias("b"), (F.col("a.k") == F.col("b.k"))
+                                & (F.col("b.t") >= F.col("a.t") - F.expr("INTERVAL 600 SECONDS"))
+                                & (F.col("b.t") <= F.col("a.t")))
+             .groupBy("a.rid").agg(F.count("*").alias("n"), F.sum("b.v").alias("s")))
+    for force in (False, True):
+        if force:
+            _force_chunks(monkeypatch)
+        got = range_frame_sums(df, ["k"], "t", "rid", {"n": F.lit(1).cast("long"), "s": F.col("v")}, 600)
+        got = got.select("rid", "n", "s")
+        assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
