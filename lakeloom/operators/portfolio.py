@@ -20,14 +20,16 @@ MAX_GRID_SYMBOLS = 12    # C(10+12-1, 11) = 352,716 candidates
 
 
 def complete_prices(prices: DataFrame) -> DataFrame:
-    """V2: keep dates where every symbol has a price (the reference fails on gaps)."""
-    per_date = Window.partitionBy("dt")
-    everywhere = Window.partitionBy()
+    """V2: keep dates where every symbol has a price (the reference fails on gaps).
+
+    The symbol count is a scalar subquery (one aggregate, its value broadcast),
+    complete dates an aggregate per date, and the filter a semi join on date.
+    """
     p = prices.filter(F.col("price").isNotNull())
-    counted = p.withColumn("_n", F.count(F.lit(1)).over(per_date))
-    # the daily table is small: a global window here touches one row per (date, symbol)
-    return (counted.withColumn("_syms", F.size(F.collect_set("symbol").over(everywhere)))
-            .filter(F.col("_n") == F.col("_syms")).drop("_n", "_syms"))
+    n_symbols = p.agg(F.count_distinct("symbol")).scalar()
+    complete = (p.groupBy("dt").agg(F.count_distinct("symbol").alias("_n"))
+                .filter(F.col("_n") == n_symbols).select("dt"))
+    return p.join(complete, "dt", "left_semi")
 
 
 def returns(prices: DataFrame, truncate: bool = True) -> DataFrame:
@@ -56,7 +58,7 @@ def covariance(rets: DataFrame) -> DataFrame:
 
 def equal_weights(rets: DataFrame) -> DataFrame:
     syms = rets.select("symbol").distinct()
-    return syms.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy()))
+    return syms.withColumn("weight", 1.0 / rets.agg(F.count_distinct("symbol")).scalar())
 
 
 def backtest(rets: DataFrame, weights: DataFrame, amount: float) -> DataFrame:

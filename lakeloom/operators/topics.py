@@ -78,16 +78,17 @@ def consumer_lag(msgs: DataFrame, consumed: DataFrame) -> DataFrame:
 def latency(msgs: DataFrame, consumed: DataFrame, keys=("topic",)) -> DataFrame:
     """``consumed_at - ts`` in ms per key: count, avg, max, exact p50/p95/p99.
 
-    ``percentile`` is exact (linear interpolation) and merges partial
-    value->count maps map-side, so memory per key follows distinct latencies.
+    The percentiles come from a distributed histogram with chunked cumulative
+    counts (``operators.stats``), so a hot topic is not one task.
     """
+    from lakeloom.operators.stats import exact_percentiles
     j = (msgs.select("msg_id", "ts").join(consumed.select("msg_id", "topic", "group_id", "consumed_at"), "msg_id")
          .withColumn("latency_ms", epoch_ms("consumed_at") - epoch_ms("ts")))
-    return j.groupBy(*keys).agg(
+    basic = j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("messages"),
-        F.avg("latency_ms").alias("avg_ms"), F.max("latency_ms").alias("max_ms"),
-        F.percentile("latency_ms", 0.5).alias("p50_ms"), F.percentile("latency_ms", 0.95).alias("p95_ms"),
-        F.percentile("latency_ms", 0.99).alias("p99_ms"))
+        F.avg("latency_ms").alias("avg_ms"), F.max("latency_ms").alias("max_ms"))
+    pct = exact_percentiles(j, list(keys), "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    return basic.join(pct, list(keys), "left")
 
 
 def replication(msgs: DataFrame, replica: DataFrame) -> DataFrame:

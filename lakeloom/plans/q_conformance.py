@@ -204,10 +204,11 @@ select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_co
 group by event_type, having_n having count(*) > 100""")
 def q_percentiles_value(s, d):
     e = load(s, d, "events")
-    g = e.groupBy("event_type").agg(round6(F.percentile("value", 0.5)).alias("p50"),
-                                    round6(F.percentile("value", 0.9)).alias("p90"),
-                                    F.count(F.lit(1)).alias("having_n"))
-    return g.filter(F.col("having_n") > 100)
+    from lakeloom.operators.stats import exact_percentiles
+    n = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("having_n")).filter(F.col("having_n") > 100)
+    p = exact_percentiles(e, ["event_type"], "value", {"p50": 0.5, "p90": 0.9})
+    return n.join(p, "event_type").select("event_type", round6("p50").alias("p50"), round6("p90").alias("p90"),
+                                          "having_n")
 
 
 @register("rolling_hour_value", oracle="""

@@ -99,3 +99,17 @@ def test_range_frame_sums_chunked_match_brute_force(spark, monkeypatch):
         got = range_frame_sums(df, ["k"], "t", "rid", {"n": F.lit(1).cast("long"), "s": F.col("v")}, 600)
         got = got.select("rid", "n", "s")
         assert got.exceptAll(brute).count() == 0 and brute.exceptAll(got).count() == 0
+
+
+def test_exact_percentiles_match_builtin(spark, monkeypatch):
+    from lakeloom.operators.stats import exact_percentiles
+    df = _skewed(spark).withColumn("x", (F.col("v") * 1.5).cast("double"))
+    exp = df.groupBy("k").agg(*[F.percentile("x", p).alias(n) for n, p in
+                                [("p0", 0.0), ("p37", 0.37), ("p50", 0.5), ("p99", 0.99), ("p100", 1.0)]])
+    for force in (False, True):
+        if force:
+            _force_chunks(monkeypatch)
+        got = exact_percentiles(df, ["k"], "x", {"p0": 0.0, "p37": 0.37, "p50": 0.5, "p99": 0.99, "p100": 1.0})
+        a = {r["k"]: tuple(round(r[c], 9) for c in ("p0", "p37", "p50", "p99", "p100")) for r in got.collect()}
+        b = {r["k"]: tuple(round(r[c], 9) for c in ("p0", "p37", "p50", "p99", "p100")) for r in exp.collect()}
+        assert a == b
