@@ -70,10 +70,19 @@ def chunk_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nu
 
 
 def _estimate(df: DataFrame) -> tuple[int, int]:
-    """(bytes, rows) from the optimized plan's statistics; rows fall back to
-    bytes / row width when no row count is known."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    """(bytes, rows) from the optimized plan's statistics.
+
+    Without cost-based statistics Catalyst sizes a join as the product of its
+    inputs, so the plan estimate is capped by the sum of its leaf scans (the
+    data actually read).  Rows fall back to bytes / row width when no row
+    count is known."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    stats = plan.stats()
     size = int(str(stats.sizeInBytes()))
+    leaves = plan.collectLeaves()
+    leaf_bytes = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if leaf_bytes > 0:
+        size = min(size, leaf_bytes)
     rc = stats.rowCount()
     if rc.isDefined():
         return size, int(str(rc.get()))

@@ -16,11 +16,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.operators.scan import grouped_running
-
-
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Per group: one column per entry of ``ps`` (name -> fraction in [0, 1])."""
+from lakeloom.operators.scan import grouped_running, needs_chunks
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float],
+                      distributed: bool | None = None) -> DataFrame:
+    """Per group: one column per entry of ``ps`` (name -> fraction in [0, 1]).
+
+    ``distributed=None`` picks by the input's plan-size estimate: small inputs
+    use the one-pass ``percentile`` aggregate (same exact answer), large ones
+    the histogram path.
+    """
+    if distributed is None:
+        distributed = needs_chunks(df)
+    if not distributed:
+        return df.groupBy(*keys).agg(*[F.percentile(F.col(value).cast("double"), p).alias(n)
+                                       for n, p in ps.items()])
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
         F.count(F.lit(1)).alias("__c"))
     cum = grouped_running(hist, list(keys), [F.col("__v")], {"__cum": F.col("__c")})

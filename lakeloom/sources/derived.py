@@ -177,5 +177,13 @@ BUILDERS = {
 }
 
 
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return BUILDERS[name](spark, sf_dir)
+    """A derived view as a lazy plan, built once per session and scale folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    df = _VIEWS.get(key)
+    if df is None:
+        df = _VIEWS[key] = BUILDERS[name](spark, sf_dir)
+    return df

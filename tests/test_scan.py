@@ -109,7 +109,8 @@ def test_exact_percentiles_match_builtin(spark, monkeypatch):
     for force in (False, True):
         if force:
             _force_chunks(monkeypatch)
-        got = exact_percentiles(df, ["k"], "x", {"p0": 0.0, "p37": 0.37, "p50": 0.5, "p99": 0.99, "p100": 1.0})
+        got = exact_percentiles(df, ["k"], "x", {"p0": 0.0, "p37": 0.37, "p50": 0.5, "p99": 0.99, "p100": 1.0},
+                                distributed=True)
         a = {r["k"]: tuple(round(r[c], 9) for c in ("p0", "p37", "p50", "p99", "p100")) for r in got.collect()}
         b = {r["k"]: tuple(round(r[c], 9) for c in ("p0", "p37", "p50", "p99", "p100")) for r in exp.collect()}
         assert a == b
