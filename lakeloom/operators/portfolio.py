@@ -14,6 +14,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.scan import needs_chunks
+
 TRADING_DAYS = 252
 GRID_STEPS = 10          # weights are multiples of 1/GRID_STEPS
 MAX_GRID_SYMBOLS = 12    # C(10+12-1, 11) = 352,716 candidates
@@ -26,6 +28,12 @@ def complete_prices(prices: DataFrame) -> DataFrame:
     complete dates an aggregate per date, and the filter a semi join on date.
     """
     p = prices.filter(F.col("price").isNotNull())
+    if not needs_chunks(p):
+        # a small daily table: one pass with a global window is cheaper than a subquery
+        everywhere = Window.partitionBy()
+        counted = p.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("dt")))
+        return (counted.withColumn("_syms", F.size(F.collect_set("symbol").over(everywhere)))
+                .filter(F.col("_n") == F.col("_syms")).drop("_n", "_syms"))
     n_symbols = p.agg(F.count_distinct("symbol")).scalar()
     complete = (p.groupBy("dt").agg(F.count_distinct("symbol").alias("_n"))
                 .filter(F.col("_n") == n_symbols).select("dt"))
@@ -57,8 +65,9 @@ def covariance(rets: DataFrame) -> DataFrame:
 
 
 def equal_weights(rets: DataFrame) -> DataFrame:
+    """1/n per symbol; the symbol list is small, so one global window suffices."""
     syms = rets.select("symbol").distinct()
-    return syms.withColumn("weight", 1.0 / rets.agg(F.count_distinct("symbol")).scalar())
+    return syms.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy()))
 
 
 def backtest(rets: DataFrame, weights: DataFrame, amount: float) -> DataFrame:

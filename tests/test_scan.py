@@ -114,3 +114,16 @@ def test_exact_percentiles_match_builtin(spark, monkeypatch):
         a = {r["k"]: tuple(round(r[c], 9) for c in ("p0", "p37", "p50", "p99", "p100")) for r in got.collect()}
         b = {r["k"]: tuple(round(r[c], 9) for c in ("p0", "p37", "p50", "p99", "p100")) for r in exp.collect()}
         assert a == b
+
+
+def test_complete_prices_paths_agree(spark, monkeypatch):
+    from lakeloom.operators import portfolio as P
+    from lakeloom.sources.derived import prices
+    from tests.conftest import SF
+    p = prices(spark, SF).union(spark.createDataFrame([("2030-01-01", "click", 5)], "dt string, symbol string, price long")
+                                .withColumn("dt", F.col("dt").cast("date")))
+    small = P.complete_prices(p)
+    _force_chunks(monkeypatch)
+    large = P.complete_prices(p)
+    assert small.count() == large.count() == prices(spark, SF).count()
+    assert small.exceptAll(large).count() == 0
