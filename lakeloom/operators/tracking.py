@@ -129,15 +129,7 @@ def submission_key(ws: DataFrame) -> Column:
     return F.coalesce(ws["file_name"], url_last_segment(ws["uploaded_file_url"]))
 
 
-def submission_file_join(ws: DataFrame, fps: DataFrame, status: str | None = None,
-                         limit: int | None = 50, faithful: bool = False) -> DataFrame:
-    """J1 + O3: FULL OUTER join of submissions and files on the derived file key.
-
-    The status filter is applied to submissions *before* the join, so files of
-    filtered-out submissions come back as file-only rows.  ``faithful=True``
-    keeps the reference's ``file_name`` (NULL on file-only rows); by default
-    the file side's name fills it.
-    """
+def _join_sides(ws: DataFrame, fps: DataFrame, status: str | None) -> tuple[DataFrame, DataFrame]:
     w = ws if status is None else ws.filter(F.col("status") == status)
     ef = w.select(
         submission_key(w).alias("extracted_filename"), F.col("id").alias("ws_id"), "trace_id",
@@ -150,15 +142,67 @@ def submission_file_join(ws: DataFrame, fps: DataFrame, status: str | None = Non
         F.col("workflow_id").alias("fps_workflow_id"), F.col("workflow_name").alias("fps_workflow_name"),
         "processing_duration_ms", F.col("uploaded_at").alias("file_uploaded_at"),
         F.col("completed_at").alias("file_completed_at"), F.col("error_message").alias("file_error_message"))
-    j = ef.join(f, ef["extracted_filename"] == f["fps_file_name"], "full_outer")
+    return ef, f
+
+
+def _sort() -> list[Column]:
+    return [F.col("sort_date").asc_nulls_last(), F.col("ws_id").asc_nulls_last(),
+            F.col("file_processing_id").asc_nulls_last()]
+
+
+def _shape(j: DataFrame, ef: DataFrame, f: DataFrame, faithful: bool) -> DataFrame:
     name = F.col("extracted_filename") if faithful else F.coalesce("extracted_filename", "fps_file_name")
-    out = j.select(
+    return j.select(
         name.alias("file_name"), *[c for c in ef.columns if c != "extracted_filename"],
         *[c for c in f.columns if c != "fps_file_name"],
         F.coalesce("submitted_at", "file_uploaded_at").alias("sort_date"))
-    out = out.orderBy(F.col("sort_date").asc_nulls_last(), F.col("ws_id").asc_nulls_last(),
-                      F.col("file_processing_id").asc_nulls_last())
-    return out.limit(limit) if limit else out
+
+
+def submission_file_join(ws: DataFrame, fps: DataFrame, status: str | None = None,
+                         limit: int | None = 50, faithful: bool = False) -> DataFrame:
+    """J1 + O3: FULL OUTER join of submissions and files on the derived file key,
+    oldest first (``sort_date``), first ``limit`` rows.
+
+    The status filter is applied to submissions *before* the join, so files of
+    filtered-out submissions come back as file-only rows.  ``faithful=True``
+    keeps the reference's ``file_name`` (NULL on file-only rows); by default
+    the file side's name fills it.
+
+    With a limit the full outer join is never built.  The result is the top
+    rows of three exact parts: (A) the first ``limit`` submissions by
+    ``(submitted_at, id)`` with their files (every submission yields at least
+    one row sharing its sort key, so no later submission can place), joined by
+    broadcasting those ``limit`` rows; (B) submissions without a submission
+    time, joined normally (skipped after a cheap emptiness probe); (C) files no
+    submission names, from a key-only anti join, cut to ``limit`` before their
+    other columns are fetched.
+    """
+    ef, f = _join_sides(ws, fps, status)
+    if not limit:
+        j = ef.join(f, ef["extracted_filename"] == f["fps_file_name"], "full_outer")
+        return _shape(j, ef, f, faithful).orderBy(*_sort())
+    # (A) earliest submissions and their files
+    top_ws = (ef.filter(F.col("submitted_at").isNotNull())
+              .orderBy(F.col("submitted_at").asc(), F.col("ws_id").asc()).limit(limit))
+    hit = f.join(F.broadcast(top_ws), f["fps_file_name"] == top_ws["extracted_filename"], "inner")
+    alone = top_ws.join(hit.select(F.col("extracted_filename").alias("_k")).distinct(),
+                        top_ws["extracted_filename"].eqNullSafe(F.col("_k")), "left_anti")
+    parts = [hit, alone]
+    # (B) submissions without a time sort by their files' upload time
+    undated = ef.filter(F.col("submitted_at").isNull())
+    if not undated.isEmpty():
+        parts.append(undated.join(f, undated["extracted_filename"] == f["fps_file_name"], "left"))
+    # (C) file-only rows: anti join on keys only, top rows, then their columns
+    keys = ef.select(F.col("extracted_filename").alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    lone = (f.select("fps_file_name", "file_processing_id", "file_uploaded_at")
+            .join(keys, F.col("fps_file_name") == F.col("_k"), "left_anti")
+            .orderBy(F.col("file_uploaded_at").asc_nulls_last(), F.col("file_processing_id").asc_nulls_last())
+            .limit(limit).select(F.col("file_processing_id").alias("_id")))
+    parts.append(f.join(F.broadcast(lone), f["file_processing_id"] == lone["_id"], "left_semi"))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    return _shape(u, ef, f, faithful).orderBy(*_sort()).limit(limit)
 
 
 def nest_submission_rows(joined: DataFrame) -> DataFrame:

@@ -276,3 +276,32 @@ def test_sinks_shapes(spark, tmp_path):
         assert spark.read.format(fmt).option("header", "true").load(str(tmp_path / fmt)).count() == 2
     with pytest.raises(K.WriteError):
         K.write_files(df, str(tmp_path / "x"), "yaml")
+
+
+def test_pruned_full_join_equals_full_join(spark):
+    t = "timestamp_ntz"
+    ws_rows = [("ws-1", "trace-1", "https://x/in/a.csv", "a.csv", "completed", "2024-01-02 00:00:00"),
+               ("ws-2", "trace-2", "https://x/in/b.csv?v=1", None, "failed", None),        # undated
+               ("ws-3", "trace-3", "https://x/in/c.csv", "c.csv", "completed", "2024-01-01 00:00:00"),
+               ("ws-4", "trace-4", "https://x/in/d.csv", "d.csv", "submitted", "2024-01-05 00:00:00"),
+               ("ws-5", "trace-5", "https://x/in/z.csv", "z.csv", "completed", None)]       # undated, no file
+    w = spark.createDataFrame(ws_rows, "id string, trace_id string, uploaded_file_url string, file_name string, "
+                                       "status string, submitted_at string").withColumn(
+        "submitted_at", F.col("submitted_at").cast(t))
+    for c in ("workflow_id", "workflow_name", "error_message", "metadata"):
+        w = w.withColumn(c, F.lit(None).cast("string"))
+    w = w.withColumn("completed_at", F.lit(None).cast(t)).withColumn("crew_kickoff_completed", F.lit(False))
+    fps_rows = [("f1", "a.csv", "2023-12-31 00:00:00"), ("f2", "a.csv", "2024-01-03 00:00:00"),
+                ("f3", "b.csv?v=1", "2023-06-01 00:00:00"), ("f4", "lone1.csv", "2022-01-01 00:00:00"),
+                ("f5", "lone2.csv", "2024-02-01 00:00:00"), ("f6", "c.csv", None), ("f7", "lone3.csv", None)]
+    f = spark.createDataFrame(fps_rows, "id string, file_name string, uploaded_at string").withColumn(
+        "uploaded_at", F.col("uploaded_at").cast(t))
+    for c, typ in (("file_type", "string"), ("file_size_bytes", "bigint"), ("processing_status", "string"),
+                   ("records_extracted", "int"), ("workflow_id", "string"), ("workflow_name", "string"),
+                   ("processing_duration_ms", "double"), ("completed_at", t), ("error_message", "string")):
+        f = f.withColumn(c, F.lit(None).cast(typ))
+    for status in (None, "completed"):
+        full = TR.submission_file_join(w, f, status=status, limit=None).collect()
+        for k in (1, 2, 3, 5, 8, 20):
+            got = TR.submission_file_join(w, f, status=status, limit=k).collect()
+            assert [tuple(r) for r in got] == [tuple(r) for r in full[:k]], (status, k)
