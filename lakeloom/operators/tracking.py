@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.scalar import (PENDING_STATUS, UNKNOWN_TYPE, UNNAMED_WORKFLOW, blank_as_null,
                                        pct_rate, round6, url_last_segment, zero_as_null)
+from lakeloom.operators.scan import needs_chunks
 
 
 def _newest_first(df: DataFrame, ts: str, tie: str, limit: int) -> DataFrame:
@@ -178,12 +179,17 @@ def submission_file_join(ws: DataFrame, fps: DataFrame, status: str | None = Non
     other columns are fetched.
     """
     ef, f = _join_sides(ws, fps, status)
-    if not limit:
+    if not limit or not (needs_chunks(ef) or needs_chunks(f)):
+        # no limit, or small inputs: the plain full outer join is the cheaper plan
         j = ef.join(f, ef["extracted_filename"] == f["fps_file_name"], "full_outer")
-        return _shape(j, ef, f, faithful).orderBy(*_sort())
-    # (A) earliest submissions and their files
-    top_ws = (ef.filter(F.col("submitted_at").isNotNull())
-              .orderBy(F.col("submitted_at").asc(), F.col("ws_id").asc()).limit(limit))
+        out = _shape(j, ef, f, faithful).orderBy(*_sort())
+        return out.limit(limit) if limit else out
+    spark = ws.sparkSession
+    # (A) earliest submissions and their files; the ``limit`` rows are brought
+    # to the driver once (they are bounded by the output size) and broadcast
+    top_rows = (ef.filter(F.col("submitted_at").isNotNull())
+                .orderBy(F.col("submitted_at").asc(), F.col("ws_id").asc()).limit(limit).collect())
+    top_ws = spark.createDataFrame(top_rows, ef.schema)
     hit = f.join(F.broadcast(top_ws), f["fps_file_name"] == top_ws["extracted_filename"], "inner")
     alone = top_ws.join(hit.select(F.col("extracted_filename").alias("_k")).distinct(),
                         top_ws["extracted_filename"].eqNullSafe(F.col("_k")), "left_anti")
@@ -197,8 +203,9 @@ def submission_file_join(ws: DataFrame, fps: DataFrame, status: str | None = Non
     lone = (f.select("fps_file_name", "file_processing_id", "file_uploaded_at")
             .join(keys, F.col("fps_file_name") == F.col("_k"), "left_anti")
             .orderBy(F.col("file_uploaded_at").asc_nulls_last(), F.col("file_processing_id").asc_nulls_last())
-            .limit(limit).select(F.col("file_processing_id").alias("_id")))
-    parts.append(f.join(F.broadcast(lone), f["file_processing_id"] == lone["_id"], "left_semi"))
+            .limit(limit).select(F.col("file_processing_id").alias("_id")).collect())
+    lone_ids = spark.createDataFrame(lone, "_id string")
+    parts.append(f.join(F.broadcast(lone_ids), f["file_processing_id"] == lone_ids["_id"], "left_semi"))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)

@@ -278,7 +278,9 @@ def test_sinks_shapes(spark, tmp_path):
         K.write_files(df, str(tmp_path / "x"), "yaml")
 
 
-def test_pruned_full_join_equals_full_join(spark):
+def test_pruned_full_join_equals_full_join(spark, monkeypatch):
+    from lakeloom.operators import scan
+    monkeypatch.setattr(scan, "SMALL_INPUT_BYTES", 0)   # take the pruned path on small data
     t = "timestamp_ntz"
     ws_rows = [("ws-1", "trace-1", "https://x/in/a.csv", "a.csv", "completed", "2024-01-02 00:00:00"),
                ("ws-2", "trace-2", "https://x/in/b.csv?v=1", None, "failed", None),        # undated
