@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lakeloom.plans import pipelines as PL
+from lakeloom.plans import patterns as PL
 from lakeloom.sources import jdbc as J
 
 PROPS = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}

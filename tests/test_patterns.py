@@ -12,7 +12,7 @@ import zipfile
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.plans import pipelines as PL
+from lakeloom.plans import patterns as PL
 from lakeloom.sources import jdbc as J
 from lakeloom.sources.tables import load
 from lakeloom.streaming import topics as ST

@@ -1,7 +1,7 @@
 """Unit tests for the quirks recorded in the survey: query builder (P1-P5, A10,
 A11, O1, C5), tracking helpers (J7, O4, P6, F1-F12), redaction and validation
 (G1-G7), catalog and SQL surface (C1-C10), user functions (D1-D4) and
-pipelines (C9, X9, M9, M10)."""
+pattern jobs (C9, X9, M9, M10)."""
 
 import json
 import os
@@ -20,7 +20,7 @@ from lakeloom.operators import query_builder as QB
 from lakeloom.operators import text as X
 from lakeloom.operators import tracking as TR
 from lakeloom.plans import catalog as C
-from lakeloom.plans import pipelines as PL
+from lakeloom.plans import patterns as PL
 from lakeloom.sinks import tables as K
 from lakeloom.sources.derived import fps, ws
 from tests.conftest import SF
