@@ -70,6 +70,13 @@ def chunk_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nu
 
 
 def _estimate(df: DataFrame) -> tuple[int, int]:
+    """(bytes, rows) from the plan statistics; unknown counts as large, so the
+    skew-proof plan is the fallback."""
+    est = _plan_estimate(df)
+    return est if est is not None else (2 ** 62, 2 ** 62)
+
+
+def _estimate_jvm(df: DataFrame) -> tuple[int, int]:
     """(bytes, rows) from the optimized plan's statistics.
 
     Without cost-based statistics Catalyst sizes a join as the product of its
@@ -124,6 +131,13 @@ def needs_chunks(df: DataFrame) -> bool:
     return _estimate(df)[0] > SMALL_INPUT_BYTES
 
 
+def _plan_estimate(df: DataFrame) -> tuple[int, int] | None:
+    try:
+        return _estimate_jvm(df)
+    except Exception:  # noqa: BLE001 - no JVM plan handle (e.g. a remote session)
+        return None
+
+
 def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     # null-safe on the group keys: a NULL group is still a group
     c = carry.select(*[F.col(k).alias(f"__ck_{k}") for k in keys], F.col(_PID).alias("__cpid"),

@@ -93,3 +93,15 @@ def q_enrich_lineitem(s, d):
     li = load(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     part = load(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
     return G.add_metadata(G.enrich(li, part, "l_partkey"), app="lakeloom", env="test")
+
+
+@register("flow_bulletins", oracle="""
+select event_id as id, ts, 'ERROR' as level, concat('event ', cast(event_id as varchar), ' failed for user ',
+  cast(user_id as varchar)) as message
+from events where event_type = 'error' order by ts desc, event_id desc limit 10""")
+def q_flow_bulletins(s, d):
+    e = load(s, d, "events").filter(F.col("event_type") == "error")
+    b = e.select(F.col("event_id").alias("id"), "ts", F.lit("ERROR").alias("level"),
+                 F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" failed for user "),
+                          F.col("user_id").cast("string")).alias("message"))
+    return G.latest_bulletins(b)

@@ -187,3 +187,28 @@ def q_late_dropped(s, d):
     e = load(s, d, "events").select(F.col("event_id").alias("msg_id"), "ts")
     r = TP.watermark_drops(c.join(e, "msg_id"), "ts", "consumed_at", 60, 30)
     return r.withColumn("max_late_seconds", F.col("max_late_seconds").cast("double"))
+
+
+@register("topic_read", views=("topic_messages",), oracle="""
+select * from topic_messages where topic = 'click' and part_no = 1 and msg_offset >= 5
+order by msg_offset limit 10""")
+def q_topic_read(s, d):
+    from lakeloom.sources.files import bounded_topic_read
+    return bounded_topic_read(topic_messages(s, d), "click", 1, offset=5, limit=10)
+
+
+@register("topic_offsets", views=("topic_messages",), oracle="""
+select topic, part_no, min(msg_offset) as begin_offset, max(msg_offset) + 1 as end_offset
+from topic_messages group by topic, part_no""")
+def q_topic_offsets(s, d):
+    from lakeloom.sources.files import partition_offsets
+    return partition_offsets(topic_messages(s, d))
+
+
+@register("producer_metrics", views=("topic_messages",), oracle="""
+select time_bucket(interval '1 day', ts) as window_start,
+  time_bucket(interval '1 day', ts) + interval '1 day' as window_end, producer_id,
+  count(*) as messages, cast(sum(size_bytes) as bigint) as bytes
+from topic_messages group by 1, 2, producer_id""")
+def q_producer_metrics(s, d):
+    return TP.windowed_metrics(topic_messages(s, d, with_offsets=False), "1 day", ("producer_id",))

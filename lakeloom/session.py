@@ -62,8 +62,12 @@ def spread(df, min_partitions: int | None = None):
     """Rebalance before CPU-heavy per-row work only when the input is split more
     coarsely than the cluster can run (e.g. one large file): a no-op on a
     cluster scan with thousands of splits, a round-robin shuffle otherwise."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan alone
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
