@@ -307,3 +307,14 @@ def test_pruned_full_join_equals_full_join(spark, monkeypatch):
         for k in (1, 2, 3, 5, 8, 20):
             got = TR.submission_file_join(w, f, status=status, limit=k).collect()
             assert [tuple(r) for r in got] == [tuple(r) for r in full[:k]], (status, k)
+
+
+def test_convert_format_catalog_fallback_and_job_states(spark, tmp_path):
+    from lakeloom.streaming import topics as ST
+    src = tmp_path / "in.csv"
+    src.write_text("a,b\n1,x\n2,y\n")
+    K.convert_format(spark, str(src), "csv", str(tmp_path / "out"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert ST.resolve_catalog(spark, "no_such_catalog") == spark.catalog.currentCatalog()
+    assert ST.resolve_catalog(spark, "spark_catalog") == "spark_catalog"
+    assert ST.job_states(spark).count() == 0          # no active streams here
