@@ -118,13 +118,21 @@ def lineage_edges(msgs: DataFrame, consumed: DataFrame) -> DataFrame:
 
 def lineage_of(edges: DataFrame, node: str, hops: int = 2) -> DataFrame:
     """Edges within ``hops`` of ``node``; each hop is a semi join against the
-    frontier (the edge table is metadata-sized: producers x topics x groups)."""
+    frontier.  The edge table (producers x topics x groups, metadata-sized) and
+    each frontier are checkpointed to the shared folder, so every hop reads them
+    instead of re-deriving them and the plan stays linear in ``hops``."""
+    from lakeloom.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.checkpoint(eager=True)
     frontier = edges.sparkSession.createDataFrame([(node,)], "n string")
     seen = None
     for _ in range(hops):
-        hit = edges.join(frontier, (edges["src"] == frontier["n"]) | (edges["dst"] == frontier["n"]), "left_semi")
+        # two equi semi joins instead of one OR condition (which would be a nested loop)
+        hit = (edges.join(frontier, edges["src"] == frontier["n"], "left_semi")
+               .unionByName(edges.join(frontier, edges["dst"] == frontier["n"], "left_semi")))
         seen = hit if seen is None else seen.unionByName(hit)
-        frontier = hit.select(F.col("src").alias("n")).unionByName(hit.select(F.col("dst").alias("n"))).distinct()
+        frontier = (hit.select(F.col("src").alias("n")).unionByName(hit.select(F.col("dst").alias("n")))
+                    .distinct().checkpoint(eager=True))
     return seen.distinct()
 
 
