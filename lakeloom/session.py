@@ -45,16 +45,29 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def session_key(spark: SparkSession):
+    """Identity of a running session, for per-session plan caches."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext handle (remote session)
+        return id(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only when unset."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
-    if not path:
-        path = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: the server owns the context
+        pass
+    if not path and sc is not None:
+        path = sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
         path = tempfile.mkdtemp(prefix="lakeloom-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators.scan import grouped_rank
+from lakeloom.session import session_key
 from lakeloom.sources.tables import load
 
 
@@ -182,7 +183,7 @@ _VIEWS: dict[tuple, DataFrame] = {}
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a lazy plan, built once per session and scale folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (session_key(spark), sf_dir, name)
     df = _VIEWS.get(key)
     if df is None:
         df = _VIEWS[key] = BUILDERS[name](spark, sf_dir)

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.session import session_key
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -22,7 +24,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     The DataFrame (a plan, no data) is reused within a session, so the file
     listing and footer read happen once per table, not once per query."""
-    key = (spark.sparkContext.applicationId, table_path(sf_dir, name))
+    key = (session_key(spark), table_path(sf_dir, name))
     df = _PLANS.get(key)
     if df is None:
         df = _PLANS[key] = spark.read.parquet(table_path(sf_dir, name))
