@@ -138,13 +138,27 @@ def _plan_estimate(df: DataFrame) -> tuple[int, int] | None:
         return None
 
 
-def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # null-safe on the group keys: a NULL group is still a group
-    c = carry.select(*[F.col(k).alias(f"__ck_{k}") for k in keys], F.col(_PID).alias("__cpid"),
+_G = "__grp"
+
+
+def _with_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One struct column for the group keys.  Struct equality treats NULL fields
+    as equal, so plain ``=`` on it is null-safe, and hash partitioning on it is
+    exactly what the carry join asks for: the chunk window's exchange on
+    ``(group, chunk)`` already satisfies the join, and only the small carry
+    table is shuffled to meet it."""
+    return df.withColumn(_G, F.struct(*[F.col(k) for k in keys]))
+
+
+def _join_carry(local: DataFrame, carry: DataFrame) -> DataFrame:
+    c = carry.select(F.col(_G).alias("__cg"), F.col(_PID).alias("__cpid"),
                      *[F.col(x) for x in carry.columns if x.startswith("__c_")])
-    cond = [local[k].eqNullSafe(c[f"__ck_{k}"]) for k in keys] + [local[_PID] == c["__cpid"]]
-    joined = local.join(c, on=cond, how="left")
-    return joined.drop(*[f"__ck_{k}" for k in keys], "__cpid")
+    joined = local.join(c, (local[_G] == c["__cg"]) & (local[_PID] == c["__cpid"]), "left")
+    return joined.drop("__cg", "__cpid")
+
+
+def _carry_window() -> Window:
+    return Window.partitionBy(_G).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def grouped_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -162,14 +176,14 @@ def grouped_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return base.select(*[F.col(c) for c in df.columns],
                            *[F.coalesce(F.sum(f"__m_{n}").over(w), F.lit(0)).alias(n) for n in measures])
-    w_local = Window.partitionBy(*keys, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    ranged = _with_group(ranged, keys)
+    w_local = Window.partitionBy(_G, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = ranged.select(
         "*", *[F.coalesce(F.sum(f"__m_{n}").over(w_local), F.lit(0)).alias(f"__l_{n}") for n in measures])
-    summary = ranged.groupBy(*keys, _PID).agg(*[F.sum(f"__m_{n}").alias(f"__t_{n}") for n in measures])
-    w_carry = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, _PID, *[
-        F.coalesce(F.sum(f"__t_{n}").over(w_carry), F.lit(0)).alias(f"__c_{n}") for n in measures])
-    out = _join_carry(local, carry, keys)
+    summary = ranged.groupBy(_G, _PID).agg(*[F.sum(f"__m_{n}").alias(f"__t_{n}") for n in measures])
+    carry = summary.select(_G, _PID, *[
+        F.coalesce(F.sum(f"__t_{n}").over(_carry_window()), F.lit(0)).alias(f"__c_{n}") for n in measures])
+    out = _join_carry(local, carry)
     return out.select(*[F.col(c) for c in df.columns],
                       *[(F.col(f"__l_{n}") + F.coalesce(F.col(f"__c_{n}"), F.lit(0))).alias(n)
                         for n in measures])
@@ -185,17 +199,15 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     fn = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}[method]
     if ranged is None:
         return df.withColumn(out_col, fn().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    w_local = Window.partitionBy(*keys, _PID).orderBy(*order)
-    local = ranged.withColumn("__l", fn().over(w_local).cast("long"))
+    ranged = _with_group(ranged, keys)
+    local = ranged.withColumn("__l", fn().over(Window.partitionBy(_G, _PID).orderBy(*order)).cast("long"))
     if method == "dense_rank":
         # distinct order values per chunk; equal values never straddle chunks
-        summary = (ranged.groupBy(*keys, _PID)
-                   .agg(F.count_distinct(F.struct(*order)).alias("__t")))
+        summary = ranged.groupBy(_G, _PID).agg(F.count_distinct(F.struct(*order)).alias("__t"))
     else:
-        summary = ranged.groupBy(*keys, _PID).agg(F.count(F.lit(1)).alias("__t"))
-    w_carry = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, _PID, F.coalesce(F.sum("__t").over(w_carry), F.lit(0)).alias("__c_n"))
-    out = _join_carry(local, carry, keys)
+        summary = ranged.groupBy(_G, _PID).agg(F.count(F.lit(1)).alias("__t"))
+    carry = summary.select(_G, _PID, F.coalesce(F.sum("__t").over(_carry_window()), F.lit(0)).alias("__c_n"))
+    out = _join_carry(local, carry)
     return out.select(*[F.col(c) for c in df.columns],
                       (F.col("__l") + F.coalesce(F.col("__c_n"), F.lit(0))).cast("long").alias(out_col))
 
@@ -210,17 +222,17 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return base.select(*[F.col(c) for c in df.columns],
                            *[F.last(f"__v_{n}", ignorenulls=True).over(w).alias(n) for n in values])
-    w_local = Window.partitionBy(*keys, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = _with_group(ranged, keys)
+    w_local = Window.partitionBy(_G, _PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(w_local).alias(f"__l_{n}")
                                  for n in values])
     # last non-null value of each chunk: max_by over the order, nulls excluded
     order_key = F.struct(*order)
-    summary = ranged.groupBy(*keys, _PID).agg(*[
+    summary = ranged.groupBy(_G, _PID).agg(*[
         F.max_by(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), order_key)).alias(f"__t_{n}")
         for n in values])
-    w_carry = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, _PID, *[
-        F.last(f"__t_{n}", ignorenulls=True).over(w_carry).alias(f"__c_{n}") for n in values])
-    out = _join_carry(local, carry, keys)
+    carry = summary.select(_G, _PID, *[
+        F.last(f"__t_{n}", ignorenulls=True).over(_carry_window()).alias(f"__c_{n}") for n in values])
+    out = _join_carry(local, carry)
     return out.select(*[F.col(c) for c in df.columns],
                       *[F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n in values])
