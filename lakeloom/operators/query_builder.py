@@ -4,8 +4,8 @@ group by, order, limit and offset (P1-P5, A10, A11, A18, O1, C5).
 Filter values become typed literals and columns become Column expressions;
 no value is ever spliced into SQL text.  The select list and group-by list
 are SQL expressions by contract (the caller passes ``COUNT(*)``), so that
-part is handed to ``selectExpr`` / ``spark.sql`` over a temp view of the
-already-filtered frame.
+part is read by Spark's SQL parser over a temp view of the already-filtered
+frame.
 """
 
 from __future__ import annotations
@@ -83,31 +83,6 @@ def predicate(flt: Filter, faithful_contains: bool = False) -> Column:
     }[op]()
 
 
-def split_list(text: str) -> list[str]:
-    """Split a comma-separated expression list at top-level commas only."""
-    out, depth, quote, cur = [], 0, None, []
-    for ch in text:
-        if quote:
-            cur.append(ch)
-            if ch == quote:
-                quote = None
-            continue
-        if ch in "'\"`":
-            quote = ch
-        elif ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-        elif ch == "," and depth == 0:
-            out.append("".join(cur).strip())
-            cur = []
-            continue
-        cur.append(ch)
-    if "".join(cur).strip():
-        out.append("".join(cur).strip())
-    return out
-
-
 def describe(df: DataFrame) -> DataFrame:
     """``(column_name, column_type, null)`` from the schema (no data scan)."""
     rows = [(f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO") for f in df.schema.fields]
@@ -122,12 +97,12 @@ def run_file_query(df: DataFrame, q: FileQuery) -> DataFrame:
     if conds:
         df = df.filter(reduce(lambda a, b: a & b, conds))   # P5: intended conjunction
     cols = q.column_names if q.column_names and q.column_names.strip() else "*"
-    if q.group_by:
-        name = f"_fq_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(name)
-        out = df.sparkSession.sql(f"SELECT {cols} FROM {name} GROUP BY {q.group_by}")
-    else:
-        out = df.selectExpr(*split_list(cols))
+    # the select and group-by lists are SQL by contract: Spark's parser reads them
+    # over a view of the already-filtered frame (no value is spliced into text)
+    name = f"_fq_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    group = f" GROUP BY {q.group_by}" if q.group_by else ""
+    out = df.sparkSession.sql(f"SELECT {cols} FROM {name}{group}")
     if q.order_by:
         direction = (q.order_direction or "ASC").strip().upper()
         if direction not in ("ASC", "DESC"):

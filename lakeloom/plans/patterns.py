@@ -76,6 +76,8 @@ def document_to_table(spark: SparkSession, file_path: str, table_name: str, deli
     (or upsert) the table, and record one ``file_processing_stats`` row."""
     _require("document_to_table", {"file_path": file_path, "table_name": table_name})
     rows, meta = SRC.extract_delimited(spark, file_path, delimiter)
+    # row order of the extracted file: the id follows the scan's split order,
+    # which for one file is its byte order, and is the same on every evaluation
     records = rows.select(F.monotonically_increasing_id().alias("row_idx"),
                           F.to_json(F.struct(*rows.columns)).alias("record"))
     # extracted cells are strings, so every column infers as TEXT (as in the reference flow)

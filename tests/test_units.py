@@ -61,8 +61,9 @@ def test_select_group_order_limit_offset_describe(people):
     assert [x["name"] for x in page.collect()] == ["Bob", "Cal"]
     d = QB.run_file_query(people, QB.FileQuery(describe=True)).collect()
     assert [(x["column_name"], x["column_type"]) for x in d][:2] == [("name", "string"), ("age", "int")]
-    assert QB.split_list("a, COUNT(*), ROUND(x, 2) AS r, 'a,b' AS s") == ["a", "COUNT(*)", "ROUND(x, 2) AS r",
-                                                                         "'a,b' AS s"]
+    sel = QB.run_file_query(people, QB.FileQuery(column_names="name, ROUND(fare, 1) AS f, 'a,b' AS s",
+                                                 filters=[QB.Filter("name", "equal_to", "Ann")])).first()
+    assert (sel["name"], sel["f"], sel["s"]) == ("Ann", 7.3, "a,b")
 
 
 def test_chart_aggregate_and_pivot(people, spark):
