@@ -19,6 +19,7 @@ expressions are ascending.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 _PID = "__chunk"
 SAMPLE_PER_CHUNK = 20               # sampled rows per chunk when picking bounds
-SMALL_INPUT_BYTES = 256 * 1024 * 1024  # below this (plan estimate), one chunk per group is cheap enough
+# below this plan-size estimate, one chunk per group is cheap enough; setting
+# LAKELOOM_FORCE_CHUNKS=1 takes the large-input plans everywhere (for testing them)
+SMALL_INPUT_BYTES = 0 if os.environ.get("LAKELOOM_FORCE_CHUNKS") == "1" else 256 * 1024 * 1024
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
