@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from lakeloom.functions.scalar import round6
 from lakeloom.operators import portfolio as P
