@@ -157,12 +157,35 @@ def alerts(metrics: DataFrame, policies: DataFrame, entity_col: str = "topic") -
         F.lit(False).alias("is_read"))
 
 
-def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
-    """Session windows per key; a session closes after ``gap`` without events."""
-    g = events.groupBy(key, F.session_window(ts, gap).alias("s")).agg(
-        F.count(F.lit(1)).alias("events"), F.sum("value").alias("total_value"))
-    return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                    "events", "total_value")
+def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap_seconds: int = 1800,
+             tie: str = "event_id", value: str = "value") -> DataFrame:
+    """Session windows per key; a session closes after ``gap_seconds`` without
+    events (end = last event + gap), as ``session_window`` defines them.
+
+    ``session_window`` merges sessions after hashing by key, so one key's events
+    meet in one task.  Large inputs instead find session starts by gaps and
+    islands on the chunked operators: row numbers per key, the previous event
+    by an equi-join on ``(key, rn - 1)`` (unique pairs), a start where the gap
+    reaches the threshold, session ids as the chunked running count of starts,
+    then one aggregation per (key, session) combined map-side.
+    """
+    gap = F.make_dt_interval(secs=F.lit(gap_seconds))
+    if not needs_chunks(events):
+        g = events.groupBy(key, F.session_window(ts, f"{gap_seconds} seconds").alias("s")).agg(
+            F.count(F.lit(1)).alias("events"), F.sum(value).alias("total_value"))
+        return g.select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
+                        "events", "total_value")
+    from lakeloom.operators.scan import grouped_rank, grouped_running
+    base = events.select(key, ts, tie, value)
+    ranked = grouped_rank(base, [key], [F.col(ts), F.col(tie)], "__rn").withColumn("__g", F.struct(key))
+    prev = ranked.select(F.col("__g").alias("__pg"), (F.col("__rn") + 1).alias("__prn"), F.col(ts).alias("__prev"))
+    j = ranked.join(prev, (ranked["__g"] == prev["__pg"]) & (ranked["__rn"] == prev["__prn"]), "left")
+    starts = j.withColumn("__start", F.when(F.col("__prev").isNull() | (F.col(ts) >= F.col("__prev") + gap), 1)
+                          .otherwise(0).cast("long")).select(key, ts, tie, value, "__start")
+    numbered = grouped_running(starts, [key], [F.col(ts), F.col(tie)], {"__sid": F.col("__start")})
+    g = numbered.groupBy(key, "__sid").agg(F.min(ts).alias("session_start"), F.max(ts).alias("__last"),
+                                          F.count(F.lit(1)).alias("events"), F.sum(value).alias("total_value"))
+    return g.select(key, "session_start", (F.col("__last") + gap).alias("session_end"), "events", "total_value")
 
 
 def watermark_drops(records: DataFrame, event_ts: str, arrival_ts: str, trigger_seconds: int = 60,

@@ -85,7 +85,8 @@ def test_page_text_is_visible_text_only(spark):
 # (chunked / distributed / pruned) plans forced and compare with the oracle.
 ADAPTIVE = ["topic_metrics", "consumer_lag", "rank_parts", "running_sum", "analytic_orders", "join_asof",
             "rolling_hour_value", "join_range", "e2e_latency", "percentiles_value", "returns", "backtest",
-            "submission_file_full_join", "submission_file_full_join_status", "topic_read", "topic_offsets"]
+            "submission_file_full_join", "submission_file_full_join_status", "topic_read", "topic_offsets",
+            "session_activity"]
 
 
 @pytest.mark.parametrize("name", ADAPTIVE)
