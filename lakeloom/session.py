@@ -88,3 +88,28 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, kind, uuid.uuid4().hex)
     return path
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                 shuffle_ratio: float = 0.5) -> dict[str, str]:
+    """Settings sized for an input of ``input_bytes`` on ``total_cores`` cores.
+
+    Scan splits of ``target_partition_bytes``; shuffle partitions sized so an
+    expected shuffle of ``shuffle_ratio * input_bytes`` lands at about the same
+    bytes per partition (AQE coalesces the small ones and splits skewed ones),
+    never fewer than three waves of tasks.  The chunked ordered scans take their
+    chunk count from the shuffle partition count.
+    """
+    scan_bytes = str(target_partition_bytes)
+    shuffle_parts = max(3 * total_cores, int(input_bytes * shuffle_ratio // target_partition_bytes) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": scan_bytes,
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": scan_bytes,
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+    }

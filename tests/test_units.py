@@ -319,3 +319,12 @@ def test_convert_format_catalog_fallback_and_job_states(spark, tmp_path):
     assert ST.resolve_catalog(spark, "no_such_catalog") == spark.catalog.currentCatalog()
     assert ST.resolve_catalog(spark, "spark_catalog") == "spark_catalog"
     assert ST.job_states(spark).count() == 0          # no active streams here
+
+
+def test_cluster_conf_scales_with_input():
+    from lakeloom.session import cluster_conf
+    big = cluster_conf(100 * 2**40, 8000)
+    small = cluster_conf(2**30, 8)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // 2 // (256 * 2**20) + 1
+    assert int(small["spark.sql.shuffle.partitions"]) == 24
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
