@@ -328,3 +328,24 @@ def test_cluster_conf_scales_with_input():
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // 2 // (256 * 2**20) + 1
     assert int(small["spark.sql.shuffle.partitions"]) == 24
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_band_join_and_sampling_edges(spark):
+    from lakeloom.operators.joins import band_join_count
+    from lakeloom.operators.topics import sample_output
+    t = "timestamp_ntz"
+    left = spark.createDataFrame([(1, 10, "2024-01-01 01:00:00"), (1, 11, "2024-01-01 03:00:00")],
+                                 "u int, id int, ts string").withColumn("ts", F.col("ts").cast(t))
+    right = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:30:00", 2.0),
+                                   (1, "2024-01-01 01:00:00", 4.0), (2, "2024-01-01 00:30:00", 8.0)],
+                                  "u int, ts string, v double").withColumn("ts", F.col("ts").cast(t))
+    got = {r["id"]: (r["matches"], r["s"]) for r in
+           band_join_count(left, right, ["u"], "ts", "ts", 3600, "id", {"s": F.col("v")}).collect()}
+    assert got == {10: (2, 3.0), 11: (0, None)}          # [t - 1h, t): 00:00 and 00:30
+    incl = {r["id"]: r["matches"] for r in
+            band_join_count(left, right, ["u"], "ts", "ts", 3600, "id", inclusive_end=True).collect()}
+    assert incl == {10: 3, 11: 0}
+    ev = spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}") for i in range(10)], "id int, ts string") \
+        .withColumn("ts", F.col("ts").cast(t))
+    assert [r["id"] for r in sample_output(ev, "ts", "id", 0, 6, 3).collect()] == [3, 4, 5]
+    assert [r["id"] for r in sample_output(ev, "ts", "id", 3000, 100, 100).collect()] == [0, 3, 6, 9]
