@@ -105,3 +105,32 @@ def q_flow_bulletins(s, d):
                  F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" failed for user "),
                           F.col("user_id").cast("string")).alias("message"))
     return G.latest_bulletins(b)
+
+
+@register("json_rendering", oracle="""
+select cast(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name, c_nationkey := c_nationkey,
+  c_mktsegment := c_mktsegment)) as varchar) as value
+from customer""")
+def q_json_rendering(s, d):
+    from lakeloom.sinks.tables import json_records
+    c = load(s, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return json_records(c)
+
+
+@register("pipe_rendering", oracle="""
+select 0 as o, 'c_custkey | c_name | c_mktsegment' as value
+union all
+select 1 as o, concat_ws(' | ', coalesce(cast(c_custkey as varchar), ''), coalesce(c_name, ''),
+  coalesce(c_mktsegment, '')) as value
+from customer""")
+def q_pipe_rendering(s, d):
+    from lakeloom.sinks.tables import pipe_text
+    return pipe_text(load(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+
+
+@register("rows_as_json_arrays", oracle="""
+select cast(to_json([cast(n_nationkey as varchar), n_name, cast(n_regionkey as varchar)]) as varchar) as "row"
+from nation""")
+def q_rows_as_json_arrays(s, d):
+    from lakeloom.plans.catalog import rows_as_json
+    return rows_as_json(load(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
