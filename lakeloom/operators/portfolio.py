@@ -113,7 +113,7 @@ def best_weights(rets: DataFrame, steps: int = GRID_STEPS) -> DataFrame:
     explodes (no join); the number of symbols is checked against a bound
     since the grid grows as C(steps+n-1, n-1).
     """
-    stats = _stats_row(rets).cache()
+    stats = _stats_row(rets)
     n = stats.select(F.size("mu")).first()[0]
     if n == 0:
         return rets.sparkSession.createDataFrame([], "symbol string, weight double, ret double, risk double, "
