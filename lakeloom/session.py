@@ -113,3 +113,29 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
         "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
         "spark.sql.session.timeZone": "UTC",
     }
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> str | None:
+    """Send this package to the executors (``addPyFile`` of a zip), once per
+    application, so Python UDFs defined here import on every worker."""
+    key = session_key(spark)
+    if key in _SHIPPED:
+        return None
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="lakeloom-pkg-"), "lakeloom.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    try:
+        spark.sparkContext.addPyFile(out)
+    except Exception:  # noqa: BLE001 - remote sessions ship code with spark.addArtifacts instead
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(key)
+    return out
