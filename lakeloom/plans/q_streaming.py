@@ -45,3 +45,21 @@ def q_stream_latest_state(s, d):
     q.awaitTermination()
     mv = read_materialized_view(s, path, ["user_id"], ["ts", "event_id"])
     return mv.select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@register("stream_topic_metrics", oracle="""
+select time_bucket(interval '1 hour', ts) as window_start, event_type as topic, count(*) as messages,
+  cast(sum(length(props)) as bigint) as bytes
+from events group by 1, 2""")
+def q_stream_topic_metrics(s, d):
+    """T10 as a stateful stream: hourly windows per topic with a watermark, update
+    mode into the changelog view; the view's final state is the batch answer."""
+    stream = event_time(events_stream(s, d), "ts").withWatermark("ts", "1 hour")
+    agg = (stream.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("topic"))
+           .agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("props")).cast("long").alias("bytes"))
+           .select(F.col("w.start").alias("window_start"), "topic", "messages", "bytes"))
+    q, path = start_materialized_view(agg, ["window_start", "topic"], [], name=f"mvw_{uuid.uuid4().hex[:8]}",
+                                      output_mode="update")
+    q.awaitTermination()
+    mv = read_materialized_view(s, path, ["window_start", "topic"], [])
+    return mv.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "topic", "messages", "bytes")

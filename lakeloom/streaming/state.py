@@ -42,7 +42,8 @@ def start_materialized_view(stream: DataFrame, keys: Sequence[str], order: Seque
     checkpoint = checkpoint or scratch_path(spark, f"mv/{name}/checkpoint")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(latest_per_key(batch, keys, order), path, batch_id)
+        # with no order the batch already has one row per key (an aggregation's update)
+        _write_batch(latest_per_key(batch, keys, order) if order else batch, path, batch_id)
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(output_mode)
          .queryName(name).trigger(**trigger_kwargs(trigger)).start())
