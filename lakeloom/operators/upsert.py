@@ -94,23 +94,21 @@ POLL_TIMEOUT_SECONDS = 600
 TIMEOUT_MESSAGE = "Polling timeout exceeded"
 
 
-def fold_status(events: DataFrame, timeout_seconds: int = POLL_TIMEOUT_SECONDS) -> DataFrame:
-    """Final submission state per trace from its ordered event log.
-
-    Terminal candidates: first ``crew_kickoff_completed`` (completed, flag set),
-    first ``api_error`` (completed, flag set, no output), and the poll timeout
-    (failed at start + timeout) when any event lies past it.  The earliest
-    candidate wins (ties: kickoff, api error, timeout); events after it are
-    ignored.  Without a terminal event the trace is ``in-progress`` when an
-    ``events`` row exists, else ``submitted``.  Pure aggregation per trace.
-    """
+def status_aggregates(events: DataFrame) -> DataFrame:
+    """Per trace: start, first kickoff, first API error, last event time and the
+    number of ``events`` rows -- everything the status decision needs.  A plain
+    aggregation (map-side combined), so it also runs as a streaming aggregate."""
     kind, at = F.col("kind"), F.col("at")
-    g = events.groupBy("trace_id").agg(
+    return events.groupBy("trace_id").agg(
         F.min(F.when(kind == "submitted", at)).alias("start"),
         F.min(F.when(kind == "crew_kickoff_completed", at)).alias("t_kick"),
         F.min(F.when(kind == "api_error", at)).alias("t_err"),
         F.max(at).alias("t_last"),
         F.count_if(kind == "events").alias("n_events"))
+
+
+def decide_status(g: DataFrame, timeout_seconds: int = POLL_TIMEOUT_SECONDS) -> DataFrame:
+    """The status rule applied to ``status_aggregates`` rows (see ``fold_status``)."""
     deadline = F.col("start") + F.make_dt_interval(secs=F.lit(timeout_seconds))
     t_to = F.when(F.col("t_last") > deadline, deadline)
     cands = F.array(
@@ -127,3 +125,16 @@ def fold_status(events: DataFrame, timeout_seconds: int = POLL_TIMEOUT_SECONDS)
         F.coalesce(term_kind.isin("kick", "api_error"), F.lit(False)).alias("crew_kickoff_completed"),
         F.col("term.t").alias("completed_at"),
         F.when(term_kind == "timeout", F.lit(TIMEOUT_MESSAGE)).alias("error_message"))
+
+
+def fold_status(events: DataFrame, timeout_seconds: int = POLL_TIMEOUT_SECONDS) -> DataFrame:
+    """Final submission state per trace from its ordered event log.
+
+    Terminal candidates: first ``crew_kickoff_completed`` (completed, flag set),
+    first ``api_error`` (completed, flag set, no output), and the poll timeout
+    (failed at start + timeout) when any event lies past it.  The earliest
+    candidate wins (ties: kickoff, api error, timeout); events after it are
+    ignored.  Without a terminal event the trace is ``in-progress`` when an
+    ``events`` row exists, else ``submitted``.  Pure aggregation per trace.
+    """
+    return decide_status(status_aggregates(events), timeout_seconds)

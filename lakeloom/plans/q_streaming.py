@@ -63,3 +63,28 @@ def q_stream_topic_metrics(s, d):
     q.awaitTermination()
     mv = read_materialized_view(s, path, ["window_start", "topic"], [])
     return mv.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "topic", "messages", "bytes")
+
+
+# oracle: the batch fold's SQL (attached in registry.load_all)
+@register("stream_status_machine")
+def q_stream_status_machine(s, d):
+    """T9 as a stateful stream: the derived status log is landed in the shared
+    folder and streamed in several micro-batches; the per-trace aggregate runs in
+    the JVM state store (update mode) into the changelog view, and the status
+    rule is applied to the view's final state.  (``streaming.state.status_machine``
+    adds the event-time timeout of the poller, in Python, for live streams.)"""
+    from lakeloom.operators.upsert import decide_status, status_aggregates
+    from lakeloom.session import scratch_path
+    from lakeloom.sources.derived import view
+    from lakeloom.streaming.topics import file_stream
+    ev = view(s, d, "status_events")
+    landed = scratch_path(s, "status_log")
+    ev.repartitionByRange(2, "at").write.parquet(landed)
+    stream = event_time(file_stream(s, landed, "parquet", ev.schema, max_files_per_trigger=1), "at")
+    agg = status_aggregates(stream.withWatermark("at", "36500 days"))
+    q, path = start_materialized_view(agg, ["trace_id"], [], name=f"status_{uuid.uuid4().hex[:8]}",
+                                      output_mode="update")
+    q.awaitTermination()
+    state = read_materialized_view(s, path, ["trace_id"], []).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("start", "t_kick", "t_err", "t_last")})
+    return decide_status(state)

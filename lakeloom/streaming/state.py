@@ -111,15 +111,10 @@ def _status_fn(timeout_us: int):
         trace_id = key[0]
         if state.exists:
             s = state.get
-            st = {"start": s[0], "t_kick": s[1], "t_err": s[2], "t_last": s[3], "n_events": s[4], "done": s[5]}
+            st = {"start": s[0], "t_kick": s[1], "t_err": s[2], "t_last": s[3], "n_events": s[4]}
         else:
-            st = {"start": None, "t_kick": None, "t_err": None, "t_last": None, "n_events": 0, "done": False}
+            st = {"start": None, "t_kick": None, "t_err": None, "t_last": None, "n_events": 0}
         fired = state.hasTimedOut
-        if st["done"]:
-            # terminal states are sticky; the second timer only clears the state
-            if fired:
-                state.remove()
-            return
         if not fired:
             for pdf in pdfs:
                 at = (pd.to_datetime(pdf["at"]).astype("int64") // 1000)
@@ -133,12 +128,19 @@ def _status_fn(timeout_us: int):
                     v = int(at.max())
                     st["t_last"] = v if st["t_last"] is None else max(st["t_last"], v)
                 st["n_events"] += int((kind == "events").sum())
-        status, flag, t, err, final = _decide(st, timeout_us, fired)
-        state.update((st["start"], st["t_kick"], st["t_err"], st["t_last"], st["n_events"], final))
-        if st["start"] is not None:
-            # open trace: fire at the deadline; closed trace: clear one timeout later
-            due_ms = (st["start"] + timeout_us * (2 if final else 1)) // 1000
-            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
+        # decided by event time from everything accepted so far; an earlier event
+        # arriving later (still above the watermark) can change the answer
+        status, flag, t, err, _ = _decide(st, timeout_us, fired)
+        if fired:
+            # the watermark passed the deadline: nothing that could change the
+            # outcome can still be accepted, so the state is released
+            state.remove()
+        else:
+            state.update((st["start"], st["t_kick"], st["t_err"], st["t_last"], st["n_events"], False))
+            anchor = st["start"] if st["start"] is not None else st["t_last"]
+            if anchor is not None:
+                due_ms = (anchor + timeout_us) // 1000
+                state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"trace_id": [trace_id], "status": [status], "crew_kickoff_completed": [flag],
                             "completed_at": [pd.Timestamp(t * 1000) if t is not None else None],
                             "error_message": [err]})
@@ -147,8 +149,12 @@ def _status_fn(timeout_us: int):
 
 def status_machine(events: DataFrame, timeout_seconds: int = POLL_TIMEOUT_SECONDS) -> DataFrame:
     """T9 on a stream of ``(trace_id, seq, kind, at)``; ``at`` must carry a watermark.
-    Emits the current state of every trace touched in a batch (update mode) and a
-    ``failed`` row when the event-time timer passes start + timeout."""
+
+    Emits the current decision of every trace touched in a batch (update mode),
+    decided by event time exactly like the batch fold, so out-of-order arrival
+    does not change the answer.  When the watermark passes start + timeout the
+    trace is final: an open trace becomes ``failed`` (the poller's timeout) and
+    its state is dropped, so state lives no longer than the watermark allows."""
     return events.groupBy("trace_id").applyInPandasWithState(
         _status_fn(timeout_seconds * 1_000_000), STATUS_OUTPUT, STATUS_STATE, "update",
         GroupStateTimeout.EventTimeTimeout)
