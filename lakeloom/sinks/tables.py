@@ -242,3 +242,15 @@ def convert_format(spark: SparkSession, src: str, in_fmt: str, dst: str, out_fmt
     if in_fmt == "csv":
         r = r.option("header", (read_options or {}).get("header", "true"))
     write_files(r.load(src), dst, out_fmt, mode="overwrite", options=write_options)
+
+
+def save_bucketed(df: DataFrame, name: str, by: Sequence[str], buckets: int, sort_by: Sequence[str] = (),
+                  mode: str = "overwrite") -> None:
+    """Write a catalog table bucketed (and optionally sorted) on ``by``: later
+    joins or aggregations of two tables bucketed the same way on the same keys
+    read co-located buckets and skip the shuffle (e.g. submissions and file
+    stats bucketed on the file name for J1/J2)."""
+    w = df.write.mode(mode).format("parquet").bucketBy(buckets, *by)
+    if sort_by:
+        w = w.sortBy(*sort_by)
+    w.saveAsTable(name)

@@ -349,3 +349,20 @@ def test_band_join_and_sampling_edges(spark):
         .withColumn("ts", F.col("ts").cast(t))
     assert [r["id"] for r in sample_output(ev, "ts", "id", 0, 6, 3).collect()] == [3, 4, 5]
     assert [r["id"] for r in sample_output(ev, "ts", "id", 3000, 100, 100).collect()] == [0, 3, 6, 9]
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    import uuid as _uuid
+    a, b = "ba_" + _uuid.uuid4().hex[:8], "bb_" + _uuid.uuid4().hex[:8]
+    K.save_bucketed(spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x")), a, ["k"], 8,
+                    sort_by=["k"])
+    K.save_bucketed(spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("y")), b, ["k"], 8,
+                    sort_by=["k"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table(a).join(spark.table(b), "k")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert j.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
