@@ -127,3 +127,17 @@ def test_complete_prices_paths_agree(spark, monkeypatch):
     large = P.complete_prices(p)
     assert small.count() == large.count() == prices(spark, SF).count()
     assert small.exceptAll(large).count() == 0
+
+
+def test_hot_key_spread_evenly_over_chunks(spark, monkeypatch):
+    """One key holds half the rows: no (group, chunk) task may hold much more
+    than an even share of the data."""
+    _force_chunks(monkeypatch)
+    n, chunks = 20000, 16
+    df = spark.range(0, n).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"),
+                                  F.col("id").alias("v"))
+    ranged = scan._chunked(df, ["k"], [F.col("v")], chunks)
+    sizes = [r["n"] for r in ranged.groupBy("k", scan._PID).agg(F.count("*").alias("n")).collect()]
+    hot = [r["n"] for r in ranged.filter(F.col("k") == 0).groupBy(scan._PID).agg(F.count("*").alias("n")).collect()]
+    assert len(hot) >= chunks // 2                     # the hot key spans many chunks
+    assert max(sizes) <= 3 * n / chunks                # and no piece is much above an even share
