@@ -17,10 +17,11 @@ READONLY_REFUSAL = "Only read-only queries are allowed."
 ALLOWED_CONNECTORS = ("local-kafka",)
 KNOWN_FORMATS = ("json", "csv", "avro", "parquet", "orc", "text", "xml")
 
-_WRITE_PLAN_WORDS = ("InsertInto", "CreateTable", "CreateView", "DropTable", "AlterTable", "SetCatalog",
-                     "AppendData", "OverwriteByExpression", "OverwritePartitions", "DeleteFromTable",
-                     "UpdateTable", "MergeIntoTable", "TruncateTable", "CreateNamespace", "DropNamespace",
-                     "SetNamespace", "Command")
+# Root nodes of a parsed statement that write or change state.
+_WRITE_NODES = {"InsertIntoStatement", "InsertIntoDir", "MergeIntoTable", "DeleteFromTable", "UpdateTable",
+                "AppendData", "OverwriteByExpression", "OverwritePartitionsDynamic", "CreateTableAsSelect",
+                "ReplaceTableAsSelect", "CreateTable", "ReplaceTable", "CreateView", "DropTable", "DropView",
+                "TruncateTable"}
 
 
 class SqlRefused(ValueError):
@@ -39,14 +40,21 @@ def readonly_sql(spark: SparkSession, sql: str, check_plan: bool = True) -> Data
     ``WITH … INSERT`` (which passes the word guard) is refused too."""
     if first_word(sql) not in READONLY_PREFIXES:
         raise SqlRefused(READONLY_REFUSAL)
-    if check_plan and first_word(sql) in ("with", "select"):
-        plan = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
-        parsed = plan.split("== Analyzed Logical Plan ==")[0]
-        if any(w in parsed for w in _WRITE_PLAN_WORDS):
-            raise SqlRefused(READONLY_REFUSAL)
+    if check_plan and first_word(sql) in ("with", "select") and _writes(spark, sql):
+        raise SqlRefused(READONLY_REFUSAL)
     return spark.sql(sql)
 
 
+def _writes(spark: SparkSession, sql: str) -> bool:
+    """Whether the parsed statement (CTE wrappers removed) is a write or a command."""
+    jvm = spark._jvm
+    node = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    while node.nodeName() in ("UnresolvedWith", "WithCTE"):
+        node = node.child()
+    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    return node.getClass().getSimpleName() in _WRITE_NODES or command.isInstance(node)
+
+
 def rows_as_json(df: DataFrame) -> DataFrame:
     """Each row as a JSON array of strings (non-JSON values stringified)."""
     return df.select(F.to_json(F.array(*[F.col(c).cast("string") for c in df.columns])).alias("row"))

@@ -366,3 +366,11 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_readonly_guard_reads_the_parsed_plan(spark):
+    spark.range(2).createOrReplaceTempView("guard_cols")
+    # a column called "Command" is data, not a command
+    assert C.readonly_sql(spark, "SELECT id AS Command, 'InsertIntoStatement' AS s FROM guard_cols").count() == 2
+    assert C.readonly_sql(spark, "WITH a AS (SELECT 1 AS id) SELECT * FROM a").first()["id"] == 1
+    assert C.readonly_sql(spark, "SHOW TABLES").count() >= 0
