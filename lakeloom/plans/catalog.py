@@ -94,17 +94,33 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def analyze_sql(spark: SparkSession, sql: str) -> dict:
-    """Parse, analyse and plan without running; errors come back as data."""
+    """Parse and analyse without running anything (commands are not
+    executed: only their analysed plan is returned); errors come back as data."""
     try:
-        df = spark.sql(sql)
-        return {"valid": True, "columns": df.columns, "plan": _explain(df)}
-    except (ParseException, AnalysisException) as e:
-        return {"valid": False, "error_type": type(e).__name__, "error_message": str(e).split("\n")[0]}
-
-
-def _explain(df: DataFrame) -> str:
-    jvm = df.sparkSession._jvm
-    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        state = spark._jsparkSession.sessionState()
+        parsed = state.sqlParser().parsePlan(sql)
+        modes = getattr(getattr(spark._jvm.org.apache.spark.sql.execution, "CommandExecutionMode$"), "MODULE$")
+        qe = state.executePlan(parsed, modes.SKIP())      # SKIP: commands are never run
+        analyzed = qe.analyzed()
+        command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+        if command.isInstance(analyzed) or analyzed.getClass().getSimpleName() in _WRITE_NODES:
+            return {"valid": True, "command": True, "plan": analyzed.treeString()}
+        names = [a.name() for a in _seq(analyzed.output())]
+        return {"valid": True, "command": False, "columns": names,
+                "plan": spark._jvm.PythonSQLUtils.explainString(qe, "formatted")}
+    except Exception as e:  # noqa: BLE001 - parse and analysis errors are the answer
+        from py4j.protocol import Py4JJavaError
+        from pyspark.errors.exceptions.captured import convert_exception
+        err = convert_exception(e.java_exception) if isinstance(e, Py4JJavaError) else e
+        text = str(err)
+        kind = type(err).__name__
+        if "PARSE_SYNTAX_ERROR" in text:
+            kind = "ParseException"
+        return {"valid": False, "error_type": kind, "error_message": text.strip().split("\n")[0][:500]}
+
+
+def _seq(jseq) -> list:
+    return [jseq.apply(i) for i in range(jseq.size())]
 
 
 def dataset(spark: SparkSession, table_name: str, ds_name: str) -> tuple[DataFrame, list[str]]:

@@ -374,3 +374,12 @@ def test_readonly_guard_reads_the_parsed_plan(spark):
     assert C.readonly_sql(spark, "SELECT id AS Command, 'InsertIntoStatement' AS s FROM guard_cols").count() == 2
     assert C.readonly_sql(spark, "WITH a AS (SELECT 1 AS id) SELECT * FROM a").first()["id"] == 1
     assert C.readonly_sql(spark, "SHOW TABLES").count() >= 0
+
+
+def test_analyze_never_executes(spark):
+    name = "keep_" + uuid.uuid4().hex[:8]
+    spark.sql(f"CREATE TABLE {name} (id BIGINT) USING parquet")
+    r = C.analyze_sql(spark, f"DROP TABLE {name}")
+    assert r["valid"] and r["command"] and spark.catalog.tableExists(name)
+    r = C.analyze_sql(spark, f"INSERT INTO {name} VALUES (1)")
+    assert r["valid"] and spark.table(name).count() == 0
