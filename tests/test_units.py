@@ -383,3 +383,15 @@ def test_analyze_never_executes(spark):
     assert r["valid"] and r["command"] and spark.catalog.tableExists(name)
     r = C.analyze_sql(spark, f"INSERT INTO {name} VALUES (1)")
     assert r["valid"] and spark.table(name).count() == 0
+
+
+def test_json_and_db_value_helpers(spark):
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([('{"b": [1, 2], "a": {"x": null}}', "2024-01-02", (1, "z")), ("{oops", None, None)],
+                               "j string, d string, s struct<i:int, t:string>")
+    r = df.select(S.json_normalize("j").alias("n"), S.json_path("j", "$.a.x", "none").alias("p"),
+                  S.to_db_value(F.col("d").cast("date"), T.DateType()).alias("ts"),
+                  S.to_db_value("s", df.schema["s"].dataType).alias("sj")).collect()
+    assert json.loads(r[0]["n"]) == {"a": {"x": None}, "b": [1, 2]} and r[1]["n"] is None
+    assert r[0]["p"] == "none" and r[1]["p"] == "none"
+    assert str(r[0]["ts"]).startswith("2024-01-02 00:00:00") and r[0]["sj"] == '{"i":1,"t":"z"}'
