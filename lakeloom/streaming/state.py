@@ -50,8 +50,16 @@ def start_materialized_view(stream: DataFrame, keys: Sequence[str], order: Seque
     return q, path
 
 
-def read_materialized_view(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    log = spark.read.parquet(path)
+def read_materialized_view(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str],
+                           schema=None) -> DataFrame:
+    """The view's current rows.  Before the first batch lands there is no log:
+    with ``schema`` (the stream's row schema) the view is then empty."""
+    try:
+        log = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - no batch written yet
+        if schema is None:
+            raise
+        return spark.createDataFrame([], schema)
     cols = [c for c in log.columns if c != BATCH_COL]
     return latest_per_key(log, keys, [*order, BATCH_COL], cols)
 

@@ -187,3 +187,9 @@ def test_dedup_within_watermark(spark):
     q.awaitTermination()
     n = spark.read.parquet(sink + "/d").count()
     assert 0 < n <= load(spark, SF, "events").count()
+
+
+def test_materialized_view_before_any_batch(spark):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    empty = SS.read_materialized_view(spark, _tmp("nomv") + "/never", ["k"], [], schema=schema)
+    assert empty.count() == 0 and empty.columns == ["k", "v"]
