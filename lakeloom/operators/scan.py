@@ -7,9 +7,11 @@ operators cut the composite sort key ``(keys, order)`` into chunks at
 quantile bounds taken from a seeded sample: a hot key spans many chunks, and
 rows with equal ``(keys, order)`` always share a chunk, which keeps ``rank``
 and ``dense_rank`` exact across chunk borders.  Each chunk is scanned locally
-(window over ``(keys, chunk)``, one shuffle), a summary of at most
-``groups x chunks`` rows gives the carry-in from earlier chunks, and a join
-on ``(keys, chunk)`` adds it back.
+(window over ``(group, chunk)``, one shuffle; the group is one struct of the
+keys), a summary of at most ``groups + chunks`` rows gives the carry-in from
+earlier chunks, and a join on the same ``(group, chunk)`` columns adds it
+back without shuffling the big side again.  Small inputs (by Catalyst's size
+estimate) use a plain window, which gives the same answer.
 
 The chunk id is a pure function of the row (a binary-search ``CASE`` tree
 over literal bounds), so both branches of the plan, and any task re-run after
