@@ -88,3 +88,36 @@ def q_stream_status_machine(s, d):
     state = read_materialized_view(s, path, ["trace_id"], []).withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("start", "t_kick", "t_err", "t_last")})
     return decide_status(state)
+
+
+# oracle: the batch consumer_lag SQL (attached in registry.load_all)
+@register("stream_consumer_lag")
+def q_stream_consumer_lag(s, d):
+    """T11 on streams: produced messages (with offsets) and consumed reads are
+    landed in the shared folder and streamed; each side is a stateful max-offset
+    aggregate (update mode) in a changelog view, and lag is read from the views."""
+    from lakeloom.session import scratch_path
+    from lakeloom.sources.derived import consumed, topic_messages
+    from lakeloom.streaming.topics import file_stream
+    msgs = topic_messages(s, d).select("msg_id", "topic", "part_no", "msg_offset")
+    reads = consumed(s, d).select("msg_id", "group_id").join(msgs, "msg_id")
+    land_m, land_r = scratch_path(s, "lag_msgs"), scratch_path(s, "lag_reads")
+    msgs.repartition(2).write.parquet(land_m)
+    reads.repartition(2).write.parquet(land_r)
+    ends = (file_stream(s, land_m, "parquet", msgs.schema, max_files_per_trigger=1)
+            .groupBy("topic", "part_no").agg((F.max("msg_offset") + 1).alias("end_offset")))
+    done = (file_stream(s, land_r, "parquet", reads.schema, max_files_per_trigger=1)
+            .groupBy("group_id", "topic", "part_no").agg((F.max("msg_offset") + 1).alias("committed_offset")))
+    tag = uuid.uuid4().hex[:8]
+    q1, p1 = start_materialized_view(ends, ["topic", "part_no"], [], name=f"lag_e_{tag}", output_mode="update")
+    q2, p2 = start_materialized_view(done, ["group_id", "topic", "part_no"], [], name=f"lag_c_{tag}",
+                                     output_mode="update")
+    q1.awaitTermination()
+    q2.awaitTermination()
+    e = read_materialized_view(s, p1, ["topic", "part_no"], [])
+    c = read_materialized_view(s, p2, ["group_id", "topic", "part_no"], [])
+    subs = c.select("group_id", "topic").distinct()
+    j = subs.join(e, "topic").join(c, ["group_id", "topic", "part_no"], "left")
+    return j.select("group_id", "topic", "part_no", "end_offset",
+                    F.coalesce("committed_offset", F.lit(0)).alias("committed_offset"),
+                    (F.col("end_offset") - F.coalesce("committed_offset", F.lit(0))).alias("lag"))

@@ -38,3 +38,5 @@ def load_all() -> None:
     # the streamed status machine must reproduce the batch fold exactly
     if "stream_status_machine" in QUERIES and "status_fold" in ORACLES:
         ORACLES["stream_status_machine"] = ORACLES["status_fold"]
+    if "stream_consumer_lag" in QUERIES and "consumer_lag" in ORACLES:
+        ORACLES["stream_consumer_lag"] = ORACLES["consumer_lag"]
