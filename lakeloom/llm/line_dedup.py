@@ -6,8 +6,7 @@ shingle fills ``BANDS * ROWS`` bins (one-permutation MinHash); bins that stay em
 pseudo-random filled one.  ``BANDS`` keys of ``ROWS`` bins each find a pair of similarity 0.8
 with probability 0.99 and of 0.9 with 0.9999.  Classes that share a key are paired with the
 key's smallest class only; each pair is verified by its exact Jaccard similarity; those that
-fail are paired among themselves again under a new leader until no key holds two unlinked
-classes.  Distributed union-find makes components, and of each component the line of the
+fail elect leaders among themselves, key by key.  Distributed union-find makes components, and of each component the line of the
 smallest (doc_id, line number) stays.
 
 Results.  Every input row comes back once with all its columns, its text being the lines kept,
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import U64, bounded, char_shingles, cut, mix, prepare
+from lakeloom.llm.common import U64, bounded, char_shingles, cut, mix, overlap, prepare
 from lakeloom.llm.linking import components, verified
 
 WIDTH, MIN_WORDS = 9, 5
@@ -37,7 +36,7 @@ BANDS, ROWS = 12, 5
 #: Similarity, as num/den, from which two lines are the same.
 NUM, DEN = 8, 10
 #: Line classes that one scan task remembers, so that repeated lines are signed once.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def normal(line: str) -> str:
@@ -137,8 +136,38 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, min_words: int) -> Iter
                                          ["doc", "line", "cid", "keys"])
 
 
-def _lines_of(texts: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id = class, text = line) of the classes in ``ids``, read again from their owners' texts."""
+def _elect(members: DataFrame, lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the members of each key: a member joins the leaders it is like, or leads itself.
+
+    A key's leaders are lines that agree in a whole band and still differ, which are few; the
+    task holds their sets, and members stream by."""
+    rows = members.join(lines, members["cid"] == lines["id"]).select("key", "cid", "text").repartition("key").sortWithinPartitions("key", "cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaders = None, []
+        for batch in batches:
+            a, b = [], []
+            keys, cids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for key, cid, s in zip(keys, cids, _sets(width, batch.column(2).to_pylist())):
+                if key != at:
+                    at, leaders = key, []
+                alone = True
+                for other, t in leaders:
+                    same = overlap(s, t)
+                    if same * den >= (len(s) + len(t) - same) * num:
+                        a.append(other)
+                        b.append(cid)
+                        alone = False
+                if alone:
+                    leaders.append((cid, s))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _lines_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id = class, text = line) of the classes in ``pairs``, read again from their owners' texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     owners = cut(classes.join(bounded(ids.select(F.col("id").alias("cid"))), "cid", "left_semi").select("cid", "owner.doc", "owner.line"))
     per_doc = owners.groupBy("doc").agg(F.collect_set("line").alias("lines"))
 
@@ -174,28 +203,22 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     w = Window.partitionBy("key")
     shared = keyed.select("cid", "key", F.min("cid").over(w).alias("lead"), F.max("cid").over(w).alias("last"))
     shared = cut(shared.where("lead <> last").select("key", "cid").distinct())
-    links = None
-    while True:
-        led = shared.select("key", "cid", F.min("cid").over(w).alias("lead")).where("cid <> lead")
-        led = cut(led)
-        pairs = cut(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
-        if not pairs.limit(1).count():
-            break
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        tested = cut(verified(pairs, _lines_of(texts, classes, ids), partial(_sets, width)))
-        same = tested.where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
-        links = same if links is None else links.union(same)
-        # the rest of each key elects a new leader
-        left = led.join(same.select(F.col("a").alias("lead"), F.col("b").alias("cid")), ["lead", "cid"], "left_anti").select("key", "cid")
-        shared = cut(left.join(left.groupBy("key").count().where("count > 1").select("key"), "key"))
-    roots = components(links) if links is not None else None
+    led = shared.withColumn("lead", F.min("cid").over(w)).where("cid <> lead")
+    pairs = cut(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
+    tested = cut(verified(pairs, _lines_of(texts, classes, pairs), partial(_sets, width)))
+    links = tested.where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
+    # those that failed elect leaders among themselves, key by key, in one stream
+    left = led.join(links.toDF("lead", "cid"), ["lead", "cid"], "left_anti").select("key", "cid")
+    left = cut(left.join(left.groupBy("key").count().where("count > 1").select("key"), "key"))
+    if left.limit(1).count():
+        links = links.union(_elect(left, _lines_of(texts, classes, left.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), width, num, den))
+    roots = components(links)
 
     kept = classes.where("n > 1").select("cid", F.col("owner").alias("keep"))
-    if roots is not None:
-        named = roots.join(classes, roots["id"] == classes["cid"]).select("id", "root", "owner")
-        best = named.groupBy("root").agg(F.min("owner").alias("best"))
-        named = named.join(best, "root").select(F.col("id").alias("cid"), "best")
-        kept = kept.join(named, "cid", "full").select("cid", F.coalesce("best", "keep").alias("keep"))
+    named = roots.join(classes, roots["id"] == classes["cid"]).select("id", "root", "owner")
+    best = named.groupBy("root").agg(F.min("owner").alias("best"))
+    named = named.join(best, "root").select(F.col("id").alias("cid"), "best")
+    kept = kept.join(named, "cid", "full").select("cid", F.coalesce("best", "keep").alias("keep"))
     gone = lines.select("doc", "line", "cid").join(kept, "cid").where(F.struct("doc", "line") != F.col("keep"))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
