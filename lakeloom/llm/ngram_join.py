@@ -40,7 +40,7 @@ from lakeloom.llm.linking import components, verified
 #: Elements that may be put last in the common order (8 bytes each; only the order depends on it).
 COMMON_MAX = 200_000
 #: Documents that share an element before it counts as common, and rows a scan task looks at for it.
-COMMON_FROM, LOCAL_FROM, LOCAL_ROWS = 64, 3, 500_000
+COMMON_FROM, LOCAL_FROM, LOCAL_ROWS = 64, 3, 200_000
 
 
 def prefix_length(n: int, num: int, den: int) -> int:

@@ -36,7 +36,7 @@ MISS = 2.0
 MARK, LETTERS = 27, 64
 #: Places at which one word is looked at in a row; longer words are several overlapping pieces.
 PIECE = 32
-CHARS, REMEMBERED = 400_000, 2_000_000
+CHARS, REMEMBERED = 400_000, 300_000
 #: Digits as the letters they look like (fixed).
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
