@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import prepare
+from lakeloom.llm.common import prepare, streamed
 
 #: role: (opening, closing, loss)
 TEMPLATE = {
@@ -75,6 +75,7 @@ def read_turn(text: str, at: int, template: dict = TEMPLATE) -> tuple[str, int,
     return None if end < 0 else (role, start, end, end + len(closing))
 
 
+@streamed
 def _format(batches: Iterator[pa.RecordBatch], template: dict) -> Iterator[pa.RecordBatch]:
     now, state = (), "start"
     for batch in batches:
@@ -129,6 +130,7 @@ class _Reader:
         return (self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.state in FINAL and not self.buffer)
 
 
+@streamed
 def _read(batches: Iterator[pa.RecordBatch], template: dict) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]

@@ -3,6 +3,8 @@ broadcasts and vectorised shingle hashing of text batches."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from lakeloom.session import ensure_checkpoint_dir, scratch_path, ship_package
 #: Rows of an id-only table that may be broadcast (16 MB of longs); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that one vectorised pass takes at a time (a longer text is a pass of its own).
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 
 U64 = np.uint64
 _M1, _M2, _P = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
@@ -26,7 +28,7 @@ def prepare(spark: SparkSession) -> None:
     a checkpoint folder, and this package on the executors."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
 
 
 def cut(df: DataFrame, kind: str = "llm-cut") -> DataFrame:
@@ -173,5 +175,14 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def streamed(fn: Callable) -> Callable:
+    """A function over a task's batches that gives freed memory back when the task ends: a
+    worker process serves many tasks, of different operators, and lives as long as its executor."""
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch], *args, **named) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches, *args, **named)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return run

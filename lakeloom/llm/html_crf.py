@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import prepare
+from lakeloom.llm.common import prepare, streamed
 
 SAMPLE, LONGEST, DIM, ROUNDS = 250, 60_000, 1 << 13, 120
 
@@ -345,6 +345,7 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, longes
     return fit(labelled([r.h for r in some.collect()]))                    # at most sample * longest characters
 
 
+@streamed
 def _extract(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     field = Field(*model.value)
     for batch in batches:

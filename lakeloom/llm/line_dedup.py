@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import U64, bounded, char_shingles, cut, mix, overlap, prepare
+from lakeloom.llm.common import U64, bounded, char_shingles, cut, mix, overlap, prepare, streamed
 from lakeloom.llm.linking import components, verified
 
 WIDTH, MIN_WORDS = 9, 5
@@ -36,7 +36,7 @@ BANDS, ROWS = 12, 5
 #: Similarity, as num/den, from which two lines are the same.
 NUM, DEN = 8, 10
 #: Line classes that one scan task remembers, so that repeated lines are signed once.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 def normal(line: str) -> str:
@@ -55,7 +55,7 @@ def signatures(lines: list[str], width: int = WIDTH) -> np.ndarray:
     lo = 0
     while lo < len(lines):
         hi, size = lo, 0
-        while hi < len(lines) and (hi == lo or size + len(lines[hi]) < 300_000):
+        while hi < len(lines) and (hi == lo or size + len(lines[hi]) < 150_000):
             size += len(lines[hi])
             hi += 1
         code = np.frombuffer("".join(lines[lo:hi]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64)
@@ -105,6 +105,7 @@ def _keys(top: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+@streamed
 def _scan(batches: Iterator[pa.RecordBatch], width: int, min_words: int) -> Iterator[pa.RecordBatch]:
     """A row per line of ``min_words`` words or more; ``keys`` where this task has not signed its class yet."""
     seen: set[int] = set()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, prepare
+from lakeloom.llm.common import cut, prepare, streamed
 
 SCALE = 256
 PIVOTS, PER_PIVOT, SUBTREE, PAGE, FANOUT = 512, 4000, 8000, 128, 8
@@ -131,6 +131,7 @@ class Subtree:
         return float((point ** 2).sum()) + self.top
 
 
+@streamed
 def _search(batches: Iterator[pa.RecordBatch], k: int, dim: int, top: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (subtree, copy, kind): entries (kind 0, id list) build the tree, queries (kind 1) stream."""
     at, vectors, ids, tree = None, [], [], None
@@ -156,6 +157,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, dim: int, top: float) ->
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
 
+@streamed
 def _route(batches: Iterator[pa.RecordBatch], pivots, dim: int, top: float, query: bool) -> Iterator[pa.RecordBatch]:
     """Nearest pivot and distance of every vector; for a query with a bound, every pivot within it but the nearest."""
     p, radius = pivots.value

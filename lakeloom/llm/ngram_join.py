@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import bounded, cut, prepare, shingle_sets
+from lakeloom.llm.common import bounded, cut, prepare, shingle_sets, streamed
 from lakeloom.llm.linking import components, verified
 
 #: Elements that may be put last in the common order (8 bytes each; only the order depends on it).
 COMMON_MAX = 200_000
 #: Documents that share an element before it counts as common, and rows a scan task looks at for it.
-COMMON_FROM, LOCAL_FROM, LOCAL_ROWS = 64, 3, 200_000
+COMMON_FROM, LOCAL_FROM, LOCAL_ROWS = 64, 3, 60_000
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -52,6 +52,7 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+@streamed
 def _scan(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """(hi, lo, n) per row; and, for the search of common elements, (null, element, count) rows."""
     seen: Counter = Counter()
@@ -77,6 +78,7 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) ->
         yield common()
 
 
+@streamed
 def _postings(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, common) -> Iterator[pa.RecordBatch]:
     """(element, cid, n, pos) of every class's prefix, common elements last."""
     late = common.value

@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, prepare
+from lakeloom.llm.common import cut, prepare, streamed
 from lakeloom.operators.scan import grouped_rank
 
 SIZE, UNIT, END_ID = 2048, 16, 1
 #: Word pieces whose ids a task remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 # how byte-level BPE splits a text before merging (a fixed pattern of that vocabulary)
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -95,6 +95,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+@streamed
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
     enc, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:

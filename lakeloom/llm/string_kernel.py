@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import U64, _inverse_powers, _powers, bounded, cut, mix, prepare
+from lakeloom.llm.common import U64, _inverse_powers, _powers, bounded, cut, mix, prepare, streamed
 
 SAMPLE, LANDMARKS, LEAST_Z = 4000, 128, 5.0
 SPAN, DECAY, SHARP, FAINT = 5, 0.7, 4, 0.5
@@ -36,7 +36,7 @@ MISS = 2.0
 MARK, LETTERS = 27, 64
 #: Places at which one word is looked at in a row; longer words are several overlapping pieces.
 PIECE = 32
-CHARS, REMEMBERED = 400_000, 300_000
+CHARS, REMEMBERED = 250_000, 300_000
 #: Digits as the letters they look like (fixed).
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
@@ -176,6 +176,7 @@ class Landmarks:
         return np.log1p(out)
 
 
+@streamed
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(string, toxic texts, clean texts) that have the word or the beginning of a word."""
     count: Counter = Counter()
@@ -286,6 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return (chosen, low, *fit(_whiten(x, low), y))
 
 
+@streamed
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     if model.value is not None:
         chosen, low, w, b, slope, shift = model.value
