@@ -13,7 +13,8 @@ only pairs whose members are in different components, which come from their sets
 the leader: Jaccard distance is a metric, so |d(x,l) - d(y,l)| > 1-t rules a pair out without
 looking at it.  *Block skipping.*  Lists are cut into blocks by set size (a factor of t each);
 only the same and the next block can match, and within blocks the position bound (elements left
-after the shared one) skips the rest.  What is left is verified on whole texts.  Links between
+after the shared one) skips the rest.  A bitmap of about a bit an element bounds the intersection
+of each pair left (bits that differ are elements not shared); what passes is verified on whole texts.  Links between
 members of one component add nothing to the answer and are never enumerated, so a group of
 thousands of near copies costs its size, not its square, and no partner is capped.
 
@@ -54,24 +55,26 @@ def digest(s: np.ndarray) -> bytes:
 
 @streamed
 def _scan(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(hi, lo, n) per row; and, for the search of common elements, (null, element, count) rows."""
+    """(id, class, size, bitmap) per row; and, for the search of common elements, (null, null, count, null, element) rows."""
     seen: Counter = Counter()
 
     def common():
         top = [(k, c) for k, c in seen.items() if c >= LOCAL_FROM]
         seen.clear()
         return pa.RecordBatch.from_arrays([pa.nulls(len(top), pa.int64()), pa.nulls(len(top), pa.int64()), pa.array([c for _, c in top], pa.int64()),
-                                           pa.array(np.array([k for k, _ in top], dtype=np.uint64).view(np.int64), pa.int64())], ["id", "cid", "n", "element"])
+                                           pa.nulls(len(top), pa.binary()),
+                                           pa.array(np.array([k for k, _ in top], dtype=np.uint64).view(np.int64), pa.int64())], ["id", "cid", "n", "bits", "element"])
 
     for batch in batches:
-        ids, cids, ns = batch.column(0), [], []
+        ids, cids, ns, bits = batch.column(0), [], [], []
         for s in shingle_sets(batch.column(1).to_pylist(), width):
             ns.append(len(s))
             cids.append(_class_of(s))
+            bits.append(bitmap(s))
             if len(s):
                 seen.update(s[: prefix_length(len(s), num, den)].tolist())
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cids, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(len(ns), pa.int64())],
-                                         ["id", "cid", "n", "element"])
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cids, pa.int64()), pa.array(ns, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(ns), pa.int64())],
+                                         ["id", "cid", "n", "bits", "element"])
         if len(seen) > LOCAL_ROWS:
             yield common()
     if seen:
@@ -109,7 +112,7 @@ def similar_documents(docs: DataFrame, *, width: int = 4, num: int = 85, den: in
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scan = cut(texts.mapInArrow(partial(_scan, width=width, num=num, den=den), "id long, cid long, n long, element long"))
+    scan = cut(texts.mapInArrow(partial(_scan, width=width, num=num, den=den), "id long, cid long, n long, bits binary, element long"))
     rows = scan.where("element is null")
 
     counts = scan.where("element is not null").groupBy("element").agg(F.sum("n").alias("c")).where(F.col("c") >= COMMON_FROM)
@@ -118,7 +121,7 @@ def similar_documents(docs: DataFrame, *, width: int = 4, num: int = 85, den: in
     common = spark.sparkContext.broadcast(late)
 
     # a class is indexed by the text of its first id; copies of it stay out of the lists
-    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     firsts = bounded(classes.select(F.col("first").alias("id")).distinct())
     bodies = texts.join(firsts, texts["id"].eqNullSafe(firsts["id"]), "left_semi")
     lists = bodies.mapInArrow(partial(_postings, width=width, num=num, den=den, common=common), "element long, cid long, n int, pos int")
@@ -134,7 +137,7 @@ def similar_documents(docs: DataFrame, *, width: int = 4, num: int = 85, den: in
         return (small * den >= large * num) & (F.least(na - pa_, nb - pb) >= need)
 
     near = led.where((F.col("cid") != F.col("leader.cid")) & possible(F.col("leader.n"), F.col("n"), F.col("leader.pos"), F.col("pos")))
-    pairs = cut(near.select(F.col("leader.cid").alias("a"), F.col("cid").alias("b")).distinct())
+    pairs = _not_ruled_out(near.select(F.col("leader.cid").alias("a"), F.col("cid").alias("b")).distinct(), classes, num, den)
     to_sets = partial(shingle_sets, width=width)
     tested = cut(verified(pairs, _texts_of(texts, classes, pairs, width), to_sets))
     linked = F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num
@@ -157,7 +160,7 @@ def similar_documents(docs: DataFrame, *, width: int = 4, num: int = 85, den: in
                         & (F.col("x_cid") != F.col("x_l")) & (F.col("y_cid") != F.col("y_l"))
                         & possible(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos"))
                         & (F.col("x_d").isNull() | F.col("y_d").isNull() | (F.abs(F.col("x_d") - F.col("y_d")) <= 1 - num / den + 1e-9)))
-    more = cut(cross.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct())
+    more = _not_ruled_out(cross.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct(), classes, num, den)
     links = tested.where(linked)
     if more.limit(1).count():
         links = links.union(verified(more, _texts_of(texts, classes, more, width), to_sets).where(linked))
@@ -173,6 +176,43 @@ def similar_documents(docs: DataFrame, *, width: int = 4, num: int = 85, den: in
     return out.union(empty).toDF("doc_id", "n_shingles", "component_id")
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit for about each element, flipped by every element that falls on it."""
+    size = 1 << max(6, int(len(s)).bit_length())
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def most_shared(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """An upper bound of the intersection from two bitmaps: every bit that differs tells of an element that only one set has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    # the bit of an element is its hash modulo the size: the larger bitmap folds onto the smaller
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2:]
+    return (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
+def _not_ruled_out(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps leave a link possible: texts are fetched for these only."""
+    @streamed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(6)))
+            keep = []
+            for a, b, na, nb, x, y in rows:
+                shared = most_shared(x, y, na, nb)
+                keep.append(shared * den >= (na + nb - shared) * num)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    one = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    two = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb")
+    return cut(rows.mapInArrow(run, "a long, b long"))
+
+
 def _class_of(s: np.ndarray) -> int | None:
     return int.from_bytes(digest(s)[:8], "little", signed=True) if len(s) else None
 
