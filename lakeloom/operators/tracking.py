@@ -17,8 +17,9 @@ from lakeloom.operators.scan import needs_chunks
 
 def _newest_first(df: DataFrame, ts: str, tie: str, limit: int) -> DataFrame:
     """Top-N newest rows; ``tie`` makes the cut deterministic.  Runs as
-    TakeOrderedAndProject: a per-partition top-N, then one small merge."""
-    return df.orderBy(F.col(ts).desc_nulls_last(), F.col(tie).asc()).limit(limit)
+    TakeOrderedAndProject: a per-partition top-N, then one small merge.  Rows without
+    a time come first, as a plain descending order puts them."""
+    return df.orderBy(F.col(ts).desc_nulls_first(), F.col(tie).asc()).limit(limit)
 
 
 # ---------------------------------------------------------------- aggregates

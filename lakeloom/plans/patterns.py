@@ -83,11 +83,11 @@ def document_to_table(spark: SparkSession, file_path: str, table_name: str, deli
     # extracted cells are strings, so every column infers as TEXT (as in the reference flow)
     schema_rows = infer_schema(records).collect()          # one row per column
     cols = first_record_columns(records)
-    typed = typed_records(records, schema_rows, cols).drop("row_idx")
+    typed = typed_records(records, schema_rows, cols)
     if upsert:
-        K.upsert_rows(typed, table_name, primary_key)
+        K.upsert_rows(typed, table_name, primary_key, order="row_idx")
     else:
-        K.insert_rows(typed, table_name, primary_key=primary_key)
+        K.insert_rows(typed.drop("row_idx"), table_name, primary_key=primary_key)
     m = meta.first()
     if stats_table:
         stat = spark.createDataFrame(

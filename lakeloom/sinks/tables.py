@@ -124,7 +124,8 @@ def upsert_rows(df: DataFrame, name: str, primary_key: str, order: str | None =
     if not primary_key:
         raise WriteError("upsert requires primary_key")
     if not table_exists(spark, name):
-        create_table(df.drop(order) if order else df, name, primary_key)
+        empty = (df.drop(order) if order else df).limit(0)
+        create_table(upsert(empty, df, [primary_key], order).select(*empty.columns), name, primary_key)
         return
     target = spark.table(name)
     merged = upsert(target, df, [primary_key], order).select(*target.columns)

@@ -17,12 +17,16 @@ FORMATS = ("csv", "json", "avro", "parquet", "xml", "orc", "text")
 
 
 def extract_delimited(spark: SparkSession, path: str, delimiter: str = ",", has_header: bool = True,
-                      max_rows: int = 0) -> tuple[DataFrame, DataFrame]:
+                      max_rows: int = 0, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """S1 + A16: every cell a string; header from row 1, else ``Column_1..n`` sized by
     the first row; ``max_rows`` 0 means all.  Returns ``(rows, metadata)`` where
     metadata is one row ``(total_rows, total_columns, returned_rows)`` counted
-    before the limit."""
+    before the limit.  Doubled quotes are one quote, empty cells stay empty strings, and a
+    quoted cell may hold line ends; ``multiline=False`` gives that up for files that are
+    to be read in splits."""
     raw = (spark.read.option("sep", delimiter).option("header", str(has_header).lower())
+           .option("quote", '"').option("escape", '"').option("multiLine", str(multiline).lower())
+           .option("nullValue", "\u0000").option("emptyValue", "")
            .option("inferSchema", "false").option("mode", "PERMISSIVE").csv(path))
     if not has_header:
         raw = raw.toDF(*[f"Column_{i + 1}" for i in range(len(raw.columns))])

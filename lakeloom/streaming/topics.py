@@ -63,6 +63,10 @@ def reset_offsets_option(topic: str, partition_offsets: dict[int, int]) -> dict:
     return {"startingOffsets": json.dumps({topic: {str(p): o for p, o in partition_offsets.items()}})}
 
 
+#: Holds the text of a record that cannot be read, while decoding.
+_BAD = "__bad_record"
+
+
 def decode(raw: DataFrame, schema: T.StructType, format_type: str = "json", value_col: str = "value",
            bad_records: str = "dead_letter") -> DataFrame:
     """Decode a text payload into ``schema``; T8 policies:
@@ -72,13 +76,17 @@ def decode(raw: DataFrame, schema: T.StructType, format_type: str = "json", valu
         raise ValueError(f"format {format_type!r} needs its connector (e.g. from_avro); use json or csv here")
     mode = "FAILFAST" if bad_records == "fail" else "PERMISSIVE"
     payload = F.col(value_col).cast("string")
+    # a record is bad when a field cannot be read as its type, not when its fields are null
+    told = schema if mode == "FAILFAST" else T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    options = {"mode": mode, "columnNameOfCorruptRecord": _BAD}
     if format_type == "json":
-        parsed = F.from_json(payload, schema, {"mode": mode})
+        parsed = F.from_json(payload, told, options)
     else:
-        parsed = F.from_csv(payload, schema.simpleString(), {"mode": mode})
-    # a payload that parses to an all-null record (or not at all) is corrupt
-    ok = parsed.isNotNull() & ~F.aggregate(
-        F.array(*[parsed.getField(f.name).isNull() for f in schema.fields]), F.lit(True), lambda a, x: a & x)
+        parsed = F.from_csv(payload, told.simpleString(), options)
+    ok = parsed.isNotNull()
+    if mode != "FAILFAST":
+        ok = ok & parsed.getField(_BAD).isNull()
+        parsed = F.struct(*[parsed.getField(f.name).alias(f.name) for f in schema.fields])
     out = raw.select(parsed.alias("_r"), F.when(~F.coalesce(ok, F.lit(False)), payload).alias("_corrupt"),
                      *[c for c in raw.columns if c != value_col])
     out = out.select("_r.*", *[c for c in out.columns if c != "_r"])
