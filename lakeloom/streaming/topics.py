@@ -76,7 +76,8 @@ def decode(raw: DataFrame, schema: T.StructType, format_type: str = "json", valu
         raise ValueError(f"format {format_type!r} needs its connector (e.g. from_avro); use json or csv here")
     mode = "FAILFAST" if bad_records == "fail" else "PERMISSIVE"
     payload = F.col(value_col).cast("string")
-    # a record is bad when a field cannot be read as its type, not when its fields are null
+    # a record is bad when a field cannot be read as its type, or when it has none of the
+    # schema's fields; null fields do not make it bad
     told = schema if mode == "FAILFAST" else T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     options = {"mode": mode, "columnNameOfCorruptRecord": _BAD}
     if format_type == "json":
@@ -86,6 +87,9 @@ def decode(raw: DataFrame, schema: T.StructType, format_type: str = "json", valu
     ok = parsed.isNotNull()
     if mode != "FAILFAST":
         ok = ok & parsed.getField(_BAD).isNull()
+        if format_type == "json":
+            names = F.array(*[F.lit(f.name) for f in schema.fields])
+            ok = ok & F.coalesce(F.arrays_overlap(F.json_object_keys(payload), names), F.lit(False))
         parsed = F.struct(*[parsed.getField(f.name).alias(f.name) for f in schema.fields])
     out = raw.select(parsed.alias("_r"), F.when(~F.coalesce(ok, F.lit(False)), payload).alias("_corrupt"),
                      *[c for c in raw.columns if c != value_col])

@@ -55,6 +55,13 @@ def test_topic_table_job_and_restart(spark):
     assert sorted(r[0] for r in spark.read.parquet(job.sink_path).collect()) == ["1.5", "7", "9"]
 
 
+def test_decode_judges_fields_not_nulls(spark):
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    raw = spark.createDataFrame([('{"a": null, "b": null}',), ('{"a": "abc", "b": "x"}',)], "value string")
+    good, bad = ST.split_bad_records(ST.decode(raw, schema))
+    assert [tuple(r)[:2] for r in good.collect()] == [(None, None)] and bad.count() == 1
+
+
 def test_decode_bad_record_policies(spark):
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
     raw = spark.createDataFrame([('{"a": 1, "b": "x"}',), ("garbage",), ('{"zzz": 1}',)], "value string")
