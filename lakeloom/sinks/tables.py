@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import os
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,52 +63,61 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
-def create_table(df: DataFrame, name: str, primary_key: str | None = None, fmt: str = "parquet") -> None:
-    """M2/K7: create from the frame's schema; the primary key is kept as a table
-    property and enforced by the writers (collision check / upsert)."""
+def key_columns(primary_key: str | Sequence[str] | None) -> list[str]:
+    """A key given as one name, a comma-separated list or a sequence, as a list of names."""
+    if not primary_key:
+        return []
+    return [k.strip() for k in primary_key.split(",")] if isinstance(primary_key, str) else list(primary_key)
+
+
+def create_table(df: DataFrame, name: str, primary_key: str | Sequence[str] | None = None, fmt: str = "parquet") -> None:
+    """M2/K7: create from the frame's schema; the primary key (one column or several) is kept
+    as a table property and enforced by the writers (collision check / upsert)."""
     w = df.writeTo(name).using(fmt)
     if primary_key:
-        w = w.tableProperty("primary_key", primary_key)
+        w = w.tableProperty("primary_key", ",".join(key_columns(primary_key)))
     w.create()
 
 
 def append_rows(df: DataFrame, name: str) -> None:
-    """Append by column name (absent columns NULL) to an existing catalog table."""
+    """Append by column name to an existing catalog table: columns the frame lacks are NULL,
+    columns the table lacks are an error (they would be lost)."""
     target = df.sparkSession.table(name).schema
+    unknown = sorted(set(df.columns) - set(target.fieldNames()))
+    if unknown:
+        raise WriteError(f"{name} has no column {', '.join(unknown)}; nothing was written")
     out = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                       for f in target.fields])
     out.write.insertInto(name)
 
 
 def primary_key_of(spark: SparkSession, name: str) -> str | None:
+    """The table's key as stored: column names joined by commas."""
     props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
     return props.get("primary_key")
 
 
-def insert_rows(df: DataFrame, name: str, create_if_not_exists: bool = True, primary_key: str | None = None,
-                collision_suffix: str | None = None) -> dict:
-    """K3 + K4: append, or create when allowed.  With a primary key and a
-    ``collision_suffix``, a batch whose keys collide with existing rows is
-    written whole to ``<name>_<suffix>`` instead (checked with a semi join)."""
+def insert_rows(df: DataFrame, name: str, create_if_not_exists: bool = True,
+                primary_key: str | Sequence[str] | None = None, collision_suffix: str | None = None) -> dict:
+    """K3 + K4: append, or create when allowed.  On a table with a primary key a batch that
+    collides with existing rows (semi join on the key) is written whole to ``<name>_<suffix>``
+    instead; the suffix is the time in seconds unless given."""
     spark = df.sparkSession
     if df.isEmpty():
-        raise WriteError("No data provided to insert (0 rows)")
+        raise WriteError("an insert needs at least one row")
     if not table_exists(spark, name):
         if not create_if_not_exists:
-            raise WriteError(f"Table {name} does not exist and create_if_not_exists is False")
+            raise WriteError(f"no table {name}, and creating it was not allowed")
         create_table(df, name, primary_key)
         return {"table": name, "created": True}
-    key = primary_key or primary_key_of(spark, name)
-    target = name
-    if key and collision_suffix is not None:
-        existing = spark.table(name).select(key)
-        collides = not df.join(existing, key, "left_semi").isEmpty()
-        if collides:
-            target = f"{name}_{collision_suffix}"
-            create_table(df, target, key)
+    keys = key_columns(primary_key or primary_key_of(spark, name))
+    if keys:
+        if not df.join(spark.table(name).select(*keys), keys, "left_semi").isEmpty():
+            target = f"{name}_{collision_suffix or int(time.time())}"
+            create_table(df, target, keys)
             return {"table": target, "created": True, "collision": True}
     append_rows(df, name)
-    return {"table": target, "created": False}
+    return {"table": name, "created": False}
 
 
 def _replace_from_staging(spark: SparkSession, merged: DataFrame, name: str) -> None:
@@ -117,18 +127,19 @@ def _replace_from_staging(spark: SparkSession, merged: DataFrame, name: str) ->
     spark.sql(f"DROP TABLE IF EXISTS {stage}")
 
 
-def upsert_rows(df: DataFrame, name: str, primary_key: str, order: str | None = None) -> None:
+def upsert_rows(df: DataFrame, name: str, primary_key: str | Sequence[str], order: str | None = None) -> None:
     """M4 into a catalog table: last duplicate in the batch wins; columns the batch
     lacks keep their values."""
     spark = df.sparkSession
     if not primary_key:
-        raise WriteError("upsert requires primary_key")
+        raise WriteError("an upsert needs the key columns")
+    keys = key_columns(primary_key)
     if not table_exists(spark, name):
         empty = (df.drop(order) if order else df).limit(0)
-        create_table(upsert(empty, df, [primary_key], order).select(*empty.columns), name, primary_key)
+        create_table(upsert(empty, df, keys, order).select(*empty.columns), name, keys)
         return
     target = spark.table(name)
-    merged = upsert(target, df, [primary_key], order).select(*target.columns)
+    merged = upsert(target, df, keys, order).select(*target.columns)
     _replace_from_staging(spark, merged, name)
 
 
@@ -137,12 +148,11 @@ def upsert_rows(df: DataFrame, name: str, primary_key: str, order: str | None =
 def check_stats_columns(table: str, columns: Sequence[str]) -> None:
     """M5: table and column allow-lists; the error lists invalid, expected and provided columns."""
     if table not in TRACKING_TABLES:
-        raise WriteError(f"Invalid stats table '{table}'. Allowed: {sorted(TRACKING_TABLES)}")
+        raise WriteError(f"{table} is no tracking table; these are: {', '.join(sorted(TRACKING_TABLES))}")
     expected = TRACKING_TABLES[table].fieldNames()
     invalid = [c for c in columns if c not in expected]
     if invalid:
-        raise WriteError(f"Invalid columns for {table}: {invalid}. Expected columns: {expected}. "
-                         f"Provided columns: {list(columns)}")
+        raise WriteError(f"{table} does not take {invalid} (given: {list(columns)}); it takes {expected}")
 
 
 def fill_defaults(df: DataFrame, table: str) -> DataFrame:

@@ -11,6 +11,7 @@ import uuid
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakeloom.functions import scalar as S
 from lakeloom.functions import udfs as U
@@ -131,12 +132,18 @@ def test_markdown_formatting(spark):
 def test_redaction_tree_json_and_columns(spark):
     tree = {"user": "u", "Password": "p", "nested": {"TOKEN": "t", "list": list(range(250))},
             "sslKeystorePasswd": {"deep": 1}}
-    red = G.redact_obj(tree)
+    shape = StructType.fromDDL("user string, Password string, nested struct<TOKEN: string, list: array<int>>, "
+                               "sslKeystorePasswd struct<deep: int>")
+    df = spark.createDataFrame([(json.dumps(tree),), ('{"token": "x", bad',), (None,)], "j string")
+    out = [r[0] for r in df.select(G.redact_json("j", shape)).collect()]
+    red = json.loads(out[0])
     assert red["Password"] == red["nested"]["TOKEN"] == red["sslKeystorePasswd"] == G.REDACTED
-    assert len(red["nested"]["list"]) == 201 and red["nested"]["list"][-1] == {"truncated": True, "omitted_count": 50}
-    df = spark.createDataFrame([(json.dumps(tree),), ("{bad",)], "j string")
-    out = [r[0] for r in df.select(G.redact_json_udf("j")).collect()]
-    assert "\"p\"" not in out[0] and out[1] == "{bad"
+    assert red["user"] == "u" and red["nested"]["list"] == list(range(250))
+    assert out[1] == '{"token": "' + G.REDACTED + '", bad' and out[2] is None
+    nulls = spark.createDataFrame([(None, {"Token": "t", "k": "v"}, {"secret": 1, "n": 2})],
+                                  "cfg struct<host: string, password: string>, m map<string,string>, c map<string,int>")
+    n = G.redact_columns(nulls).first()
+    assert n["cfg"] is None and n["m"] == {"Token": G.REDACTED, "k": "v"} and n["c"] == {"secret": None, "n": 2}
     flat = spark.createDataFrame([('{"a": 1, "Secret": "s", "token": 12, "n": {"passcode": true}}',)], "j string")
     txt = flat.select(G.redact_json_scalars("j")).first()[0]
     assert json.loads(txt) == {"a": 1, "Secret": G.REDACTED, "token": G.REDACTED, "n": {"passcode": G.REDACTED}}
