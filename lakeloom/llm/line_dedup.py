@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import U64, bounded, char_shingles, cut, mix, overlap, prepare, streamed
-from lakeloom.llm.linking import components, verified
+from lakeloom.llm.linking import RUN, components, verified
 
 WIDTH, MIN_WORDS = 9, 5
 BANDS, ROWS = 12, 5
@@ -137,33 +137,69 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, min_words: int) -> Iter
                                          ["doc", "line", "cid", "keys"])
 
 
+def _alike(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    same = overlap(s, t)
+    return same * den >= (len(s) + len(t) - same) * num
+
+
 def _elect(members: DataFrame, lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among the members of each key: a member joins the leaders it is like, or leads itself.
 
-    A key's leaders are lines that agree in a whole band and still differ, which are few; the
-    task holds their sets, and members stream by."""
-    rows = members.join(lines, members["cid"] == lines["id"]).select("key", "cid", "text").repartition("key").sortWithinPartitions("key", "cid")
+    A key's members are dealt to runs of about RUN members, each with leaders of its own; the
+    leaders of a key's several runs are then compared run against run.  A task holds the sets of
+    one run, so a key of any size spreads over tasks, and near copies of each other leave one leader a run."""
+    runs = members.groupBy("key").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    dealt = members.join(runs, "key").withColumn("run", F.pmod(F.xxhash64("cid"), F.col("runs")).cast("int"))
+    rows = dealt.join(lines, dealt["cid"] == lines["id"]).select("key", "run", "runs", "cid", "text")
+    rows = rows.repartition("key", "run").sortWithinPartitions("key", "run", "cid")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leaders = None, []
         for batch in batches:
-            a, b = [], []
-            keys, cids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for key, cid, s in zip(keys, cids, _sets(width, batch.column(2).to_pylist())):
-                if key != at:
-                    at, leaders = key, []
-                alone = True
-                for other, t in leaders:
-                    same = overlap(s, t)
-                    if same * den >= (len(s) + len(t) - same) * num:
-                        a.append(other)
-                        b.append(cid)
-                        alone = False
-                if alone:
-                    leaders.append((cid, s))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+            out = [[], [], []]
+            key, part, several, cid, text = (batch.column(i).to_pylist() for i in range(5))
+            for i, s in enumerate(_sets(width, text)):
+                if (key[i], part[i]) != at:
+                    at, leaders = (key[i], part[i]), []
+                found = [other for other, t in leaders if _alike(s, t, num, den)]
+                if not found:
+                    leaders.append((cid[i], s))
+                for other in found or ([None] if several[i] > 1 else []):
+                    for column, x in zip(out, (key[i], other, cid[i])):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["key", "a", "b"])
+
+    # a row without a is the leader of one of several runs
+    found = cut(rows.mapInArrow(elect, "key long, a long, b long"))
+    links = found.where("a is not null").select("a", "b")
+    heads = found.where("a is null").select("key", F.col("b").alias("cid"))
+    if not heads.limit(1).count():
+        return links
+    parts = heads.groupBy("key").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts"))
+    heads = heads.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).cast("int"))
+    heads = heads.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    heads = heads.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid")
+    rows = heads.join(lines, heads["cid"] == lines["id"]).select("key", "i", "j", "part", "cid", "text")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "cid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            out = [[], []]
+            key, i, j, part, cid, text = (batch.column(k).to_pylist() for k in range(6))
+            for k, s in enumerate(_sets(width, text)):
+                if (key[k], i[k], j[k]) != at:
+                    at, held = (key[k], i[k], j[k]), []
+                if part[k] == j[k]:
+                    for other, t in held:
+                        if _alike(s, t, num, den):
+                            out[0].append(other)
+                            out[1].append(cid[k])
+                if part[k] == i[k]:
+                    held.append((cid[k], s))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return links.union(rows.mapInArrow(compare, "a long, b long"))
 
 
 def _lines_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:

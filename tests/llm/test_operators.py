@@ -1,4 +1,5 @@
 """Each operator against brute force on a small table with nulls, empty, long and repeated rows and clashing columns."""
+import random
 import collections
 import hashlib
 import re
@@ -305,3 +306,20 @@ def test_cutting_stock_places_everything():
     assert sum(n for _, n in out) <= 1.02 * np.ceil((demand * size).sum() / 128) + 1
     worth, counts = packing.best_pattern(np.array([1.0, 2.5, 2.9]), 5)
     assert worth == 6.0 and list(counts) == [1, 2, 0]
+
+
+def test_line_leaders_of_a_hot_key(spark, monkeypatch):
+    """A key dealt to many runs: no false link, and two alike lines are linked unless one joined another leader."""
+    monkeypatch.setattr(line_dedup, "RUN", 20)
+    rnd = random.Random(5)
+    words = "alpha beta gamma delta omega sigma kappa lambda theta zeta river stone cloud field march table".split()
+    base = [[rnd.choice(words) for _ in range(12)] for _ in range(40)]
+    lines = [" ".join(w if rnd.random() > 0.06 else rnd.choice(words) for w in rnd.choice(base)) + f" {i}" for i in range(300)]
+    members = spark.createDataFrame([(1, i) for i in range(300)] + [(2, i) for i in range(0, 300, 30)], "key long, cid long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in line_dedup._elect(members, texts, 9, 8, 10).collect()}
+    sets = line_dedup._sets(9, lines)
+    alike = {(i, j) for j in range(300) for i in range(j) if line_dedup._alike(sets[i], sets[j], 8, 10)}
+    joined = {x for pair in got for x in pair}
+    assert got <= alike and len(alike) > 100
+    assert all(p in got or joined & set(p) for p in alike)
