@@ -2,12 +2,13 @@
 
 A text becomes a sequence of template words: numbers, units after a number and names (a capitalised word
 inside a sentence) become typed placeholders, the rest is lower-cased, and everything
-else separates.  Windows of ``WIDTH`` template words are hashed at every place of a benchmark item and at
-every ``STRIDE``-th place of a document, so any common run of ``WIDTH + STRIDE - 1`` template words has a
-window on both sides; items shorter than that are windows of their own length, taken at every place.
-A hash join finds them.  Matches of a document and an item at one alignment form a run, which is a leak
-if it covers half of the item or ``LONG`` words, and if its slots are consistent: wherever the item
-repeats a value, the document repeats one too, and the other way round, as in a re-parameterised question.
+else separates.  Windows of ``WIDTH`` template words are hashed at every place of a benchmark item and of a
+document, so any common run of ``WIDTH`` template words has a window on both sides, wherever it stands;
+items shorter than that are windows of their own length.  A hash join finds them.  Matches of a document and
+an item at one alignment cover the words under their windows and between two of them, if those are ``2 * WIDTH``
+words at most (rewritten words).  They are a leak if they cover half of the item or ``LONG`` words, and if
+the slots there are consistent: wherever the item repeats a value, the document repeats one too, and the other
+way round, as in a re-parameterised question.
 
 Results.  (doc_id, item_id, item_words, covered_words, n_slots, n_changed) per leaked pair, once however often it
 occurs, with its longest run.  Null, empty or wordless texts on either side match nothing.  A window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import bounded, cut, prepare
 
-WIDTH, STRIDE, SHARE, LONG, LITERAL = 8, 4, 0.5, 20, 3
+WIDTH, SHARE, LONG, LITERAL = 8, 0.5, 20, 3
 #: Unit words after a number (fixed).
 UNITS = ("kg|g|mg|km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|l|ml|lit(?:re|er)s?|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|"
          "dollars?|cents?|euros?|pounds?|percent|degrees?|kmh|mph|watts?|kw|kwh|volts?|grams?|met(?:re|er)s?")
@@ -49,24 +50,24 @@ def slotted_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked(text, True)), F.lit("[012]\u0001[^\u0002]*\u0002|\\p{L}+"), F.lit(0))
 
 
-def _windows(words: str, width: int, stride: int) -> Column:
-    """Hashes of the windows at places 0, stride, 2 * stride..."""
+def _windows(words: str, width: int) -> Column:
+    """Hashes of the windows at every place."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - (width - 1), F.lit(stride)), lambda i: F.xxhash64(F.slice(F.col(words), i, width)))
+    hashes = F.transform(F.sequence(F.lit(1), n - (width - 1), F.lit(1)), lambda i: F.xxhash64(F.slice(F.col(words), i, width)))
     return F.when(n >= width, hashes).otherwise(F.expr("array()").cast("array<bigint>"))
 
 
-def _join(docs: DataFrame, items: DataFrame, width: int, stride: int, literal: int) -> DataFrame:
+def _join(docs: DataFrame, items: DataFrame, width: int, literal: int) -> DataFrame:
     """Windows in common: (key, item, words, at, shift), shift being the place in the document less that in the item."""
-    own = items.select("item", "words", F.posexplode(_windows("tokens", width, 1)).alias("at", "hash"), "tokens")
+    own = items.select("item", "words", F.posexplode(_windows("tokens", width)).alias("at", "hash"), "tokens")
     plain = F.size(F.filter(F.slice("tokens", F.col("at") + 1, width), lambda w: ~w.rlike("^[012]$")))
     own = own.where(plain >= F.least(F.lit(literal), F.lit(width))).select("item", "words", "at", "hash")
-    theirs = docs.select("key", F.posexplode(_windows("tokens", width, stride)).alias("place", "hash"))
-    return theirs.join(bounded(own), "hash").select("key", "item", "words", "at", (F.col("place") * stride - F.col("at")).alias("shift"), F.lit(width).alias("width"))
+    theirs = docs.select("key", F.posexplode(_windows("tokens", width)).alias("place", "hash"))
+    return theirs.join(bounded(own), "hash").select("key", "item", "words", "at", (F.col("place") - F.col("at")).alias("shift"), F.lit(width).alias("width"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-          width: int = WIDTH, stride: int = STRIDE, share: float = SHARE, long: int = LONG, literal: int = LITERAL) -> DataFrame:
+          width: int = WIDTH, share: float = SHARE, long: int = LONG, literal: int = LITERAL) -> DataFrame:
     """Leaked pairs, with ``text_hash`` to tell rows of one id apart."""
     prepare(docs.sparkSession)
     key = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
@@ -75,20 +76,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                              F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
     items = cut(items.withColumn("tokens", template_words(F.col("text"))).withColumn("words", F.size("tokens")).where("words > 0"))
     tokens = texts.select("key", template_words(F.col("text")).alias("tokens"))
-    hits = _join(tokens, items.where(F.col("words") >= width + stride - 1), width, stride, literal)
-    # at most width + stride - 2 lengths
-    for r in items.where(F.col("words") < width + stride - 1).select("words").distinct().collect():
-        hits = hits.union(_join(tokens, items.where(F.col("words") == r.words), r.words, 1, literal))
-    runs = hits.groupBy("key", "item", "words", "shift").agg(F.min("at").alias("lo"), (F.max("at") + F.max("width")).alias("hi"), F.count_distinct("at").alias("n"))
-    runs = runs.withColumn("covered", F.col("hi") - F.col("lo"))
-    # a run holds together: its windows leave no gap of more than one window
-    runs = runs.where((F.col("n") * width * 2 >= F.col("covered")) & ((F.col("covered") >= F.col("words") * share) | (F.col("covered") >= long)))
+    hits = _join(tokens, items.where(F.col("words") >= width), width, literal)
+    # at most width - 1 lengths
+    for r in items.where(F.col("words") < width).select("words").distinct().collect():
+        hits = hits.union(_join(tokens, items.where(F.col("words") == r.words), r.words, literal))
+    runs = hits.groupBy("key", "item", "words", "shift", "width").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    # the item's places (from 1) from each window to the next, or to its own end if the next is far
+    after = lambda k: F.get("at", k + 1)
+    runs = runs.withColumn("places", F.flatten(F.transform("at", lambda a, k: F.sequence(
+        a + 1, F.when(after(k) - a <= 3 * F.col("width"), after(k)).otherwise(a + F.col("width"))))))
+    runs = runs.withColumn("covered", F.size("places")).drop("at", "width")
+    runs = runs.where((F.col("covered") >= F.col("words") * share) | (F.col("covered") >= long))
     runs = cut(runs)
 
     said = items.select("item", slotted_words(F.col("text")).alias("item_words"))
     rows = texts.join(bounded(runs.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", slotted_words(F.col("text")).alias("doc_words"))
     both = runs.join(rows, "key").join(bounded(said), "item")
-    pairs = F.transform(F.sequence(F.col("lo") + 1, F.col("hi")), lambda i: F.struct(
+    pairs = F.transform("places", lambda i: F.struct(
         F.element_at("item_words", i.cast("int")).alias("a"), F.element_at("doc_words", (i + F.col("shift")).cast("int")).alias("b")))
     slots = F.array_distinct(F.filter(pairs, lambda p: p["a"].rlike("^[012]")))
     both = both.select("key", "item", "words", "covered", slots.alias("slots"))

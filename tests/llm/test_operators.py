@@ -323,3 +323,29 @@ def test_line_leaders_of_a_hot_key(spark, monkeypatch):
     joined = {x for pair in got for x in pair}
     assert got <= alike and len(alike) > 100
     assert all(p in got or joined & set(p) for p in alike)
+
+
+def test_leaks_do_not_depend_on_their_place(spark):
+    """Half of an item, or 20 words of it, is a leak behind any number of other words; covered words are exact."""
+    def words(name, n):
+        return [name + chr(97 + i // 26) + chr(97 + i % 26) for i in range(n)]
+    items, docs, want = [], [], set()
+    cases = [(n, (0, n), n // 2) for n in (16, 18, 20)] + [(30, (8, 23), None), (40, (10, 30), None), (60, (31, 51), None), (10, (0, 9), None)]
+    for k, (n, (lo, hi), wrong) in enumerate(cases):
+        said = words("it" + chr(97 + k), n)
+        items.append((k, " ".join(said)))
+        part = ["other" if i == wrong else w for i, w in enumerate(said)][lo:hi]
+        # 16 and 20 words: the second half is too short for a window, or is one
+        covered = {16: 8, 18: 18, 20: 20}[n] if wrong is not None else hi - lo
+        for at in range(8):
+            docs.append((100 * k + at, " ".join([*words("x", at), *part, *words("y", 9)])))
+            want.add((100 * k + at, k, n, covered))
+    few = words("it" + chr(97 + 4), 40)
+    docs += [(-100 - at, " ".join([*words("x", at), *few[5:24], *words("y", 9)])) for at in range(4)]  # 19 of 40 words are none
+    # 16 words, 20 others, 16 words: the words between do not count
+    far = words("far", 60)
+    items.append((50, " ".join(far)))
+    docs.append((-50, " ".join([*far[:16], *words("z", 20), *far[36:52]])))
+    want.add((-50, 50, 60, 32))
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.item_words, r.covered_words) for r in got.collect()} == want
