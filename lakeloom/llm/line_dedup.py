@@ -5,9 +5,10 @@ that are equal then are one class (by a 64-bit hash), whatever their number.  On
 shingle fills ``BANDS * ROWS`` bins (one-permutation MinHash); bins that stay empty copy a
 pseudo-random filled one.  ``BANDS`` keys of ``ROWS`` bins each find a pair of similarity 0.8
 with probability 0.99 and of 0.9 with 0.9999.  Classes that share a key are paired with the
-key's smallest class only; each pair is verified by its exact Jaccard similarity; those that
-fail elect leaders among themselves, key by key.  Distributed union-find makes components, and of each component the line of the
-smallest (doc_id, line number) stays.
+key's smallest class first; each pair is verified by its exact Jaccard similarity; those that
+fail elect leaders among themselves, key by key.  Then distributed union-find makes components, and
+members of a key that are in different ones are all compared, so every pair that shares a key is
+verified or connected already.  Of each component the line of the smallest (doc_id, line number) stays.
 
 Results.  Every input row comes back once with all its columns, its text being the lines kept,
 joined by newlines as before.  Lines of fewer than ``min_words`` words are no evidence of copying and
@@ -37,6 +38,8 @@ BANDS, ROWS = 12, 5
 NUM, DEN = 8, 10
 #: Line classes that one scan task remembers, so that repeated lines are signed once.
 REMEMBERED = 100_000
+#: Characters of lines that a part of a key holds, and bits of a line's bitmap.
+PART, BITS = 1 << 18, 1024
 
 
 def normal(line: str) -> str:
@@ -202,6 +205,67 @@ def _elect(members: DataFrame, lines: DataFrame, width: int, num: int, den: int)
     return links.union(rows.mapInArrow(compare, "a long, b long"))
 
 
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """(len(sets), BITS / 64): a bit per element's hash.  Bits that differ are elements not shared."""
+    out = np.zeros((len(sets), BITS // 64), dtype=U64)
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (np.concatenate(sets) if sets else np.zeros(0, U64)) >> U64(64 - BITS.bit_length() + 1)
+    np.bitwise_or.at(out, (at, (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
+    return out
+
+
+def _across(members: DataFrame, lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the members (key, cid, root) of each key that have different roots: pairs of
+    one root are connected already, every other pair is compared.
+
+    A key's members are dealt to parts of about PART characters and parts are compared two by two, so
+    a key of any size spreads over tasks.  Sizes and bitmaps bound each pair's intersection before its
+    sets are compared, and a task forgets pairs whose roots it has linked itself."""
+    rows = members.join(lines, members["cid"] == lines["id"]).select("key", "root", "cid", "text")
+    rows = cut(rows)
+    parts = rows.groupBy("key").agg(F.ceil(F.sum(F.length("text")) / PART).cast("int").alias("parts"))
+    rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(2)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "cid", "text")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "cid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, up = None, 0, {}
+        held, maps, sizes, roots = [], np.zeros((64, BITS // 64), dtype=U64), np.zeros(64, np.int64), np.zeros(64, np.int64)
+
+        def find(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for batch in batches:
+            out = [[], []]
+            key, i, j, part, root, cid, text = (batch.column(k).to_pylist() for k in range(7))
+            sets = _sets(width, text)
+            for k, (s, bits) in enumerate(zip(sets, _bitmaps(sets))):
+                if (key[k], i[k], j[k]) != at:
+                    at, n, up, held = (key[k], i[k], j[k]), 0, {}, []
+                if part[k] == j[k] and n:
+                    total = sizes[:n] + len(s)
+                    # |A and B| <= (|A| + |B| - apart) / 2 must reach num / (num + den) of |A| + |B|
+                    apart = np.maximum(np.bitwise_count(maps[:n] ^ bits).sum(axis=1, dtype=np.int64), np.abs(sizes[:n] - len(s)))
+                    for x in np.flatnonzero((roots[:n] != root[k]) & ((total - apart) * (num + den) >= total * 2 * num)):
+                        a, b = find(int(roots[x])), find(root[k])
+                        if a != b and _alike(s, held[x][1], num, den):
+                            up[a] = b
+                            out[0].append(held[x][0])
+                            out[1].append(cid[k])
+                if part[k] == i[k]:
+                    if n == len(sizes):
+                        maps, sizes, roots = (np.concatenate([x, np.zeros_like(x)]) for x in (maps, sizes, roots))
+                    held.append((cid[k], s))
+                    maps[n], sizes[n], roots[n] = bits, len(s), root[k]
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
 def _lines_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id = class, text = line) of the classes in ``pairs``, read again from their owners' texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -227,6 +291,36 @@ def _sets(width: int, lines: list[str | None]) -> list[np.ndarray]:
     return [np.unique(char_shingles(x or "", width)) for x in lines]
 
 
+def _missed(texts: DataFrame, classes: DataFrame, led: DataFrame, alone: DataFrame, links: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links of members that share a key and that ``links`` leave in different components.
+
+    Of a key only the members beside its lead (``led``) count: each was compared with the lead.  A key
+    none of whose members failed that comparison (``alone``) is one component."""
+    roots = components(links).toDF("cid", "root")
+    members = led.select("key", "cid").join(alone.select("key").distinct(), "key", "left_semi").join(roots, "cid", "left")
+    members = members.select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    several = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = cut(members.join(several, "key"))
+    if not members.limit(1).count():
+        return links.limit(0)
+    ids = members.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    return cut(_across(members, _lines_of(texts, classes, ids), width, num, den))
+
+
+def _led_links(texts: DataFrame, classes: DataFrame, led: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all alike classes that share a key; ``led``: (key, lead, cid) of all but the leads."""
+    pairs = cut(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
+    tested = cut(verified(pairs, _lines_of(texts, classes, pairs), partial(_sets, width)))
+    links = tested.where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
+    # those that failed elect leaders among themselves, key by key, in one stream
+    alone = cut(led.join(links.toDF("lead", "cid"), ["lead", "cid"], "left_anti").select("key", "cid"))
+    left = cut(alone.join(alone.groupBy("key").count().where("count > 1").select("key"), "key"))
+    if left.limit(1).count():
+        links = links.union(_elect(left, _lines_of(texts, classes, left.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), width, num, den))
+    links = cut(links)
+    return links.union(_missed(texts, classes, led, alone, links, width, num, den))
+
+
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                    min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc, lines): per id, the numbers (from 0) of the lines that a kept line elsewhere stands for."""
@@ -241,14 +335,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = keyed.select("cid", "key", F.min("cid").over(w).alias("lead"), F.max("cid").over(w).alias("last"))
     shared = cut(shared.where("lead <> last").select("key", "cid").distinct())
     led = shared.withColumn("lead", F.min("cid").over(w)).where("cid <> lead")
-    pairs = cut(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
-    tested = cut(verified(pairs, _lines_of(texts, classes, pairs), partial(_sets, width)))
-    links = tested.where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
-    # those that failed elect leaders among themselves, key by key, in one stream
-    left = led.join(links.toDF("lead", "cid"), ["lead", "cid"], "left_anti").select("key", "cid")
-    left = cut(left.join(left.groupBy("key").count().where("count > 1").select("key"), "key"))
-    if left.limit(1).count():
-        links = links.union(_elect(left, _lines_of(texts, classes, left.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), width, num, den))
+    links = _led_links(texts, classes, led, width, num, den)
     roots = components(links)
 
     kept = classes.where("n > 1").select("cid", F.col("owner").alias("keep"))

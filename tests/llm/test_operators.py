@@ -349,3 +349,39 @@ def test_leaks_do_not_depend_on_their_place(spark):
     want.add((-50, 50, 60, 32))
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id, r.item_words, r.covered_words) for r in got.collect()} == want
+
+
+def test_line_pairs_of_a_key_are_all_connected(spark, monkeypatch):
+    """Equal components with all pairs that share a key, whoever leads: A~B, B~C, A unlike C, in hot and small keys."""
+    monkeypatch.setattr(line_dedup, "RUN", 20)
+    monkeypatch.setattr(line_dedup, "PART", 1500)
+    rnd = random.Random(8)
+    words = "alpha beta gamma delta omega sigma kappa lambda theta zeta river stone cloud field march table".split()
+    lines = []
+    for _ in range(60):  # chains: each line has one word of the one before changed
+        line = [rnd.choice(words) for _ in range(14)]
+        for _ in range(6):
+            line[rnd.randrange(14)] = rnd.choice(words)
+            lines.append(" ".join(line))
+    lines = sorted(set(lines), key=line_dedup.class_of)
+    # one key that all share, and small ones
+    keys = [[1, 2 + i % 7] for i in range(len(lines))]
+    sets = line_dedup._sets(9, lines)
+    groups = Groups(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if line_dedup._alike(sets[i], sets[j], 8, 10):
+                groups.join(i, j)
+    assert len({groups.find(i) for i in range(len(lines))}) > 60
+    ids = [line_dedup.class_of(x) for x in lines]
+    texts = spark.createDataFrame(list(zip(ids, range(len(lines)), lines)), "cid long, doc long, text string")
+    members = spark.createDataFrame([(k, c) for c, row in zip(ids, keys) for k in row], "key long, cid long")
+    classes = texts.select("cid", F.struct("doc", F.lit(0).alias("line")).alias("owner"))
+    lead = members.groupBy("key").agg(F.min("cid").alias("lead"))
+    led = members.join(lead, "key").where("cid <> lead")
+    links = line_dedup._led_links(texts.select("doc", "text"), classes, led, 9, 8, 10)
+    root = {r.id: r.root for r in line_dedup.components(links).collect()}
+    mine = collections.defaultdict(set)
+    for i, c in enumerate(ids):
+        mine[root.get(c, c)].add(groups.find(i))
+    assert all(len(x) == 1 for x in mine.values()) and len(mine) == len({groups.find(i) for i in range(len(lines))})
