@@ -364,9 +364,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return _deduped(docs, id_col, text_col, params).select(F.col(id_col).alias("doc_id"), F.col("__before").alias("n_lines"), F.col("__kept").alias("n_kept"), F.col(text_col).alias("text"))
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **params) -> DataFrame:
-    """``docs``, same columns, without repeated lines; documents that lost lines and have none of
-    ``min_words`` words left were copies and go."""
-    rows = _deduped(docs, id_col, text_col, {"min_words": min_words, **params})
-    whole = F.col(text_col).rlike(rf"(?m)^[^\S\n]*\S+([^\S\n]+\S+){{{min_words - 1}}}")
-    return rows.where((F.col("__kept") == F.col("__before")) | whole).select(*docs.columns)
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """``docs``, same columns, without repeated lines; documents that lost lines and have none but
+    blank ones left were copies and go."""
+    rows = _deduped(docs, id_col, text_col, params)
+    return rows.where((F.col("__kept") == F.col("__before")) | F.col(text_col).rlike(r"\S")).select(*docs.columns)

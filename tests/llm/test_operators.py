@@ -385,3 +385,10 @@ def test_line_pairs_of_a_key_are_all_connected(spark, monkeypatch):
     for i, c in enumerate(ids):
         mine[root.get(c, c)].add(groups.find(i))
     assert all(len(x) == 1 for x in mine.values()) and len(mine) == len({groups.find(i) for i in range(len(lines))})
+
+
+def test_documents_with_own_short_lines_stay(spark):
+    line = "a licence line that every one of these documents holds"
+    rows = [(1, line, "en", "s", 1), (2, f"{line}\nown, short", "en", "s", 1), (3, f"{line}\n \n\t", "en", "s", 1), (4, f"{line}\n\u65e5\u672c\u8a9e\u306e\u6587", "en", "s", 1)]
+    kept = line_dedup.without_repeats(spark.createDataFrame(rows, DOCS))
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: line, 2: "own, short", 4: "\u65e5\u672c\u8a9e\u306e\u6587"}
