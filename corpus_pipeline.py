@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document has, nearly alike; copies that have nothing else go."""
-    kept = line_dedup.without_repeats(docs)
+    kept = line_dedup.without_repeats(docs, min_words=line_dedup.EVERY)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 

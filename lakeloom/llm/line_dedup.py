@@ -11,8 +11,9 @@ members of a key that are in different ones are all compared, so every pair that
 verified or connected already.  Of each component the line of the smallest (doc_id, line number) stays.
 
 Results.  Every input row comes back once with all its columns, its text being the lines kept,
-joined by newlines as before.  Lines of fewer than ``min_words`` words are no evidence of copying and
-always stay.  Null texts stay null and empty ones empty; rows with a null id are neither
+joined by newlines as before.  Lines of fewer than ``min_words`` words always stay; the registered query
+and the pipeline set it to 1 (``EVERY``), so that every line that is not blank takes part, however short and
+in whatever script.  Null texts stay null and empty ones empty; rows with a null id are neither
 changed nor compared.  Rows that repeat an id and text are treated alike: lines are owned by
 (doc_id, line number), so both keep the lines they own.  Columns of the input named like the
 operator's own are kept apart.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import U64, bounded, char_shingles, cut, mix, overlap, prepare, streamed
 from lakeloom.llm.linking import RUN, components, verified
 
-WIDTH, MIN_WORDS = 9, 5
+WIDTH, MIN_WORDS, EVERY = 9, 5, 1
 BANDS, ROWS = 12, 5
 #: Similarity, as num/den, from which two lines are the same.
 NUM, DEN = 8, 10

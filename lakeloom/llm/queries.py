@@ -23,7 +23,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return line_dedup.dedup_lines(load(spark, sf, "documents"))
+    return line_dedup.dedup_lines(load(spark, sf, "documents"), min_words=line_dedup.EVERY)
 
 
 @query

@@ -392,3 +392,17 @@ def test_documents_with_own_short_lines_stay(spark):
     rows = [(1, line, "en", "s", 1), (2, f"{line}\nown, short", "en", "s", 1), (3, f"{line}\n \n\t", "en", "s", 1), (4, f"{line}\n\u65e5\u672c\u8a9e\u306e\u6587", "en", "s", 1)]
     kept = line_dedup.without_repeats(spark.createDataFrame(rows, DOCS))
     assert {r.doc_id: r.text for r in kept.collect()} == {1: line, 2: "own, short", 4: "\u65e5\u672c\u8a9e\u306e\u6587"}
+
+
+def test_short_lines_take_part(spark, tmp_path):
+    """Query and stage: lines of any length, and of scripts without blanks, are kept once; nearly alike ones too."""
+    import corpus_pipeline
+    from lakeloom.llm import queries
+    script = "\u65e5\u672c\u8a9e\u306e\u6587\u306f\u8a9e\u306e\u9593\u306b\u7a7a\u767d\u3092\u5165\u308c\u306a\u3044\u3067\u66f8\u304f" * 3
+    rows = [(1, f"all rights reserved.\nfirst\n{script}", "en", "s", 1), (2, f"All rights reserved. \nsecond\n\n{script}\u3002", "en", "s", 1), (3, "les.\nthird", "en", "s", 1), (4, "les.\n ", "en", "s", 1), (5, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "second\n", 3: "les.\nthird", 4: " ", 5: ""}
+    kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert kept == {1: (rows[0][1], len(rows[0][1])), 2: ("second\n", 7), 3: ("les.\nthird", 10), 5: ("", 0)}
