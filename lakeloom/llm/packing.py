@@ -59,13 +59,33 @@ class Encoder:
         import tiktoken
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        odd = [t["content"] for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"]]
+        if odd:
+            raise ValueError(f"added tokens that take in or look at what is beside them: {odd}")
+        self.special = {t: struct.pack("<I", i) for t, i in special.items()}
+        # the leftmost match, of those the longest
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         byte = _byte_letters()
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.merge = tiktoken.Encoding("pieces", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.known: dict[str, bytes] = {}
 
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        """Ids as the file's tokenizer gives them as loaded: its added tokens within a text are one id each."""
+        if not self.split:
+            return self.encode(texts)
+        out = []
+        for t, plain in zip(texts, self.encode([t if not self.split.search(t) else "" for t in texts])):
+            parts = self.split.split(t)
+            if len(parts) > 1:
+                between = self.encode(parts[0::2])
+                plain = b"".join([between[0], *(self.special[x] + b for x, b in zip(parts[1::2], between[1:]))])
+            out.append(plain)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of the texts' ordinary pieces: added tokens are text like any other."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, merge, out = self.known, self.merge, []
@@ -102,7 +122,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int
         out: list[list] = [[] for _ in range(5)]
         ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for lo in range(0, len(ids), 64):
-            for doc, b in zip(ids[lo: lo + 64], enc.encode(texts[lo: lo + 64])):
+            for doc, b in zip(ids[lo: lo + 64], enc.encode_whole(texts[lo: lo + 64])):
                 b += end
                 for at in range(0, len(b), 4 * size):
                     piece = b[at: at + 4 * size]

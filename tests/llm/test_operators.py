@@ -406,3 +406,17 @@ def test_short_lines_take_part(spark, tmp_path):
     assert got == {1: rows[0][1], 2: "second\n", 3: "les.\nthird", 4: " ", 5: ""}
     kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert kept == {1: (rows[0][1], len(rows[0][1])), 2: ("second\n", 7), 3: ("les.\nthird", 10), 5: ("", 0)}
+
+
+def test_added_tokens_are_one_id(spark):
+    """The tokenizer as loaded, on texts that hold the file's added token."""
+    from tokenizers import Tokenizer
+    path = packing.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x  ", "<|endoftext| >", "caf\u00e9  <|endoftext|>\n\n2nd", "none", "<|<|endoftext|>|>"]
+    ids = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts]
+    assert list(ids[0]) == [64, 220, 50256, 275]
+    assert packing.Encoder(path).encode_whole(texts) == [x.tobytes() for x in ids]
+    rows = packing.pack(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()
+    ended = [np.append(x, 1).astype("<u4") for x in ids]
+    assert {(r.doc_id, r.ids_crc32, r.doc_tokens) for r in rows} == {(i, zlib.crc32(x.tobytes()), len(x)) for i, x in enumerate(ended)}
