@@ -8,8 +8,8 @@ two children, so the root is the leftmost pair of the lowest rank.  Merging it c
 with its path to the root, until the root holds no pair: O(n log n) for a word of n bytes, of any length.
 
 Texts of Latin letters and plain ASCII are normalised and split with the standard library; all others by the
-file's own normaliser and splitter, so that both follow one Unicode version.  A task remembers the ids
-of words up to ``REMEMBERED`` bytes of them.
+file's own normaliser and splitter, so that both follow one Unicode version.  A task remembers words and
+their ids up to ``REMEMBERED`` bytes.
 
 Results.  One row per input row, in any order.  Null and empty texts have no ids and decode to an empty text.
 Repeated rows are encoded each.  Other columns of the input are ignored.  Decoding joins the ids' tokens with one blank,
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import prepare, streamed
 
-#: Bytes of words and their ids that a task remembers, and the longest word that is.
-REMEMBERED, WORD = 16 << 20, 64
+#: Bytes of words, their ids and the table of them that a task remembers.
+REMEMBERED = 48 << 20
 #: The file's word split (a fixed pattern of that vocabulary), for texts that PLAIN allows.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
@@ -71,10 +71,13 @@ class Vocabulary:
         letters = byte_letters()
         self.first = [vocab[c] for c in letters]
         self.last = [vocab[c + suffix] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        # rank of a pair of ids (below 2^20), and the id that each rank makes
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << 20 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         # the leftmost match, of those the longest
@@ -88,43 +91,47 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word, by the segment tree."""
         n = len(word)
-        ids = [self.first[b] for b in word]
+        first = self.first
+        ids = [first[b] for b in word]
         if n:
             ids[-1] = self.last[word[-1]]
         if n < 2:
             return ids
-        pairs, size = self.pairs, 1 << (n - 1).bit_length()
-        tree = [NO_PAIR] * (2 * size)
-        for i in range(n - 1):
-            found = pairs.get((ids[i], ids[i + 1]))
-            if found:
-                tree[size + i] = found[0] * n + i
-        for k in range(size - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int, j: int) -> None:
-            """The leaf of the pair that begins at ``i``, ``j`` being the token after it, and its path to the root."""
-            found = pairs.get((ids[i], ids[j])) if j < n else None
-            value = found[0] * n + i if found else NO_PAIR
-            k = size + i
-            while k and tree[k] != value:
-                tree[k] = value
-                k >>= 1
-                if k:
-                    value = min(tree[2 * k], tree[2 * k + 1])
-
+        # leaves m..2m-1: rank * n + place of the pair that begins there; node k is the lesser of 2k and 2k+1
+        ranks, made, m = self.ranks, self.made, n - 1
+        tree = [NO_PAIR] * m
+        for i in range(m):
+            r = ranks.get(ids[i] << 20 | ids[i + 1])
+            tree.append(NO_PAIR if r is None else r * n + i)
+        for k in range(m - 1, 0, -1):
+            a, b = tree[2 * k], tree[2 * k + 1]
+            tree[k] = a if a < b else b
+        after, before = list(range(1, n + 1)), list(range(-1, m))
         while tree[1] != NO_PAIR:
-            i = tree[1] % n
+            r, i = divmod(tree[1], n)
             j = after[i]
-            ids[i] = pairs[ids[i], ids[j]][1]
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            put(j, n)
-            put(i, after[i])
-            if before[i] >= 0:
-                put(before[i], i)
+            ids[i] = made[r]
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+            # three leaves change: that of j, which is gone, of i, and of the token before i
+            for leaf in (j, i, before[i]):
+                if leaf < 0 or leaf == m:
+                    continue
+                value = NO_PAIR
+                if leaf != j and after[leaf] < n:
+                    r = ranks.get(ids[leaf] << 20 | ids[after[leaf]])
+                    if r is not None:
+                        value = r * n + leaf
+                k = leaf + m
+                while tree[k] != value:
+                    tree[k] = value
+                    if k == 1:
+                        break
+                    other = tree[k ^ 1]
+                    if other < value:
+                        value = other
+                    k >>= 1
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -155,9 +162,6 @@ class Vocabulary:
             if self.held > REMEMBERED:
                 known.clear()
                 self.held = 0
-            elif any(len(w) > WORD for w in words):
-                for w in {w for w in words if len(w) > WORD}:
-                    self.held -= len(w) + len(known.pop(w)) + 150
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -202,11 +202,11 @@ def test_bpe_of_one_very_long_word():
     # the plain way: the leftmost of the lowest ranks, again and again
     ids = [voc.first[b] for b in word[:-1]] + [voc.last[word[-1]]]
     while True:
-        ranks = [(voc.pairs[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in voc.pairs]
+        ranks = [(voc.ranks[a << 20 | b], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if a << 20 | b in voc.ranks]
         if not ranks:
             break
-        i = min(ranks)[1]
-        ids[i: i + 2] = [voc.pairs[ids[i], ids[i + 1]][1]]
+        r, i = min(ranks)
+        ids[i: i + 2] = [voc.made[r]]
     assert voc.merge(word) == ids
     assert len(voc.merge(word * 30)) > 1000 and not voc.merge(b"")
 
