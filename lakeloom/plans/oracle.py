@@ -87,6 +87,8 @@ def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> st
     body = sql.strip()
     if not parts:
         return body
+    if body[:15].lower() == "with recursive ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].lower() == "with ":
         # merge with the query's own CTE list
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]

@@ -16,6 +16,7 @@ from lakeloom.functions.inference import first_record_columns, infer_schema, typ
 from lakeloom.operators import quality as G
 from lakeloom.operators.query_builder import pivot_counts
 from lakeloom.sinks import tables as K
+from lakeloom.sinks.once import database_sink
 from lakeloom.sources import documents as DOC
 from lakeloom.sources import files as SRC
 from lakeloom.sources import jdbc as JDBC
@@ -176,15 +177,10 @@ def database_to_database(spark: SparkSession, source_url: str, target_url: str,
 def stream_to_database(stream: DataFrame, schema, jdbc_url: str, target_table: str, checkpoint: str,
                        dead_letter_path: str, value_col: str = "value", batch_size: int = 1000,
                        properties: dict | None = None, trigger: str | None = "available_now"):
-    """S17 -> T8 -> K9: decode, send bad records to a dead-letter folder, append
-    good ones to the database in JDBC batches, once per micro-batch."""
+    """S17 -> T8 -> K9: decode, send bad records to a dead-letter folder, move good
+    ones to the database through a staging table; a micro-batch that runs again adds nothing."""
     decoded = ST.decode(stream, schema, "json", value_col, bad_records="dead_letter")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        good, bad = ST.split_bad_records(batch)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(dead_letter_path)
-        JDBC.write_table(good, jdbc_url, target_table, batch_size=batch_size, properties=properties)
-
+    sink = database_sink(jdbc_url, target_table, checkpoint[-200:], dead_letter_path, ST.split_bad_records, batch_size=batch_size, properties=properties)
     return (decoded.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**ST.trigger_kwargs(trigger)).start())
 

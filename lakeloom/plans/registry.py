@@ -34,7 +34,7 @@ def register(name: str, oracle: str | None = None, views: tuple[str, ...] = (),
 def load_all() -> None:
     """Import the query modules (each registers itself)."""
     from lakeloom.plans import (q_tracking, q_filequery, q_writes, q_portfolio,  # noqa: F401
-                                q_topics, q_text, q_quality, q_conformance, q_streaming)
+                                q_topics, q_text, q_quality, q_conformance, q_streaming, q_mechanisms)
     # the streamed status machine must reproduce the batch fold exactly
     if "stream_status_machine" in QUERIES and "status_fold" in ORACLES:
         ORACLES["stream_status_machine"] = ORACLES["status_fold"]
