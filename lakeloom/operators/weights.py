@@ -6,6 +6,9 @@ symbols, whatever the length of its history) by an active set: with some positiv
 solution of  min y'Sy / 2 - m'y, y >= 0,  found in finitely many steps by adding the symbol whose gradient is most negative and
 stepping back to the boundary when a weight would turn negative.  Without a positive mean the ratio has no
 maximum inside: the best single symbol is the answer.  There is no grid and no limit on symbols.
+
+Every symbol's variance counts with ``RIDGE`` of the mean variance more.  Without that a history shorter than the list of
+symbols would leave portfolios without any risk, and no greatest ratio; with it the answer is unique.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.portfolio import TRADING_DAYS
 
+RIDGE = 1e-8
+
 
 def portfolio_returns(prices: DataFrame, by: Sequence[str]) -> DataFrame:
     """W1 per portfolio: ``prices`` has ``by``, dt, symbol and price; only dates on which all of a portfolio's symbols have a price count."""
@@ -50,11 +55,7 @@ def max_sharpe(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
         ratio = np.where(risk > 0, mean / np.where(risk > 0, risk, 1.0), np.where(mean < 0, -np.inf, 0.0))
         out[int(np.argmax(ratio))] = 1.0
         return out
-    free = np.flatnonzero((risk <= 1e-300) & (mean > 0))
-    if len(free):
-        # a gain without risk: no ratio is greater
-        out[free[int(np.argmax(mean[free]))]] = 1.0
-        return out
+    cov = cov + RIDGE * np.mean(np.diag(cov)) * np.eye(n)
     y, active = np.zeros(n), np.zeros(n, dtype=bool)
     scale = np.abs(mean).max()
     for _ in range(30 * n + 30):
@@ -79,7 +80,7 @@ def max_sharpe(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
             active &= ~left
             if not active.any():
                 break
-    return y / y.sum() if y.sum() > 0 else np.eye(n)[int(np.argmax(mean / risk))]
+    return y / y.sum() if y.sum() > 0 else np.eye(n)[int(np.argmax(mean))]
 
 
 def optimal_weights(rets: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -117,15 +118,16 @@ def optimal_weights(rets: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def optimality(pairs: DataFrame, weights: DataFrame, by: Sequence[str], slack: float = 1e-6) -> DataFrame:
     """(``by``, symbols, weights_sum, stationary): whether the weights meet the conditions of the maximum, from the statistics
-    alone.  With g = m * (w'Sw) - (Sw) * (m'w), no symbol's g is above 0, and those held have 0; where m'w <= 0, a corner is held."""
+    alone.  With g = m * (w'Sw) - (Sw) * (m'w), S with its ridge, no symbol's g is above 0, and those held have 0; where m'w <= 0, a corner is held."""
     by = list(by)
+    ridge = pairs.where("symbol_a = symbol_b").groupBy(*by).agg((F.avg("cov") * RIDGE).alias("ridge"))
     w = weights.select(*by, F.col("symbol").alias("symbol_b"), F.col("weight").alias("wb"))
     row = pairs.join(w, [*by, "symbol_b"]).groupBy(*by, "symbol_a").agg(F.sum(F.col("cov") * F.col("wb")).alias("sw"), F.max(F.when(F.col("symbol_a") == F.col("symbol_b"), F.col("mean_a"))).alias("m"))
-    row = row.join(weights.select(*by, F.col("symbol").alias("symbol_a"), F.col("weight").alias("wa")), [*by, "symbol_a"])
+    row = row.join(weights.select(*by, F.col("symbol").alias("symbol_a"), F.col("weight").alias("wa")), [*by, "symbol_a"]).join(ridge, by)
+    row = row.withColumn("sw", F.col("sw") + F.col("ridge") * F.col("wa"))
     whole = row.groupBy(*by).agg(F.sum(F.col("wa") * F.col("sw")).alias("var"), F.sum(F.col("wa") * F.col("m")).alias("gain"),
                                  F.max(F.abs("m")).alias("most"), F.sum("wa").alias("weights_sum"), F.max("wa").alias("top"), F.count("*").alias("symbols"))
     g = F.col("m") * F.col("var") - F.col("sw") * F.col("gain")
     allowed = F.lit(slack) * F.col("most") * F.col("var")
     fine = F.when(F.col("gain") <= 0, F.col("top") > 1 - slack).otherwise((g <= allowed) & ((F.col("wa") <= slack) | (g >= -allowed)))
-    checked = row.join(whole, by).groupBy(*by, "symbols", "weights_sum").agg(F.bool_and(fine & (F.col("wa") >= 0)).alias("stationary"))
-    return checked
+    return row.join(whole, by).groupBy(*by, "symbols", "weights_sum").agg(F.bool_and(fine & (F.col("wa") >= 0)).alias("stationary"))

@@ -280,7 +280,10 @@ def test_weights_of_odd_portfolios():
     assert W.max_sharpe(one, np.array([[0.0]])).tolist() == [1.0]
     # equal symbols, a singular matrix, a gain without risk, only losses
     assert abs(W.max_sharpe(np.array([1.0, 1.0]), np.ones((2, 2))).sum() - 1) < 1e-9
-    assert W.max_sharpe(np.array([1.0, 2.0, 0.5]), np.diag([1.0, 0.0, 0.0])).tolist() == [0, 1, 0]
+    free = W.max_sharpe(np.array([1.0, 2.0, 0.5]), np.diag([1.0, 0.0, 0.0]))
+    assert free[0] < 1e-6 and free[1] > free[2] and W.max_sharpe(np.array([1.0, 2.0]), np.zeros((2, 2))).tolist() == [0, 1]
+    short = np.random.default_rng(1).normal(size=(2, 6)) + 0.1
+    assert abs(W.max_sharpe(short.mean(axis=0), np.cov(short.T)).sum() - 1) < 1e-9
     assert W.max_sharpe(np.array([-1.0, -2.0]), np.diag([1.0, 100.0])).tolist() == [0, 1]
     rng = np.random.default_rng(5)
     a = rng.normal(size=(300, 60))
