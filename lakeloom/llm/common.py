@@ -72,12 +72,12 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word index of every text, with the total at the end).
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, first word index of every text, with the total at the end, bytes of every word).
 
     A-Z are lower-cased; words are maximal runs without blanks (space, \\t..\\r).  A word's
     hash is a polynomial over its bytes, read off one prefix sum per pass."""
-    parts, starts, done = [], [0], 0
+    parts, sizes, starts, done = [], [], [0], 0
     for lo, hi in passes(texts):
         buf = np.frombuffer(b"\n".join(texts[lo:hi]) + b"\n", dtype=np.uint8)
         buf = _UPPER[buf]
@@ -91,10 +91,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             total = np.concatenate([[U64(0)], np.cumsum((buf.astype(U64) + U64(1)) * power, dtype=U64)])
             h = (total[last] - total[first]) * _inverse_powers(len(buf))[first]
             parts.append(mix(h + (last - first).astype(U64) * _P))
+            sizes.append(last - first)
         ends = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
         starts.extend((done + np.searchsorted(first, ends)).tolist())
         done += n
-    return (np.concatenate(parts) if parts else np.zeros(0, U64)), np.array(starts, dtype=np.int64)
+    sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, U64)), np.array(starts, dtype=np.int64), sizes
 
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -126,15 +128,19 @@ def _inverse_powers(n: int) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of every text's ``width``-word shingles; a text of fewer words
-    (one at least) is one shingle, a text without words or null has none."""
+    (one at least) is one shingle, a text without words or null has none.
+
+    The first byte tells a shingle's size, 255 less its bytes: those of many letters, which are rare, sort first."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    words, starts = word_hashes(raw)
+    words, starts, sizes = word_hashes(raw)
+    reach = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     with np.errstate(over="ignore"):
         if len(words) >= width:
             h = words[: len(words) - width + 1].copy()
             for k in range(1, width):
                 h = mix(h * _P + words[k: len(words) - width + 1 + k])
+            h = _sized(h, reach[width:] - reach[: len(words) - width + 1])
         else:
             h = np.zeros(0, U64)
         for i in range(len(raw)):
@@ -145,12 +151,16 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
                 one = U64(hi - lo)
                 for w in words[lo:hi]:
                     one = mix(np.array([one * _P + w], dtype=U64))[0]
-                out.append(np.array([one], dtype=U64))
+                out.append(_sized(np.array([one], dtype=U64), reach[hi: hi + 1] - reach[lo: lo + 1]))
             else:
                 out.append(np.zeros(0, U64))
     return out
 
 
+def _sized(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return h >> U64(8) | (U64(255) - np.minimum(size, 255).astype(U64)) << U64(56)
+
+
 def char_shingles(text: str, width: int) -> np.ndarray:
     """Hashes of the ``width``-character shingles in order (a shorter text is one shingle)."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64)

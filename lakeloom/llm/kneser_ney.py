@@ -1,86 +1,73 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: a text is written in an alphabet of ``V`` symbols (letters, classes of other letters,
-digits, capitals and signs), and n-grams of ``ORDER`` symbols are counted over every trusted
-document.  Counts are summed by Spark in shards by n-gram; continuation counts, context totals and the
-discounts of every order are aggregations of those shards and joins between them on the
-context.  The alphabet bounds the model by V^ORDER probabilities (19 MB as 32-bit floats)
-whatever the corpus, which is why it may be broadcast: each text is then scored where it lies
-instead of shuffling all of its n-grams to the shards.
-
-A document is accepted if its perplexity lies between two quantiles of the perplexities of trusted
-documents of the same language and length class (powers of two): junk is less predictable than good text, or,
-repeating itself, more.  A language without ``LEAST`` trusted documents of a class uses all of its trusted
-documents, and one without any those of all languages.
+The model is over the characters of trusted texts, n-grams of ``ORDER`` code points, all of them, in whatever script.
+Strings are known by a 64-bit hash of their code points.  Tasks count n-grams in a table of fixed size, what doesn't
+find a place is handed on at once; Spark sums the counts in shards by n-gram.  Continuation counts, totals of contexts,
+discounts of every order and the interpolated probabilities are aggregations of these shards and joins between them, on
+the context and on the shorter n-gram.  The model stays a sharded table of strings: probability of the last
+character given the others, and weight of the string as a context.
+
+Scoring never moves an n-gram per text.  A scan task cuts its documents into blocks of about ``BLOCK`` characters and asks,
+once per block, for the distinct strings of 1 to ``ORDER`` characters in it.  The requests are joined to the
+shards, and each block's answers meet its (compressed) texts again in one task, answers first, texts streaming past:
+a text's log-probability is read off its block's answers, backing off where a longer string has none.
+
+A document is accepted if its perplexity lies between two quantiles of the trusted documents of its language.  Short texts
+scatter more: the logarithm may be off by ``SLACK`` standard deviations of a character's log-probability over the root of
+the length, for trusted texts and others alike.  A language without trusted documents uses those of all languages.
 
 Results.  Null and empty texts have a null perplexity and are accepted: nothing speaks against
-them.  A null language is a language.  Without trusted documents all are accepted.
+them.  A null language is a language.  Without trusted documents all are accepted.  Repeated rows are judged each; other
+columns stay as they are.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-
-from lakeloom.llm.common import bounded, cut, prepare, streamed
-
-ORDER, V = 4, 47
-#: Quantiles of trusted perplexity between which a document is accepted, and the least number of documents for a class of its own.
-LOW, HIGH, LEAST = 0.001, 0.998, 100
-#: Characters that one vectorised pass takes.
-CHARS = 250_000
-
-
-def _alphabet() -> np.ndarray:
-    """Symbol of every code point up to U+FFFF: 0 blank, 1 line end, 2 digit, 3 capital, 4-29 a-z, 30-39 other letters, 40-46 signs."""
-    table = np.full(1 << 16, 46, dtype=np.uint8)
-    for c in range(0xC0, 1 << 16):
-        ch = chr(c)
-        if ch.isalpha():
-            table[c] = 3 if ch.isupper() else 30 + c % 10
-    table[[32, 9, 13, 0xA0]] = 0
-    table[10] = 1
-    for c in range(128):
-        ch = chr(c)
-        if ch.isdigit():
-            table[c] = 2
-        elif ch.isupper():
-            table[c] = 3
-        elif ch.islower():
-            table[c] = 4 + c - 97
-    for symbol, signs in ((40, "."), (41, ","), (42, "!?"), (43, "|"), (44, "-'\"();:"), (45, "%$&#*@=_<>/\\[]{}+~^`")):
-        for ch in signs:
-            table[ord(ch)] = symbol
-    return table
-
-
-_TABLE = _alphabet()
-
-
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram numbers of all texts in order, how many each has); a text is preceded by blanks."""
-    n = np.array([len(t) for t in texts])
-    pad = " " * (ORDER - 1)
-    code = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    s = _TABLE[np.minimum(code, 0xFFFF)].astype(np.int32)
-    g = s[: len(s) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        g = g * V + s[k: len(s) - ORDER + 1 + k]
-    # n-grams that begin in a text's last places end in the next text's blanks
-    first = np.cumsum(n + ORDER - 1) - n - ORDER + 1
-    keep = np.zeros(len(g) + 1, dtype=np.int32)
-    np.add.at(keep, first[n > 0], 1)
-    np.add.at(keep, (first + n)[n > 0], -1)
-    return g[np.cumsum(keep[:-1]) > 0], n
-
-
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+
+from lakeloom.llm.common import U64, bounded, cut, mix, prepare, streamed
+
+ORDER = 4
+#: Quantiles of trusted texts between which a document is accepted, and the slack of short texts.
+LOW, HIGH, SLACK = 0.0005, 0.999, 1.5
+#: Characters of a block of documents, and of one vectorised pass.
+BLOCK, CHARS = 24_000_000, 250_000
+#: Slots of a task's tables, as a power of two.
+SLOTS = 19
+#: Stands before a text's first character (above all code points).
+PAD = 0x110000
+_P, _Q = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
+
+
+def keys_of(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(hashes of the strings of 1 to ORDER characters that end at each place, places of the texts' characters, lengths).
+
+    Texts are laid out one after the other, ORDER - 1 pads before each: the string before a place is the one that ends a place earlier."""
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    raw = "".join(texts).encode("utf-32-le", "surrogatepass")
+    code = np.full(int(n.sum()) + (ORDER - 1) * len(texts), PAD, dtype=U64)
+    at = np.arange(int(n.sum())) + np.repeat((ORDER - 1) * np.arange(1, len(texts) + 1), n)
+    code[at] = np.frombuffer(raw, dtype=np.uint32)
+    code += U64(1)
+    out, total, power = [], np.zeros(len(code), U64), U64(1)
+    with np.errstate(over="ignore"):
+        for k in range(ORDER):
+            total = total.copy()
+            total[k:] += code[: len(code) - k] * power
+            power = power * _P
+            out.append(mix(total + U64(k + 1) * _Q))
+    return out, at, n
+
+
+def _passes(texts: list[str]) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > CHARS:
@@ -91,95 +78,236 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+COUNT_FIELDS = ", ".join([*(f"g{k} long" for k in range(ORDER, 0, -1)), *(f"c{k} long" for k in range(ORDER - 1, 0, -1)), "n long"])
+
+
 @streamed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(V ** ORDER, dtype=np.int32)
+    """n-grams with their shorter ends (g), the strings before their last characters (c) and counts."""
+    width = 2 * ORDER - 1
+    held = np.zeros((1 << SLOTS, width), dtype=U64)
+    counts = np.zeros(1 << SLOTS, dtype=np.int64)
+    names = [*(f"g{k}" for k in range(ORDER, 0, -1)), *(f"c{k}" for k in range(ORDER - 1, 0, -1)), "n"]
+
+    def told(rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(n), 50_000):
+            part = rows[lo: lo + 50_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, k]).view(np.int64)) for k in range(width)), pa.array(n[lo: lo + 50_000])], names)
+
     for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        for lo, hi in _chunks(texts):
-            np.add.at(total, ngrams(texts[lo:hi])[0], 1)
-    seen = np.flatnonzero(total)
-    for lo in range(0, len(seen), 100_000):
-        part = seen[lo: lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["g", "n"])
-
-
-def train(texts: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Natural logarithms of the probabilities of all V^ORDER n-grams, last symbol given the others."""
-    counts = cut(texts.select(text_col).mapInArrow(_count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
-    lower = np.full(V, 1.0 / V)
-    shards = [counts]
-    for order in range(ORDER - 1, 0, -1):                                 # continuation counts: distinct symbols before
-        shards.append(cut(shards[-1].groupBy((F.col("g") % V ** order).alias("g")).agg(F.count("*").alias("n"))))
-    for order, shard in zip(range(1, ORDER + 1), reversed(shards)):
-        c = [shard.agg(F.count_if(F.col("n") == k)).first()[0] for k in (1, 2, 3, 4)]
+        texts = [t for t in batch.column(0).to_pylist() if t]
+        for lo, hi in _passes(texts):
+            keys, at, _ = keys_of(texts[lo:hi])
+            found, first, n = np.unique(keys[-1][at], return_index=True, return_counts=True)
+            place = at[first]
+            rows = np.stack([*(keys[k][place] for k in range(ORDER - 1, -1, -1)), *(keys[k][place - 1] for k in range(ORDER - 2, -1, -1))], axis=1)
+            slot = (found >> U64(64 - SLOTS)).astype(np.int64)
+            # of new strings that fall on one free slot the last stays; the others are handed on
+            free = counts[slot] == 0
+            held[slot[free]] = rows[free]
+            own = held[slot, 0] == found
+            counts[slot[own]] += n[own]
+            yield from told(rows[~own], n[~own])
+    used = np.flatnonzero(counts)
+    yield from told(held[used], counts[used])
+
+
+def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, p, back) of every string of the model: probability of its last character given the others, and its weight as a context."""
+    rows = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count, COUNT_FIELDS)
+    others = [c for c in rows.columns if c not in (f"g{ORDER}", "n")]
+    shard = cut(rows.groupBy(f"g{ORDER}").agg(*[F.min(c).alias(c) for c in others], F.sum("n").alias("n")))
+    shards = [shard]
+    for k in range(ORDER - 1, 0, -1):                                      # continuation counts: distinct characters before
+        keep = [c for c in shards[-1].columns if c not in ("n", f"g{k + 1}", f"c{k}", f"g{k}")]
+        shards.append(cut(shards[-1].groupBy(f"g{k}").agg(*[F.min(c).alias(c) for c in keep], F.count("*").alias("n"))))
+    symbols = shards[-1].count()
+    below, parts = None, []
+    for k, shard in zip(range(1, ORDER + 1), reversed(shards)):
+        c = shard.agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in (1, 2, 3, 4)]).first()          # four numbers
         y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0.0
-        cuts = [max(0.0, min(k, k - (k + 1) * y * c[k] / c[k - 1])) if c[k - 1] else 0.0 for k in (1, 2, 3)]
+        cuts = [max(0.0, min(j, j - (j + 1) * y * c[j] / c[j - 1])) if c[j - 1] else 0.0 for j in (1, 2, 3)]
         cuts = [x if x > 0 else 0.5 for x in cuts]
-        n, ctx = F.col("n"), F.floor(F.col("g") / V).alias("ctx")
-        off = F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2])
-        off = F.least(off, n.cast("double"))
-        totals = shard.groupBy(ctx).agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
-        rows = shard.withColumn("ctx", F.floor(F.col("g") / V)).join(totals.select("ctx", "total"), "ctx").select("g", ((n - off) / F.col("total")).alias("p")).toArrow()
-        back = totals.select("ctx", (F.col("off") / F.col("total")).alias("w")).toArrow()
-        gamma, seen = np.ones(V ** (order - 1)), np.zeros(V ** order)
-        gamma[back["ctx"].to_numpy()] = back["w"].to_numpy()
-        seen[rows["g"].to_numpy()] = rows["p"].to_numpy()
-        # the lower order of context abc is that of bc, for every a
-        below = lower if order == 1 else np.tile(lower.reshape(-1, V), (V ** (order - 1) // (len(lower) // V), 1)).reshape(-1)
-        lower = seen + np.repeat(gamma, V) * below
-    return np.log(np.maximum(lower, 1e-12)).astype(np.float32)
-
-
-def perplexity(text: Column, model) -> Column:
-    """Perplexity per symbol under a broadcast ``model``; null for null and empty texts."""
-    @arrow_udf("double")
-    def score(col: pa.Array) -> pa.Array:
-        texts = [t or "" for t in col.to_pylist()]
-        out = np.full(len(texts), np.nan)
-        for lo, hi in _chunks(texts):
-            g, n = ngrams(texts[lo:hi])
-            total = np.concatenate([[0.0], np.cumsum(model.value[g], dtype=np.float64)])
-            end = np.cumsum(n)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[lo:hi] = np.exp(-(total[end] - total[end - n]) / n)
-        return pa.array(out, mask=np.isnan(out))
-    return score(text)
+        n = F.col("n")
+        off = F.least(F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2]), n.cast("double"))
+        context = F.col(f"c{k - 1}") if k > 1 else F.lit(0).cast("long")
+        totals = shard.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
+        own = shard.withColumn("context", context).join(totals, "context")
+        back = F.col("off") / F.col("total")
+        if below is None:
+            # what is left goes to all characters alike, and one for those never seen
+            p = (n - off) / F.col("total") + back / (symbols + 1)
+            unseen = totals.select(F.lit(0).cast("long").alias("key"), (back / (symbols + 1)).alias("p"), F.lit(None).cast("double").alias("back"))
+            parts.append(unseen)
+        else:
+            own = own.join(below.select(F.col("key").alias(f"g{k - 1}"), F.col("p").alias("lower")), f"g{k - 1}")
+            p = (n - off) / F.col("total") + back * F.col("lower")
+            parts.append(totals.select(F.col("context").alias("key"), F.lit(None).cast("double").alias("p"), back.alias("back")))
+        below = cut(own.select(F.col(f"g{k}").alias("key"), p.alias("p")))
+        parts.append(below.withColumn("back", F.lit(None).cast("double")))
+    model = parts[0]
+    for part in parts[1:]:
+        model = model.unionByName(part)
+    return cut(model.groupBy("key").agg(F.max("p").alias("p"), F.max("back").alias("back")))
+
+
+@streamed
+def _ask(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Documents (with their text compressed) and the distinct strings of their block (kind 0: a string, 1: a document)."""
+    task, blocks, size = TaskContext.get().partitionId(), 0, 0
+    seen = np.zeros(1 << SLOTS, dtype=U64)
+    press = zstandard.ZstdCompressor(level=1).compress
+    fields = None
+    for batch in batches:
+        fields = batch.schema
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        if size > BLOCK:
+            blocks, size = blocks + 1, 0
+            seen[:] = 0
+        size += sum(map(len, texts))
+        block = (task << 24) + blocks
+        rest = [batch.column(i) for i in range(1, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(texts), pa.int64()), pa.array([1] * len(texts), pa.int32()), pa.nulls(len(texts), pa.int64()),
+                                          pa.array([press(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary()), *rest], names)
+        for lo, hi in _passes(texts):
+            keys, at, n = keys_of(texts[lo:hi])
+            for k, h in enumerate(keys):
+                h = h[at] if k == ORDER - 1 else h
+                slot = (h >> U64(64 - SLOTS)).astype(np.int64)
+                new = np.unique(h[seen[slot] != h])
+                # a string that another pushed out of its slot is asked for again: repeated requests change nothing
+                seen[(new >> U64(64 - SLOTS)).astype(np.int64)] = new
+                if len(new):
+                    m = len(new)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array([0] * m, pa.int32()), pa.array(new.view(np.int64)), pa.nulls(m, pa.binary()),
+                                                      *(pa.nulls(m, f.type) for f in list(fields)[1:])], names)
+
+
+class Answers:
+    """A block's strings: a table by hash, and a sorted list for those that share a slot."""
+
+    def __init__(self, keys: np.ndarray, p: np.ndarray, back: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.p, self.back = keys[order], p[order], back[order]
+        self.slots = np.full(1 << SLOTS, -1, dtype=np.int32)
+        self.slots[(self.keys >> U64(64 - SLOTS)).astype(np.int64)] = np.arange(len(keys), dtype=np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Indexes of the strings, -1 for those without an answer."""
+        if not len(self.keys):
+            return np.full(len(h), -1, dtype=np.int64)
+        at = self.slots[(h >> U64(64 - SLOTS)).astype(np.int64)].astype(np.int64)
+        odd = np.flatnonzero((at >= 0) & (self.keys[at] != h))
+        if len(odd):
+            there = np.searchsorted(self.keys, h[odd])
+            there[there == len(self.keys)] = 0
+            at[odd] = np.where(self.keys[there] == h[odd], there, -1)
+        return at
+
+
+def logs(keys: list[np.ndarray], at: np.ndarray, answers: Answers, unseen: float) -> np.ndarray:
+    """Log-probability of the character at each of the places ``at``."""
+    out = np.zeros(len(at))
+    left = np.arange(len(at))
+    for k in range(ORDER - 1, -1, -1):
+        found = answers.find(keys[k][at[left]])
+        p = np.where(found >= 0, answers.p[found] if len(answers.p) else np.nan, np.nan)
+        hit = ~np.isnan(p)
+        out[left[hit]] += np.log(p[hit])
+        left = left[~hit]
+        if not len(left):
+            return out
+        if k:
+            # back off: the string before the place tells with what weight; one never followed, with all of it
+            found = answers.find(keys[k - 1][at[left] - 1])
+            w = np.where(found >= 0, answers.back[found] if len(answers.back) else np.nan, np.nan)
+            out[left] += np.log(np.where(np.isnan(w), 1.0, w))
+    out[left] += np.log(unseen)
+    return out
+
+
+@streamed
+def _score(batches: Iterator[pa.RecordBatch], unseen: float, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, kind): a block's answers, then its documents; (mean and deviation of a character's log-probability, length, columns)."""
+    block, parts, answers = None, [], None
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = np.flatnonzero(np.diff(blocks) | np.diff(kinds)) + 1
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(blocks)]):
+            if blocks[lo] != block:
+                block, parts, answers = blocks[lo], [], None
+            if kinds[lo] == 0:
+                parts.append([batch.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for i in (2, 4, 5)])
+                continue
+            if answers is None:
+                merged = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+                answers, parts = Answers(merged[0].view(U64), merged[1].astype(float), merged[2].astype(float)), []
+            texts = [open_(z).decode("utf-8", "surrogatepass") if z else "" for z in batch.column(3).slice(lo, hi - lo).to_pylist()]
+            mean, spread = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
+            for a, b in _passes(texts):
+                keys, at, n = keys_of(texts[a:b])
+                x = logs(keys, at, answers, unseen)
+                end = np.cumsum(n)
+                one, two = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    mean[a:b] = (one[end] - one[end - n]) / n
+                    spread[a:b] = np.sqrt(np.maximum((two[end] - two[end - n]) / n - mean[a:b] ** 2, 0.0))
+            size = pa.array([len(t) for t in texts], pa.int64())
+            rest = [batch.column(i).slice(lo, hi - lo) for i in range(6, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(mean, mask=np.isnan(mean)), pa.array(spread, mask=np.isnan(spread)), size, *rest], names)
+
+
+def score(docs: DataFrame, model: DataFrame, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
+    """(mean, spread, size, and the columns ``keep``) of every row: mean and standard deviation of its characters' log-probabilities."""
+    kept = docs.select(F.col(text_col).cast("string").alias("__text"), *(keep or []))
+    extra = kept.schema.fields[1:]
+    names = ["block", "kind", "key", "z", *(f.name for f in extra)]
+    told = ", ".join(["", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
+    asked = cut(kept.mapInArrow(partial(_ask, names=names), f"block long, kind int, key long, z binary{told}"))
+    unseen = model.where("key = 0").select("p").first()
+    answers = asked.where("kind = 0").select("block", "kind", "key").join(model.where("key <> 0"), "key")
+    answers = answers.select("block", "kind", "key", F.lit(None).cast("binary").alias("z"), "p", "back", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    texts = asked.where("kind = 1").select("block", "kind", "key", "z", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("back"), *[F.col(f.name) for f in extra])
+    rows = answers.union(texts).repartition("block").sortWithinPartitions("block", "kind")
+    out = ["mean", "spread", "size", *(f.name for f in extra)]
+    return rows.mapInArrow(partial(_score, unseen=unseen.p if unseen else 1.0, names=out), f"mean double, spread double, size long{told}")
 
 
 def _judged(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, low: float, high: float) -> DataFrame:
-    """``docs`` with ``__p`` and ``__ok``."""
-    spark = docs.sparkSession
-    prepare(spark)
+    """(id, lang, a, b: the text's and language's hashes, perplexity, ok) of every row."""
+    prepare(docs.sparkSession)
     ids = bounded(trusted.select(F.col(id_col).alias("__id")).distinct())
-    good = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(ids, "__id", "left_semi")
-    model = spark.sparkContext.broadcast(train(good))
-    size = F.floor(F.log2(F.length(F.col("text")) + 1)).cast("int")
-    told = cut(good.select("lang", size.alias("size"), perplexity(F.col("text"), model).alias("p")).where("p is not null"))
-
-    def bounds(*by: str) -> DataFrame:
-        return told.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("p", [low, high], 10_000).alias("q"))
-
-    # one row per language and power of two, and one per language
-    fine = bounds("lang", "size").where(F.col("n") >= LEAST).select(F.col("lang").alias("__lang"), F.col("size").alias("__size"), F.col("q").alias("__fine"))
-    coarse = bounds("lang").select(F.col("lang").alias("__l"), F.col("q").alias("__coarse"))
-    whole = told.agg(F.percentile_approx("p", [low, high], 10_000)).first()[0] or [0.0, math.inf]
-    size = F.floor(F.log2(F.length(F.col(text_col)) + 1)).cast("int")
-    rows = docs.withColumn("__p", perplexity(F.col(text_col), model))
-    rows = rows.join(bounded(fine), F.col(lang_col).eqNullSafe(F.col("__lang")) & (size == F.col("__size")), "left")
-    rows = rows.join(bounded(coarse), F.col(lang_col).eqNullSafe(F.col("__l")), "left")
-    q = F.coalesce("__fine", "__coarse", F.array(*[F.lit(float(x)) for x in whole]))
-    return rows.withColumn("__ok", F.coalesce(F.col("__p").between(q[0], q[1]), F.lit(True)))
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    marks = [F.xxhash64(text, lang).alias("__a"), F.xxhash64(F.lit(1), lang, text).alias("__b")]
+    rows = docs.select(F.col(id_col).alias("__id"), lang.alias("__lang"), text.alias("__text"), *marks)
+    model = train(rows.join(ids, "__id", "left_semi"), "__text")
+    told = cut(score(rows, model, "__text", [F.col(c) for c in ("__id", "__lang", "__a", "__b")]))
+    # a character's spread, over the root of the length, is what the mean may be off
+    surprise, slack = -F.col("mean"), F.lit(SLACK) * F.col("spread") / F.sqrt("size")
+    told = told.withColumns({"__high": surprise - slack, "__low": surprise + slack})
+    calm = told.where("mean is not null").join(ids, "__id", "left_semi")
+    quantiles = [F.percentile_approx("__low", low, 10_000).alias("q_low"), F.percentile_approx("__high", high, 10_000).alias("q_high")]
+    by = F.broadcast(calm.groupBy(F.col("__lang").alias("__l")).agg(*quantiles))                            # a row per language
+    whole = calm.agg(*quantiles).first()
+    rows = told.join(by, F.col("__lang").eqNullSafe(F.col("__l")), "left")
+    top = F.coalesce("q_high", F.lit(whole.q_high).cast("double"), F.lit(float("inf")))
+    bottom = F.coalesce("q_low", F.lit(whole.q_low).cast("double"), F.lit(0.0))
+    fine = F.col("mean").isNull() | ((F.col("__high") <= top) & (F.col("__low") >= bottom))
+    return rows.select("__id", "__lang", "__a", "__b", F.exp(surprise).alias("__p"), fine.alias("__ok"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           low: float = LOW, high: float = HIGH) -> DataFrame:
     """(doc_id, lang, perplexity, accepted) of every row; ``trusted`` has the ids of the trusted rows."""
     rows = _judged(docs, trusted, id_col, text_col, lang_col, low, high)
-    return rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col("__p").alias("perplexity"), F.col("__ok").alias("accepted"))
+    return rows.select(F.col("__id").alias("doc_id"), F.col("__lang").alias("lang"), F.col("__p").alias("perplexity"), F.col("__ok").alias("accepted"))
 
 
 def accept(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
            low: float = LOW, high: float = HIGH) -> DataFrame:
-    """The accepted rows of ``docs``, with the columns they came with."""
-    return _judged(docs, trusted, id_col, text_col, lang_col, low, high).where("__ok").select(*docs.columns)
+    """The accepted rows of ``docs``, with the columns they came with.  A text and language is judged once, whatever its rows."""
+    gone = cut(_judged(docs, trusted, id_col, text_col, lang_col, low, high).where("not __ok").select("__a", "__b").distinct())
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    on = (F.xxhash64(text, lang) == F.col("__a")) & (F.xxhash64(F.lit(1), lang, text) == F.col("__b"))
+    return docs.join(bounded(gone), on, "left_anti")

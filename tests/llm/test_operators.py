@@ -148,11 +148,64 @@ def test_mtree(spark, monkeypatch):
     assert mtree.top_k(table.limit(0), F.lit(True)).count() == 0
 
 
-def test_kneser_ney_sums_to_one_and_judges(docs, empty, spark):
-    model = np.exp(kneser_ney.train(docs)).reshape(-1, kneser_ney.V)
-    assert np.allclose(model.sum(axis=1), 1, atol=1e-3)
-    g, n = kneser_ney.ngrams(["abc", "", "d"])
-    assert list(n) == [3, 0, 1] and len(g) == 4 and g[0] == 4 and g[1] == 4 * kneser_ney.V + 5
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney over characters, as in the book."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        counts = collections.Counter()
+        for t in texts:
+            s = [None] * (order - 1) + list(t)
+            counts.update(tuple(s[i - order + 1: i + 1]) for i in range(order - 1, len(s)))
+        self.counts, self.cuts = {order: counts}, {}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = collections.Counter(g[1:] for g in self.counts[k + 1])
+        for k, c in self.counts.items():
+            n = [sum(1 for v in c.values() if v == j) for j in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+            cuts = [max(0, min(j, j - (j + 1) * y * n[j] / n[j - 1])) if n[j - 1] else 0 for j in (1, 2, 3)]
+            self.cuts[k] = [x or 0.5 for x in cuts]
+        self.of = {k: collections.defaultdict(list) for k in self.counts}
+        for k, c in self.counts.items():
+            for g, v in c.items():
+                self.of[k][g[:-1]].append(v)
+
+    def p(self, g):
+        k = len(g)
+        lower = self.p(g[1:]) if k > 1 else 1 / (len(self.counts[1]) + 1)
+        seen = self.of[k].get(g[:-1])
+        if not seen:
+            return lower
+        cut = lambda v: min(self.cuts[k][min(v, 3) - 1], v)
+        v = self.counts[k].get(g, 0)
+        return ((v - cut(v) if v else 0) + sum(map(cut, seen)) * lower) / sum(seen)
+
+    def perplexity(self, text):
+        s = [None] * (self.order - 1) + list(text)
+        return float(np.exp(-np.mean([np.log(self.p(tuple(s[i - self.order + 1: i + 1]))) for i in range(self.order - 1, len(s))])))
+
+
+def test_kneser_ney_equals_a_plain_model(spark, docs, empty, monkeypatch):
+    rows = [r for r in docs.collect() if r.doc_id is not None and r.doc_id >= 0]
+    good = [r for r in rows if r.doc_id % 3 == 0][:40]
+    trusted = spark.createDataFrame([(r.doc_id,) for r in good] + [(10 ** 9,)], "doc_id long")
+    odd = spark.createDataFrame([(5001, "\u0416\u0436 \u65e5\u672c unseen", "xx", None, None), (5002, "a", "en", None, None), (5003, None, None, None, None), (5004, "", "fr", None, None),
+                                 (5002, "a", "en", None, None), (5005, "x" * 300_000, "en", None, None)], DOCS)
+    some = docs.where("doc_id >= 0").select("doc_id", "text", "lang", "source", "n_chars").union(odd)
+    got = kneser_ney.judge(some, trusted).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in some.collect())
+    plain = PlainKneserNey([r.text for r in good], kneser_ney.ORDER)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in [r for r in got if r.doc_id in (5001, 5002, 5003, 5004) or (r.doc_id < 60)]:
+        want = plain.perplexity(texts[r.doc_id]) if texts[r.doc_id] else None
+        assert (r.perplexity is None and r.accepted) if want is None else abs(r.perplexity / want - 1) < 1e-9
+    # the model is a distribution: over all characters and the unseen one it sums to 1
+    letters = [g[0] for g in plain.counts[1]]
+    for context in (("e", "r", " "), (None, None, None), ("q", "z", "x")):
+        assert abs(sum(plain.p((*context, c)) for c in [*letters, "\u2603"]) - 1) < 1e-9
+
+
+def test_kneser_ney_judges(spark, docs, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     junk = spark.createDataFrame([(-20, "|| @@ ## $$ %% || ~~ ^^ && ** || @@ ##", "en", "s", 1)], DOCS)
     told = {r.doc_id: r for r in kneser_ney.judge(docs.select("doc_id", "text", "lang", "source", "n_chars").union(junk), labels.where("quality = 1")).collect()}
@@ -160,8 +213,34 @@ def test_kneser_ney_sums_to_one_and_judges(docs, empty, spark):
     good = [r.doc_id for r in labels.where("quality = 1").collect()]
     bad = [r.doc_id for r in labels.where("quality = 0").collect()]
     assert np.mean([told[d].accepted for d in good]) > 0.95 and np.mean([told[d].accepted for d in bad]) < 0.4
-    assert kneser_ney.accept(docs, labels.where("quality = 1")).columns == docs.columns
+    kept = kneser_ney.accept(docs, labels.where("quality = 1"))
+    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
     assert kneser_ney.judge(docs, labels.limit(0)).where("not accepted").count() == 0 and kneser_ney.judge(empty, labels).count() == 0
+    assert kneser_ney.accept(empty, labels).count() == 0
+
+
+def test_kneser_ney_tables_that_overflow(spark, docs):
+    # answers of a block whose strings share slots
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.int64).astype(np.uint64) >> np.uint64(20) << np.uint64(1))
+    answers = kneser_ney.Answers(keys, np.arange(len(keys), dtype=float), np.zeros(len(keys)))
+    found = answers.find(np.concatenate([keys, keys + np.uint64(1)]))
+    assert (found[: len(keys)] == np.arange(len(keys))).all() and (found[len(keys):] == -1).all()
+    # a task whose table has no room for most strings counts the same
+    texts = [r.text for r in docs.where("doc_id between 0 and 30").collect()]
+    def counted(slots):
+        import pyarrow as pa
+        kneser_ney.SLOTS = slots
+        total = collections.Counter()
+        for b in kneser_ney._count(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])])):
+            for k, n in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                total[k] += n
+        return total
+    try:
+        assert counted(4) == counted(19)
+    finally:
+        kneser_ney.SLOTS = 19
+
 
 
 def test_html(spark):
