@@ -40,8 +40,8 @@ ORDER = 4
 LOW, HIGH, SLACK = 0.0005, 0.999, 1.5
 #: Characters of a block of documents, and of one vectorised pass.
 BLOCK, CHARS = 24_000_000, 250_000
-#: Slots of a task's tables, as a power of two.
-SLOTS = 19
+#: Slots of a task's tables, as powers of two: of counts and answers, and of each table of strings asked for.
+SLOTS, ASKED = 19, 20
 #: Stands before a text's first character (above all code points).
 PAD = 0x110000
 _P, _Q = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
@@ -151,12 +151,17 @@ def train(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return cut(model.groupBy("key").agg(F.max("p").alias("p"), F.max("back").alias("back")))
 
 
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> U64(64 - ASKED)).astype(np.int64), (h >> U64(20) & U64((1 << ASKED) - 1)).astype(np.int64)
+
+
 @streamed
 def _ask(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Documents (with their text compressed) and the distinct strings of their block (kind 0: a string, 1: a document)."""
     task, blocks, size = TaskContext.get().partitionId(), 0, 0
-    seen = np.zeros(1 << SLOTS, dtype=U64)
-    press = zstandard.ZstdCompressor(level=1).compress
+    # a string is in its place of the first table, or, if another has that, of the second
+    seen = np.zeros((2, 1 << ASKED), dtype=U64)
+    press = zstandard.ZstdCompressor(level=3).compress
     fields = None
     for batch in batches:
         fields = batch.schema
@@ -173,10 +178,13 @@ def _ask(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Rec
             keys, at, n = keys_of(texts[lo:hi])
             for k, h in enumerate(keys):
                 h = h[at] if k == ORDER - 1 else h
-                slot = (h >> U64(64 - SLOTS)).astype(np.int64)
-                new = np.unique(h[seen[slot] != h])
-                # a string that another pushed out of its slot is asked for again: repeated requests change nothing
-                seen[(new >> U64(64 - SLOTS)).astype(np.int64)] = new
+                one, two = _places(h)
+                new = np.unique(h[(seen[0, one] != h) & (seen[1, two] != h)])
+                one, two = _places(new)
+                free = seen[0, one] == 0
+                # a string that others push out of both is asked for again: repeated requests change nothing
+                seen[0, one[free]] = new[free]
+                seen[1, two[~free]] = new[~free]
                 if len(new):
                     m = len(new)
                     yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array([0] * m, pa.int32()), pa.array(new.view(np.int64)), pa.nulls(m, pa.binary()),
