@@ -113,7 +113,13 @@ class Subtree:
             if len(best) == k:
                 rows, score = rows[score >= -best[-1][0]], score[score >= -best[-1][0]]
             elif len(rows) > k + 1:
-                least = np.partition(score, -(k + 1))[-(k + 1)]
+                # down to the score at which k ids beside the query's own are held: an id may have many vectors
+                held, least = {qid}, score.min()
+                for x in np.argsort(-score, kind="stable"):
+                    held.update(self.ids[rows[x]])
+                    if len(held) > k:
+                        least = score[x]
+                        break
                 rows, score = rows[score >= least], score[score >= least]
             if not len(rows):
                 continue

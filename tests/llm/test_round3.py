@@ -228,3 +228,20 @@ def test_queries_of_the_round(spark):
     ids = own.encode(text, add_special_tokens=False).ids
     assert one.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert one.decoded_sha256 == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_top_k_of_ids_with_many_vectors(spark):
+    from lakeloom.llm import mtree
+    rng = np.random.default_rng(9)
+    # the best vectors are one id's, many times over, and the query's own
+    rows = [(1, [2.0, 0.01 * i]) for i in range(300)] + [(0, [1.0, 0.01 * i]) for i in range(40)] + [(i, [float(x) for x in rng.normal(size=2) * 0.3]) for i in range(2, 23)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id, r.score) for r in mtree.top_k(df, F.col("vec_id") == 0).collect())
+    ints = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    best = {}
+    for _, q in [x for x in ints if x[0] == 0]:
+        for i, v in ints:
+            if i:
+                best[i] = max(best.get(i, -10 ** 18), int(q @ v))
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert got == [(k + 1, i, s) for k, (i, s) in enumerate(want)]
