@@ -12,8 +12,10 @@ adverts, sidebars, footers and reader comments filled with the sample's own word
 field weighs names and texts and does not lean on one tag alone.
 
 Results.  One row per page.  Null or empty html, and pages without main text, give an empty string.
-Broken markup is read as far as it goes: unclosed elements end with their parents, an unclosed comment or script
-runs to the end of the page.  Nothing is dropped from a main block or capped.
+Broken markup is read as far as it goes: unclosed elements end with their parents, an unclosed comment, script or
+style runs to the end of the page, an unclosed picture or frame to the next block.  A tag whose quotes don't close
+ends at its first ">".  The time is in proportion to the page, however deep or broken.  Formulas, buttons and
+objects give their text.  Nothing is dropped from a main block or capped.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +41,39 @@ SAMPLE, LONGEST, DIM, ROUNDS = 250, 60_000, 1 << 13, 120
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template title textarea select svg math iframe object canvas button".split())
-#: An opening tag ends the open elements named, up to the nearest container.
+#: Elements whose content is no text of the page; those of LITERAL hold no tags either.
+SKIPPED = frozenset("script style noscript template title textarea select svg iframe canvas".split())
+LITERAL = frozenset("script style title textarea".split())
+#: Unclosed, these end where a block opens; the other skipped elements end with their parents.
+NO_BLOCKS = frozenset("title textarea select svg iframe".split())
+#: An opening tag ends the open elements named, if one is the innermost block.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that labels are read from.
+LANDMARKS = frozenset("article nav aside form footer".split())
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<[!?/][^>]*>""", re.S)
+_OPEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile(r"""=\s*(["'])|>""")
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An element and those above it, which it shares with its neighbours; ``fresh`` are the features they don't have."""
+    __slots__ = ("above", "tag", "depth", "fresh", "within")
+
+    def __init__(self, above: "Path | None", tag: str, fresh: tuple[str, ...]):
+        self.above, self.tag, self.fresh = above, tag, fresh
+        self.depth = above.depth + 1 if above else 0
+        self.within = (above.within if above else frozenset()) | (LANDMARKS & {tag})
+
+    def features(self) -> list[str]:
+        return [f"depth {min(self.depth, 8)}", *[f"own {self.tag}"] * (self.depth > 0)]
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Path, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -68,98 +91,190 @@ def _names(attributes: str) -> str:
     return " ".join(sorted(set(filter(None, out))))
 
 
+class Tags:
+    """Tags of a page from the left, each place read a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.endless: set[int] = set()                                    # quotes from which no end of a tag is reached
+        self.missing: set[str] = set()                                    # elements without a closing tag from here on
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" or "", tag, attributes) of the next tag; comments and declarations have no tag."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                end = start + 4
+                for short in (">", "->"):
+                    if page.startswith(short, end):
+                        return start, end + len(short), "", "", ""
+                end = page.find("-->", end)
+                return start, end + 3 if end >= 0 else len(page), "", "", ""
+            if start > self.last:
+                # no tag ends any more; a comment may still begin
+                at = start + 1
+                continue
+            m = _OPEN.match(page, start + 1)
+            if m:
+                end = self._end(m.end())
+                return start, end, m[1], m[2].lower(), page[m.end(): end - 1]
+            if page[start + 1] in "!?/":
+                return start, page.find(">", start) + 1, "", "", ""
+            at = start + 1
+
+    def _end(self, at: int) -> int:
+        """Behind the ">" that ends a tag; if its quotes don't close, behind the first one."""
+        first, passed = at, []
+        while True:
+            m = _QUOTE.search(self.page, at)
+            if m and m[0] == ">":
+                return m.end()
+            close = self.page.find(m[1], m.end()) if m and m.start() not in self.endless else -1
+            if close < 0:
+                self.endless.update(passed)
+                if m:
+                    self.endless.add(m.start())
+                return self.page.find(">", first) + 1
+            passed.append(m.start())
+            at = close + 1
+
+    def closing(self, tag: str, at: int) -> int:
+        """Where the closing tag begins, or -1."""
+        if tag in self.missing:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, at)
+        if m:
+            return m.start()
+        self.missing.add(tag)
+        return -1
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []                                     # (tag, names)
+    top = Path(None, "", ())
+    stack: list[tuple[str, Path, int]] = []                               # (tag, path, place of the innermost block)
+    places: dict[str, list[int]] = {}                                     # of the open elements, by tag
+    known: set[str] = set()                                               # features of the open elements
+    skipped: list[str] = []                                               # open elements from a skipped one on
+    within: Counter[str] = Counter()                                      # the same, by tag
     parts: list[str] = []
-    linked, links = 0, 0
-    path: tuple[str, ...] = ()
+    linked = 0
+
+    def path() -> Path:
+        return stack[-1][1] if stack else top
+
+    def innermost() -> int:
+        return stack[-1][2] if stack else -1
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(path, text, min(linked, len(text))))
+                out.append(Block(path(), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def repath() -> None:
-        nonlocal path
-        path = tuple(f"{t} {n}" if n else t for t, n in stack if t in BLOCKS or n)
+    def push(tag: str, names: str) -> None:
+        above = path()
+        if tag in BLOCKS or names:
+            fresh = tuple(f for f in [f"in {tag}", *(f"named {n}" for n in names.split())] if f not in known)
+            known.update(fresh)
+            above = Path(above, tag, fresh)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, above, len(stack) if tag in BLOCKS else innermost()))
+
+    def pop_from(place: int) -> None:
+        while len(stack) > place:
+            tag, own, _ = stack.pop()
+            places[tag].pop()
+            if own is not path():
+                known.difference_update(own.fresh)
+
+    def opened(tag: str) -> int:
+        """Place of the element that a closing tag ends, or -1: no inline tag ends a block."""
+        found = places.get(tag)
+        return found[-1] if found and (tag in BLOCKS or found[-1] > innermost()) else -1
 
     page = page or ""
+    tags = Tags(page)
     at, end = 0, len(page)
     while at < end:
-        m = _TAG.search(page, at)
-        raw = page[at: m.start() if m else end]
-        if raw:
+        found = tags.next(at)
+        raw = page[at: found[0] if found else end]
+        if raw and not skipped:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if places.get("a"):
                 linked += len(text)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, closes, tag, attributes = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if not m[1]:
-            if tag in SKIPPED:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
-                continue
+        if skipped and closes and within[tag]:
+            while True:
+                last = skipped.pop()
+                within[last] -= 1
+                if last == tag:
+                    break
+            continue
+        if skipped and (opened(tag) >= 0 if closes else tag in BLOCKS and tag not in ("option", "optgroup") and skipped[0] in NO_BLOCKS and not within["foreignobject"]):
+            skipped.clear()
+            within.clear()
+        if not closes:
+            alone = attributes.rstrip().endswith("/")
+            if tag in LITERAL and not alone:
+                close = tags.closing(tag, at)
+                if close >= 0 or tag in ("script", "style"):
+                    at = (page.find(">", close) + 1 if close >= 0 else 0) or end
+                    continue
             if tag in VOID:
+                if skipped:
+                    continue
                 if tag == "hr":
                     flush()
                 elif tag == "br":
                     parts.append(" ")
                 continue
+            if skipped or tag in SKIPPED:
+                if not alone:
+                    skipped.append(tag)
+                    within[tag] += 1
+                continue
             if tag in BLOCKS:
                 flush()
                 # a block ends an open paragraph, and an item the item before it
-                for k in range(len(stack) - 1, -1, -1):
-                    t = stack[k][0]
-                    if t == "p" or t in ENDS.get(tag, ()):
-                        del stack[k:]
-                        break
-                    if t in BLOCKS and t not in ("p",):
-                        break
-            if m[3].endswith("/") and tag not in BLOCKS:
+                k = innermost()
+                if k >= 0 and (stack[k][0] == "p" or stack[k][0] in ENDS.get(tag, ())):
+                    pop_from(k)
+            elif alone:
                 continue
-            links += tag == "a"
-            stack.append((tag, _names(m[3])))
-            if tag in BLOCKS or stack[-1][1]:
-                repath()
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(t in BLOCKS for t, _ in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    links = sum(t == "a" for t, _ in stack)
-                    repath()
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
-                    break
+            push(tag, _names(attributes))
+        elif not skipped:
+            k = opened(tag)
+            if k >= 0:
+                if innermost() >= k:
+                    flush()
+                pop_from(k)
     flush()
     return out
 
 
+@lru_cache(1 << 16)
 def _hash(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % DIM
 
 
-def path_features(path: tuple[str, ...]) -> list[int]:
-    found = {f"depth {min(len(path), 8)}"}
-    for k, element in enumerate(reversed(path)):
-        tag, _, names = element.partition(" ")
-        found.add(f"in {tag}")
-        if k == 0:
-            found.add(f"own {tag}")
-        for n in names.split():
-            found.add(f"named {n}")
+def path_features(path: Path) -> list[int]:
+    found = path.features()
+    while path:
+        found.extend(path.fresh)
+        path = path.above
     return [_hash(f) for f in found]
 
 
@@ -177,17 +292,26 @@ class Field:
 
     def __init__(self, weight: np.ndarray, step: np.ndarray, start: np.ndarray):
         self.weight, self.step, self.start = weight, step, start
-        self.paths: dict[tuple, np.ndarray] = {}
+        self.each = weight.tolist()
+
+    def _add(self, total: tuple[float, float], features) -> tuple[float, float]:
+        x, y = total
+        for f in features:
+            u, v = self.each[_hash(f)]
+            x, y = x + u, y + v
+        return x, y
 
     def scores(self, bs: list[Block]) -> np.ndarray:
         out = np.empty((len(bs), 2))
+        known: dict[Path | None, tuple[float, float]] = {None: (0.0, 0.0)}
         for i, b in enumerate(bs):
-            known = self.paths.get(b.path)
-            if known is None:
-                if len(self.paths) > 50_000:
-                    self.paths.clear()
-                known = self.paths[b.path] = self.weight[path_features(b.path)].sum(axis=0)
-            out[i] = known + self.weight[text_features(b, i / len(bs))].sum(axis=0)
+            ahead, p = [], b.path
+            while p not in known:
+                ahead.append(p)
+                p = p.above
+            for q in reversed(ahead):
+                known[q] = self._add(known[q.above], q.fresh)
+            out[i] = self._add(known[b.path], b.path.features()) + self.weight[text_features(b, i / len(bs))].sum(axis=0)
         return out
 
     def decode(self, bs: list[Block]) -> list[int]:
@@ -327,12 +451,12 @@ def labelled(pages: list[str], layouts: int = 1) -> list[tuple[list[Block], list
     out = []
     for page in pages:
         bs = blocks(page)
-        ys = [int(any(e.split(" ")[0] == "article" for e in b.path) and not any(e.split(" ")[0] in ("nav", "aside", "form", "footer") for e in b.path)) for b in bs]
+        ys = [int(b.path.within == {"article"}) for b in bs]
         if not any(ys) or len(re.findall(r"<article\b", page, re.I)) != 1:
             continue
         out.append((bs, ys))
         main = [b for b, y in zip(bs, ys) if y]
-        title = main[0].text if main[0].path and main[0].path[-1].split(" ")[0] in ("h1", "h2") else ""
+        title = main[0].text if main[0].path.tag in ("h1", "h2") else ""
         for k in range(layouts):
             rng = random.Random(zlib.crc32(page.encode("utf-8", "surrogatepass")) + k)
             out.append(_laid_out(title, [b.text for b in main[bool(title):]], [b.text for b, y in zip(bs, ys) if not y], rng))
@@ -341,7 +465,10 @@ def labelled(pages: list[str], layouts: int = 1) -> list[tuple[list[Block], list
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, longest: int = LONGEST) -> Field:
     """The field, from at most ``sample`` pages that mark an article; of none, all blocks are equal and nothing is main."""
-    some = pages.where(F.col(html_col).rlike("(?i)<article[ >]") & (F.length(html_col) <= longest)).select(F.col(html_col).alias("h")).orderBy(F.xxhash64("h"), "h").limit(sample)
+    own = pages.where(F.col(html_col).rlike("(?i)<article[ >]") & (F.length(html_col) <= longest)).select(F.xxhash64(html_col).alias("k"), F.col(html_col).alias("h"))
+    # the tasks send hashes; pages are fetched by the last hash of the sample, each text once
+    last = own.select("k").distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    some = own.where(F.col("k") <= F.lit(last)).groupBy("k").agg(F.min("h").alias("h")).orderBy("k")
     return fit(labelled([r.h for r in some.collect()]))                    # at most sample * longest characters
 
 

@@ -267,10 +267,38 @@ def test_html(spark):
     assert html_crf.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("odd, text", [
+    ("<svg width='1'/>", ""), ("<iframe src='x'/>", ""), ("<canvas/>", ""), ("<svg><title>t</title><path/>", ""), ("<iframe src='x'>", ""),
+    ("<svg><g><text>drawn</text></g></svg>", ""), ("<noscript><div>Scripts</div> off</noscript>", ""), ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"),
+    ("<button>Press", "Press"), ("<object data='x'>Shown</object>", "Shown"), ("<select><option>a<option>b</select>", ""), ("<a title=it's>link</a>", "link"),
+    ("<b data-x='>'>bold</b>", "bold"), ("<!-->seen<!-- not -->", "seen"), ("<script/><!-- > --></script>", ""), ("a < b", "a < b"), ("</i></span>kept", "kept"),
+])
+def test_nothing_is_swallowed(odd, text):
+    got = [b.text for b in html_crf.blocks(f"<body><article><p>Before {odd}</p><p>After</p></article><footer>end</footer>")]
+    assert got == [f"Before {text}".strip(), "After", "end"]
+
+
+def test_unclosed_canvas_ends_with_its_parent():
+    assert [b.text for b in html_crf.blocks("<div><p>One <canvas>none</p><p>Two</p></div>Three")] == ["One", "Two", "Three"]
+    assert [b.text for b in html_crf.blocks("One <style>p { } <p>Two")] == ["One"]
+
+
+@pytest.mark.parametrize("piece", ["<div class=c>", "<a '", "<a x='", "<a x='\"", "<b>", "</p>", "<b></i>", "<b><div></div>", "<!", "<svg><g>", "<title>", "<title>x<p>", "<i><p>t</i>", "<p><a b=\"c>d"])
+def test_broken_pages_are_read_in_linear_time(piece):
+    import time
+    start = time.process_time()
+    for tail in ("", ">end"):
+        bs = html_crf.blocks(f"<article><p>text</p>{piece * 100_000}{tail}")
+        html_crf.Field(np.zeros((html_crf.DIM, 2)), np.zeros((2, 2)), np.zeros(2)).decode(bs)
+        assert bs[0].text == "text"
+    assert time.process_time() - start < 15
+
+
 def test_viterbi_is_best_path():
     rng = np.random.default_rng(0)
     field = html_crf.Field(rng.normal(size=(html_crf.DIM, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
-    bs = [html_crf.Block(("body", t), t * 5, 0) for t in ("p", "li", "div", "p", "h1")]
+    body = html_crf.Path(None, "body", ("in body",))
+    bs = [html_crf.Block(html_crf.Path(body, t, (f"in {t}",)), t * 5, 0) for t in ("p", "li", "div", "p", "h1")]
     s = field.scores(bs)
 
     def worth(ys):
