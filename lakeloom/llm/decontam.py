@@ -11,8 +11,9 @@ the slots there are consistent: wherever the item repeats a value, the document
 way round, as in a re-parameterised question.
 
 Results.  (doc_id, item_id, item_words, covered_words, n_slots, n_changed) per leaked pair, once however often it
-occurs, with its longest run.  Null, empty or wordless texts on either side match nothing.  A window
-needs ``LITERAL`` words that are no placeholders.  Null ids are kept as they are.
+occurs, with its longest run.  Null, empty or wordless texts on either side match nothing.  Windows of
+fewer than ``LITERAL`` words that are no placeholders (all of them, in windows of fewer words) would match any
+table of numbers; they are matched by their values, so that such items are found word for word.  Null ids are kept as they are.
 """
 
 from __future__ import annotations
@@ -57,12 +58,39 @@ def _windows(words: str, width: int) -> Column:
     return F.when(n >= width, hashes).otherwise(F.expr("array()").cast("array<bigint>"))
 
 
+def _poor(words: str, width: int, literal: int) -> Column:
+    """Places (from 1) of the windows with fewer than ``literal`` words that are no placeholders."""
+    need = width - min(literal, width) + 1                                  # placeholders in such a window
+    slots = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).isin("0", "1", "2"))
+
+    def around(x: Column) -> Column:
+        """Of each run of ``need`` placeholders that one window holds, the windows that hold it."""
+        runs = F.transform(F.sequence(F.lit(1), F.size(x) - (need - 1), F.lit(1)), lambda j: F.struct(
+            F.element_at(x, j + (need - 1)).alias("last"), F.element_at(x, j).alias("first")))
+        runs = F.filter(runs, lambda r: (r["last"] - r["first"] < width))
+        return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(
+            F.greatest(r["last"] - (width - 1), F.lit(1)), F.least(r["first"], F.size(words) - (width - 1)), F.lit(1)))))
+    found = F.get(F.transform(F.array(slots), lambda x: F.when(F.size(x) >= need, around(x))), 0)
+    return F.when(F.size(words) >= width, F.coalesce(found, F.expr("array()").cast("array<int>"))).otherwise(F.expr("array()").cast("array<int>"))
+
+
+def _hashes(texts: DataFrame, width: int, literal: int, *columns: str) -> DataFrame:
+    """The ``columns`` with (at, hash, poor) for each window at every place, and ``by_value`` for those of values."""
+    rows = texts.select(*columns, "text", "tokens", _poor("tokens", width, literal).alias("poor"))
+    rows = rows.withColumn("values", F.when(F.size("poor") > 0, F.transform(F.array(slotted_words(F.col("text"))), lambda v: F.transform(
+        "poor", lambda i: F.xxhash64(F.slice(v, i, width))))[0]).otherwise(F.expr("array()").cast("array<bigint>")))
+    rows = rows.withColumn("n", F.greatest(F.size("tokens") - (width - 1), F.lit(0)))
+    rows = rows.select(*columns, "n", "poor", F.posexplode(F.concat(_windows("tokens", width), "values")).alias("pos", "hash"))
+    by_value = F.col("pos") >= F.col("n")
+    return rows.select(*columns, "hash", "poor", by_value.alias("by_value"),
+                       F.when(by_value, F.get("poor", F.col("pos") - F.col("n")) - 1).otherwise(F.col("pos")).alias("at"))
+
+
 def _join(docs: DataFrame, items: DataFrame, width: int, literal: int) -> DataFrame:
     """Windows in common: (key, item, words, at, shift), shift being the place in the document less that in the item."""
-    own = items.select("item", "words", F.posexplode(_windows("tokens", width)).alias("at", "hash"), "tokens")
-    plain = F.size(F.filter(F.slice("tokens", F.col("at") + 1, width), lambda w: ~w.rlike("^[012]$")))
-    own = own.where(plain >= F.least(F.lit(literal), F.lit(width))).select("item", "words", "at", "hash")
-    theirs = docs.select("key", F.posexplode(_windows("tokens", width)).alias("place", "hash"))
+    own = _hashes(items, width, literal, "item", "words")
+    own = own.where(F.col("by_value") | ~F.array_contains("poor", F.col("at") + 1)).select("item", "words", "at", "hash")
+    theirs = _hashes(docs, width, literal, "key").select("key", F.col("at").alias("place"), "hash")
     return theirs.join(bounded(own), "hash").select("key", "item", "words", "at", (F.col("place") - F.col("at")).alias("shift"), F.lit(width).alias("width"))
 
 
@@ -75,7 +103,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     items = benchmark.select(F.struct(F.col(item_col).cast("long").alias("item_id"), F.xxhash64(F.col(item_text).cast("string")).alias("text_hash")).alias("item"),
                              F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
     items = cut(items.withColumn("tokens", template_words(F.col("text"))).withColumn("words", F.size("tokens")).where("words > 0"))
-    tokens = texts.select("key", template_words(F.col("text")).alias("tokens"))
+    tokens = texts.select("key", "text", template_words(F.col("text")).alias("tokens"))
     hits = _join(tokens, items.where(F.col("words") >= width), width, literal)
     # at most width - 1 lengths
     for r in items.where(F.col("words") < width).select("words").distinct().collect():

@@ -432,6 +432,29 @@ def test_line_leaders_of_a_hot_key(spark, monkeypatch):
     assert all(p in got or joined & set(p) for p in alike)
 
 
+def test_items_of_few_plain_words_are_found_by_their_values(spark):
+    row = " ".join(str(7 * i % 31) for i in range(24))
+    items = [(0, "What is 3 + 4 ?"), (1, "Solve 12 x 7 = ?"), (2, row), (3, "17 kg"), (4, "Take 5 from 9 8 7 6 5 4 3 2 1 0 and say what is left of it all")]
+    said = {(k, i): f"{'before it comes more ' * k}: {t} {'and then ' * (k + 1)}" for k in (0, 1) for i, t in items}
+    docs = [(10 * i + k, t) for (k, i), t in said.items()]
+    # other values are other items; half of the row is a leak, less of it is none
+    docs += [(100, "What is 3 + 5 ?"), (101, "Solve 13 x 7 = ?"), (102, " ".join(str(5 * i % 29) for i in range(40))), (103, "18 kg"),
+             (104, "x " + " ".join(row.split()[3:15]) + " y"), (105, "x " + " ".join(row.split()[3:14]) + " y"), (106, None), (107, "")]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(10 * i + k, i) for k, i in said} | {(104, 2)}
+
+
+def test_places_of_poor_windows_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.choice(["0", "1", "2", "a", "b"][: 3 + k % 3]) for _ in range(k % 40)]) for k in range(200)]
+    table = spark.createDataFrame(rows, "k long, tokens array<string>")
+    for width, literal in ((8, 3), (4, 3), (2, 3), (1, 3), (8, 1)):
+        got = {r.k: sorted(r.p) for r in table.select("k", decontam._poor("tokens", width, literal).alias("p")).collect()}
+        for k, words in rows:
+            want = [i + 1 for i in range(len(words) - width + 1) if sum(w in "ab" for w in words[i: i + width]) < min(literal, width)]
+            assert got[k] == want, (width, literal, words)
+
+
 def test_leaks_do_not_depend_on_their_place(spark):
     """Half of an item, or 20 words of it, is a leak behind any number of other words; covered words are exact."""
     def words(name, n):
