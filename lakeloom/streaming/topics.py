@@ -49,11 +49,12 @@ def resolve_catalog(spark: SparkSession, catalog: str | None) -> str:
 
 def kafka_options(topic: str, bootstrap_servers: str, scan_startup_mode: str = "latest-offset",
                   additional: dict | None = None) -> dict:
-    """Source options for ``readStream.format('kafka')``."""
+    """Source options for ``readStream.format('kafka')``; records lost at the broker stop the stream
+    (``additional={"failOnDataLoss": "false"}`` goes on without them)."""
     if scan_startup_mode not in START_MODES:
         raise ValueError(f"scan_startup_mode must be one of {sorted(START_MODES)}")
     opts = {"kafka.bootstrap.servers": bootstrap_servers, "subscribe": topic,
-            "startingOffsets": START_MODES[scan_startup_mode], "failOnDataLoss": "false"}
+            "startingOffsets": START_MODES[scan_startup_mode], "failOnDataLoss": "true"}
     opts.update(additional or {})
     return opts
 

@@ -69,6 +69,8 @@ def test_decode_bad_record_policies(spark):
     assert good.count() == 1 and bad.count() == 2
     assert ST.decode(raw, schema, bad_records="skip").count() == 1
     assert ST.kafka_options("t", "h:9092", "earliest-offset")["startingOffsets"] == "earliest"
+    assert ST.kafka_options("t", "h:9092")["failOnDataLoss"] == "true"
+    assert ST.kafka_options("t", "h:9092", additional={"failOnDataLoss": "false"})["failOnDataLoss"] == "false"
     assert json.loads(ST.reset_offsets_option("t", {0: 5})["startingOffsets"]) == {"t": {"0": 5}}
 
 
