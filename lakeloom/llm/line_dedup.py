@@ -88,15 +88,16 @@ def _densify(top: np.ndarray) -> np.ndarray:
     """Empty bins take the value of a pseudo-random bin, tried in an order fixed by bin and attempt."""
     none = U64(np.iinfo(np.uint64).max)
     bins = top.shape[1]
-    full, src = top, top.copy()
+    full = top.copy()
+    r, c = np.nonzero(top == none)
     for attempt in range(1, 200):
-        r, c = np.nonzero(full == none)
         if not len(r):
             break
-        if full is src:
-            full = src.copy()
-        other = (mix(c.astype(U64) * U64(1009) + U64(attempt)) % U64(bins)).astype(np.int64)
-        full[r, c] = src[r, other]
+        other = (mix(np.arange(bins, dtype=U64) * U64(1009) + U64(attempt)) % U64(bins)).astype(np.int64)
+        found = top[r, other[c]]
+        full[r, c] = found
+        left = found == none
+        r, c = r[left], c[left]
     return full
 
 
@@ -146,6 +147,43 @@ def _alike(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
     return same * den >= (len(s) + len(t) - same) * num
 
 
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """(len(sets), BITS / 64): a bit per element's hash.  Bits that differ are elements not shared."""
+    out = np.zeros((len(sets), BITS // 64), dtype=U64)
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (np.concatenate(sets) if sets else np.zeros(0, U64)) >> U64(64 - BITS.bit_length() + 1)
+    np.bitwise_or.at(out, (at, (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
+    return out
+
+
+class _Held:
+    """Sets at hand, with bitmaps and sizes that bound an intersection before it is counted, and their components' roots."""
+
+    def __init__(self) -> None:
+        self.ids, self.sets = [], []
+        self.maps, self.sizes, self.roots = np.zeros((16, BITS // 64), dtype=U64), np.zeros(16, np.int64), np.zeros(16, np.int64)
+
+    def add(self, cid: int, s: np.ndarray, bits: np.ndarray, root: int = 0) -> None:
+        n = len(self.ids)
+        if n == len(self.sizes):
+            self.maps, self.sizes, self.roots = (np.concatenate([x, np.zeros_like(x)]) for x in (self.maps, self.sizes, self.roots))
+        self.maps[n], self.sizes[n], self.roots[n] = bits, len(s), root
+        self.ids.append(cid)
+        self.sets.append(s.copy())                                         # not a view of a whole batch's sets
+
+    def near(self, s: np.ndarray, bits: np.ndarray, num: int, den: int, root: int | None = None) -> np.ndarray:
+        """Places of the sets, of other roots than ``root``, that the bounds leave."""
+        n = len(self.ids)
+        total = self.sizes[:n] + len(s)
+        # |A and B| <= (|A| + |B| - apart) / 2 must reach num / (num + den) of |A| + |B|
+        apart = np.maximum(np.bitwise_count(self.maps[:n] ^ bits).sum(axis=1, dtype=np.int64), np.abs(self.sizes[:n] - len(s)))
+        fits = (total - apart) * (num + den) >= total * 2 * num
+        return np.flatnonzero(fits if root is None else fits & (self.roots[:n] != root))
+
+    def alike(self, s: np.ndarray, bits: np.ndarray, num: int, den: int) -> list[int]:
+        return [self.ids[x] for x in self.near(s, bits, num, den) if _alike(s, self.sets[x], num, den)]
+
+
 def _elect(members: DataFrame, lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among the members of each key: a member joins the leaders it is like, or leads itself.
 
@@ -158,16 +196,17 @@ def _elect(members: DataFrame, lines: DataFrame, width: int, num: int, den: int)
     rows = rows.repartition("key", "run").sortWithinPartitions("key", "run", "cid")
 
     def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders = None, []
+        at, leaders = None, _Held()
         for batch in batches:
             out = [[], [], []]
             key, part, several, cid, text = (batch.column(i).to_pylist() for i in range(5))
-            for i, s in enumerate(_sets(width, text)):
+            sets = _sets(width, text)
+            for i, (s, bits) in enumerate(zip(sets, _bitmaps(sets))):
                 if (key[i], part[i]) != at:
-                    at, leaders = (key[i], part[i]), []
-                found = [other for other, t in leaders if _alike(s, t, num, den)]
+                    at, leaders = (key[i], part[i]), _Held()
+                found = leaders.alike(s, bits, num, den)
                 if not found:
-                    leaders.append((cid[i], s))
+                    leaders.add(cid[i], s, bits)
                 for other in found or ([None] if several[i] > 1 else []):
                     for column, x in zip(out, (key[i], other, cid[i])):
                         column.append(x)
@@ -187,34 +226,25 @@ def _elect(members: DataFrame, lines: DataFrame, width: int, num: int, den: int)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held = None, _Held()
         for batch in batches:
             out = [[], []]
             key, i, j, part, cid, text = (batch.column(k).to_pylist() for k in range(6))
-            for k, s in enumerate(_sets(width, text)):
+            sets = _sets(width, text)
+            for k, (s, bits) in enumerate(zip(sets, _bitmaps(sets))):
                 if (key[k], i[k], j[k]) != at:
-                    at, held = (key[k], i[k], j[k]), []
+                    at, held = (key[k], i[k], j[k]), _Held()
                 if part[k] == j[k]:
-                    for other, t in held:
-                        if _alike(s, t, num, den):
-                            out[0].append(other)
-                            out[1].append(cid[k])
+                    for other in held.alike(s, bits, num, den):
+                        out[0].append(other)
+                        out[1].append(cid[k])
                 if part[k] == i[k]:
-                    held.append((cid[k], s))
+                    held.add(cid[k], s, bits)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     return links.union(rows.mapInArrow(compare, "a long, b long"))
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """(len(sets), BITS / 64): a bit per element's hash.  Bits that differ are elements not shared."""
-    out = np.zeros((len(sets), BITS // 64), dtype=U64)
-    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bit = (np.concatenate(sets) if sets else np.zeros(0, U64)) >> U64(64 - BITS.bit_length() + 1)
-    np.bitwise_or.at(out, (at, (bit >> U64(6)).astype(np.int64)), U64(1) << (bit & U64(63)))
-    return out
-
-
 def _across(members: DataFrame, lines: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among the members (key, cid, root) of each key that have different roots: pairs of
     one root are connected already, every other pair is compared.
@@ -231,8 +261,7 @@ def _across(members: DataFrame, lines: DataFrame, width: int, num: int, den: int
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, up = None, 0, {}
-        held, maps, sizes, roots = [], np.zeros((64, BITS // 64), dtype=U64), np.zeros(64, np.int64), np.zeros(64, np.int64)
+        at, up, held = None, {}, _Held()
 
         def find(x: int) -> int:
             while x in up:
@@ -245,23 +274,16 @@ def _across(members: DataFrame, lines: DataFrame, width: int, num: int, den: int
             sets = _sets(width, text)
             for k, (s, bits) in enumerate(zip(sets, _bitmaps(sets))):
                 if (key[k], i[k], j[k]) != at:
-                    at, n, up, held = (key[k], i[k], j[k]), 0, {}, []
-                if part[k] == j[k] and n:
-                    total = sizes[:n] + len(s)
-                    # |A and B| <= (|A| + |B| - apart) / 2 must reach num / (num + den) of |A| + |B|
-                    apart = np.maximum(np.bitwise_count(maps[:n] ^ bits).sum(axis=1, dtype=np.int64), np.abs(sizes[:n] - len(s)))
-                    for x in np.flatnonzero((roots[:n] != root[k]) & ((total - apart) * (num + den) >= total * 2 * num)):
-                        a, b = find(int(roots[x])), find(root[k])
-                        if a != b and _alike(s, held[x][1], num, den):
+                    at, up, held = (key[k], i[k], j[k]), {}, _Held()
+                if part[k] == j[k]:
+                    for x in held.near(s, bits, num, den, root[k]):
+                        a, b = find(int(held.roots[x])), find(root[k])
+                        if a != b and _alike(s, held.sets[x], num, den):
                             up[a] = b
-                            out[0].append(held[x][0])
+                            out[0].append(held.ids[x])
                             out[1].append(cid[k])
                 if part[k] == i[k]:
-                    if n == len(sizes):
-                        maps, sizes, roots = (np.concatenate([x, np.zeros_like(x)]) for x in (maps, sizes, roots))
-                    held.append((cid[k], s))
-                    maps[n], sizes[n], roots[n] = bits, len(s), root[k]
-                    n += 1
+                    held.add(cid[k], s, bits, root[k])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long")
@@ -289,7 +311,41 @@ def _lines_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
 
 def _sets(width: int, lines: list[str | None]) -> list[np.ndarray]:
-    return [np.unique(char_shingles(x or "", width)) for x in lines]
+    """Sorted distinct shingle hashes of every line, as ``char_shingles`` has them; hashed for many lines in one pass."""
+    out, lo = [], 0
+    while lo < len(lines):
+        hi, size = lo, 0
+        while hi < len(lines) and (hi == lo or size + len(lines[hi] or "") < 150_000):
+            size += len(lines[hi] or "")
+            hi += 1
+        out.extend(_sets_of([x or "" for x in lines[lo:hi]], width))
+        lo = hi
+    return out
+
+
+def _sets_of(lines: list[str], width: int) -> list[np.ndarray]:
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64)
+    n = np.array([len(x) for x in lines])
+    start = np.cumsum(n) - n
+    with np.errstate(over="ignore"):
+        h = code.copy()
+        for k in range(1, min(width, len(code))):
+            h[:-k] = h[:-k] * U64(0x9E3779B97F4A7C15) + code[k:]
+        h = mix(h + U64(width))
+    for i in np.flatnonzero((n > 0) & (n < width)):
+        h[start[i]] = char_shingles(lines[i], width)[0]
+    line = np.repeat(np.arange(len(lines)), n)
+    # the last width-1 starts of a line reach into the next one; a line has one shingle at least
+    keep = (np.arange(len(code)) - start[line]) <= np.maximum(n - width, 0)[line]
+    h, line = h[keep], line[keep]
+    edge = np.searchsorted(line, np.arange(len(lines) + 1))
+    for a, b in zip(edge[:-1], edge[1:]):
+        h[a:b].sort()
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    edge = np.concatenate([[0], np.cumsum(new)])[edge]
+    h = h[new]
+    return [h[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
 
 def _missed(texts: DataFrame, classes: DataFrame, led: DataFrame, alone: DataFrame, links: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -355,8 +411,10 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, params: dict) -> DataF
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
     left = F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts))
-    kept = F.when(F.col("__gone").isNull() | F.col(text_col).isNull(), size).otherwise(F.size(left))
+    whole = F.col(text_col).cast("string")
+    size = F.when(whole.isNull(), F.lit(0)).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1)
+    # numbers of lines are distinct; those of another row of the same id may lie beyond this text
+    kept = F.when(F.col("__gone").isNull() | whole.isNull(), size).otherwise(size - F.size(F.filter("__gone", lambda i: i < size)))
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], size.cast("long").alias("__before"), kept.cast("long").alias("__kept"))
 
 
