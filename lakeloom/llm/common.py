@@ -185,14 +185,19 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker process serves many tasks, of different operators,
+    and lives as long as its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def streamed(fn: Callable) -> Callable:
-    """A function over a task's batches that gives freed memory back when the task ends: a
-    worker process serves many tasks, of different operators, and lives as long as its executor."""
+    """A function over a task's batches that gives freed memory back when the task ends."""
     @functools.wraps(fn)
     def run(batches: Iterator[pa.RecordBatch], *args, **named) -> Iterator[pa.RecordBatch]:
         yield from fn(batches, *args, **named)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
     return run

@@ -7,10 +7,11 @@ discounts of every order and the interpolated probabilities are aggregations of
 the context and on the shorter n-gram.  The model stays a sharded table of strings: probability of the last
 character given the others, and weight of the string as a context.
 
-Scoring never moves an n-gram per text.  A scan task cuts its documents into blocks of about ``BLOCK`` characters and asks,
-once per block, for the distinct strings of 1 to ``ORDER`` characters in it.  The requests are joined to the
-shards, and each block's answers meet its (compressed) texts again in one task, answers first, texts streaming past:
-a text's log-probability is read off its block's answers, backing off where a longer string has none.
+Scoring never moves an n-gram per text.  A scan task packs its documents into blocks of about ``BLOCK`` characters, which
+are shuffled once, compressed.  A block asks once for each of the distinct strings of 1 to ``ORDER`` characters in it.  The
+requests are joined to the shards, and the answers meet the block in the task that holds it already (a cogroup on the block):
+a text's log-probability is read off its block's answers, backing off where a longer string has none.  A block's name
+contains a hash of its content, so an input that changes when it is read again is an error, not a wrong result.
 
 A document is accepted if its perplexity lies between two quantiles of the trusted documents of its language.  Short texts
 scatter more: the logarithm may be off by ``SLACK`` standard deviations of a character's log-probability over the root of
@@ -24,16 +25,16 @@ columns stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import U64, bounded, cut, mix, prepare, streamed
+from lakeloom.llm.common import U64, bounded, cut, give_back, mix, prepare, streamed
 
 ORDER = 4
 #: Quantiles of trusted texts between which a document is accepted, and the slack of short texts.
@@ -42,6 +43,8 @@ LOW, HIGH, SLACK = 0.0005, 0.999, 1.5
 BLOCK, CHARS = 24_000_000, 250_000
 #: Slots of a task's tables, as powers of two: of counts and answers, and of each table of strings asked for.
 SLOTS, ASKED = 19, 20
+#: Level at which the texts of a pass are compressed.
+LEVEL = 6
 #: Stands before a text's first character (above all code points).
 PAD = 0x110000
 _P, _Q = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
@@ -156,39 +159,68 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @streamed
-def _ask(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Documents (with their text compressed) and the distinct strings of their block (kind 0: a string, 1: a document)."""
-    task, blocks, size = TaskContext.get().partitionId(), 0, 0
-    # a string is in its place of the first table, or, if another has that, of the second
-    seen = np.zeros((2, 1 << ASKED), dtype=U64)
-    press = zstandard.ZstdCompressor(level=3).compress
-    fields = None
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, z) of the documents: those of one pass are compressed together, with all their columns.
+
+    A block is known by a hash of its task, its number in the task and all it holds."""
+    press = zstandard.ZstdCompressor(level=LEVEL).compress
+    task, blocks, size, held = TaskContext.get().partitionId(), 0, 0, []
+
+    def closed() -> pa.RecordBatch:
+        h = xxhash.xxh3_64(f"{task}:{blocks}")
+        for z in held:
+            h.update(z)
+        name = h.intdigest() >> 1
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.int64()), pa.array(held, pa.binary())], ["block", "z"])
+
     for batch in batches:
-        fields = batch.schema
         texts = [t or "" for t in batch.column(0).to_pylist()]
-        if size > BLOCK:
-            blocks, size = blocks + 1, 0
-            seen[:] = 0
-        size += sum(map(len, texts))
-        block = (task << 24) + blocks
-        rest = [batch.column(i) for i in range(1, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([pa.array([block] * len(texts), pa.int64()), pa.array([1] * len(texts), pa.int32()), pa.nulls(len(texts), pa.int64()),
-                                          pa.array([press(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary()), *rest], names)
         for lo, hi in _passes(texts):
-            keys, at, n = keys_of(texts[lo:hi])
-            for k, h in enumerate(keys):
-                h = h[at] if k == ORDER - 1 else h
-                one, two = _places(h)
-                new = np.unique(h[(seen[0, one] != h) & (seen[1, two] != h)])
-                one, two = _places(new)
-                free = seen[0, one] == 0
-                # a string that others push out of both is asked for again: repeated requests change nothing
-                seen[0, one[free]] = new[free]
-                seen[1, two[~free]] = new[~free]
-                if len(new):
-                    m = len(new)
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array([0] * m, pa.int32()), pa.array(new.view(np.int64)), pa.nulls(m, pa.binary()),
-                                                      *(pa.nulls(m, f.type) for f in list(fields)[1:])], names)
+            packed = pa.BufferOutputStream()
+            with pa.ipc.new_stream(packed, batch.schema) as out:
+                out.write_batch(batch.slice(lo, hi - lo))
+            held.append(press(packed.getvalue()))
+            size += sum(map(len, texts[lo:hi]))
+            if size > BLOCK:
+                yield closed()
+                blocks, size, held = blocks + 1, 0, []
+    if held:
+        yield closed()
+
+
+def _unpacked(z: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(z))
+
+
+@streamed
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key) of the distinct strings of every block, and key 0; rows (block, z) come block by block."""
+    block = None
+    # a string is in its place of the first table, or, if another has that, of the second
+    seen = np.zeros((2, 1 << ASKED), dtype=U64)
+
+    def told(keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(keys), pa.int64()), pa.array(keys.view(np.int64))], ["block", "key"])
+
+    for batch in batches:
+        for name, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if name != block:
+                block = name
+                seen[:] = 0
+                yield told(np.zeros(1, U64))
+            for docs in _unpacked(z):
+                keys, at, n = keys_of([t or "" for t in docs.column(0).to_pylist()])
+                for k, h in enumerate(keys):
+                    h = h[at] if k == ORDER - 1 else h
+                    one, two = _places(h)
+                    new = np.unique(h[(seen[0, one] != h) & (seen[1, two] != h)])
+                    one, two = _places(new)
+                    free = seen[0, one] == 0
+                    # a string that others push out of both is asked for again: repeated requests change nothing
+                    seen[0, one[free]] = new[free]
+                    seen[1, two[~free]] = new[~free]
+                    if len(new):
+                        yield told(new)
 
 
 class Answers:
@@ -234,52 +266,42 @@ def logs(keys: list[np.ndarray], at: np.ndarray, answers: Answers, unseen: float
     return out
 
 
-@streamed
-def _score(batches: Iterator[pa.RecordBatch], unseen: float, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, kind): a block's answers, then its documents; (mean and deviation of a character's log-probability, length, columns)."""
-    block, parts, answers = None, [], None
-    open_ = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        edge = np.flatnonzero(np.diff(blocks) | np.diff(kinds)) + 1
-        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(blocks)]):
-            if blocks[lo] != block:
-                block, parts, answers = blocks[lo], [], None
-            if kinds[lo] == 0:
-                parts.append([batch.column(i).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for i in (2, 4, 5)])
-                continue
-            if answers is None:
-                merged = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-                answers, parts = Answers(merged[0].view(U64), merged[1].astype(float), merged[2].astype(float)), []
-            texts = [open_(z).decode("utf-8", "surrogatepass") if z else "" for z in batch.column(3).slice(lo, hi - lo).to_pylist()]
-            mean, spread = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
-            for a, b in _passes(texts):
-                keys, at, n = keys_of(texts[a:b])
-                x = logs(keys, at, answers, unseen)
-                end = np.cumsum(n)
-                one, two = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean[a:b] = (one[end] - one[end - n]) / n
-                    spread[a:b] = np.sqrt(np.maximum((two[end] - two[end - n]) / n - mean[a:b] ** 2, 0.0))
-            size = pa.array([len(t) for t in texts], pa.int64())
-            rest = [batch.column(i).slice(lo, hi - lo) for i in range(6, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(mean, mask=np.isnan(mean)), pa.array(spread, mask=np.isnan(spread)), size, *rest], names)
+def _measured(docs: pa.RecordBatch, answers: Answers, unseen: float, names: list[str]) -> pa.RecordBatch:
+    """(mean, spread, size, columns beside the text) of the documents of one pass."""
+    texts = [t or "" for t in docs.column(0).to_pylist()]
+    keys, at, n = keys_of(texts)
+    x = logs(keys, at, answers, unseen)
+    end = np.cumsum(n)
+    one, two = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = (one[end] - one[end - n]) / n
+        spread = np.sqrt(np.maximum((two[end] - two[end - n]) / n - mean ** 2, 0.0))
+    rest = [docs.column(i) for i in range(1, docs.num_columns)]
+    return pa.RecordBatch.from_arrays([pa.array(mean, mask=np.isnan(mean)), pa.array(spread, mask=np.isnan(spread)), pa.array(n, pa.int64()), *rest], names)
 
 
 def score(docs: DataFrame, model: DataFrame, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """(mean, spread, size, and the columns ``keep``) of every row: mean and standard deviation of its characters' log-probabilities."""
     kept = docs.select(F.col(text_col).cast("string").alias("__text"), *(keep or []))
     extra = kept.schema.fields[1:]
-    names = ["block", "kind", "key", "z", *(f.name for f in extra)]
-    told = ", ".join(["", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
-    asked = cut(kept.mapInArrow(partial(_ask, names=names), f"block long, kind int, key long, z binary{told}"))
+    names = ["mean", "spread", "size", *(f.name for f in extra)]
+    told = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
     unseen = model.where("key = 0").select("p").first()
-    answers = asked.where("kind = 0").select("block", "kind", "key").join(model.where("key <> 0"), "key")
-    answers = answers.select("block", "kind", "key", F.lit(None).cast("binary").alias("z"), "p", "back", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    texts = asked.where("kind = 1").select("block", "kind", "key", "z", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("back"), *[F.col(f.name) for f in extra])
-    rows = answers.union(texts).repartition("block").sortWithinPartitions("block", "kind")
-    out = ["mean", "spread", "size", *(f.name for f in extra)]
-    return rows.mapInArrow(partial(_score, unseen=unseen.p if unseen else 1.0, names=out), f"mean double, spread double, size long{told}")
+    # the one shuffle of the texts: requests are read off it, and answers come to it
+    texts = kept.mapInArrow(_pack, "block long, z binary").repartition("block")
+    asked = texts.sortWithinPartitions("block").mapInArrow(_ask, "block long, key long")
+    answers = asked.join(model, "key").select("block", "key", "p", "back")
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if unseen and not (texts.num_rows and answers.num_rows):
+            raise RuntimeError("the input gave other rows when it was read again: write it first")
+        key, p, back = (answers.column(c).to_numpy() for c in ("key", "p", "back"))
+        found = Answers(key[key != 0].view(U64), p[key != 0].astype(float), back[key != 0].astype(float))
+        done = [_measured(docs, found, unseen.p if unseen else 1.0, names) for z in texts.column("z").to_pylist() for docs in _unpacked(z)]
+        give_back()
+        return pa.Table.from_batches(done)
+
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"mean double, spread double, size long{told}")
 
 
 def _judged(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, low: float, high: float) -> DataFrame:
