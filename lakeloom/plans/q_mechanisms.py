@@ -1,5 +1,5 @@
 """Registered queries of the bucketed keyed tables, exactly-once sinks, schema-less redaction, weight
-search, interval joins, lineage closure and stored sketches."""
+search, interval joins, lineage closure, stored sketches, indexed substring search and latency on streams."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from lakeloom.operators.quality import REDACTED
 from lakeloom.plans.q_writes import CDC_FEED_SQL, cdc_feed
 from lakeloom.plans.registry import register
 from lakeloom.session import scratch_path
+from lakeloom.operators.text_index import TextIndex
 from lakeloom.sources.derived import consumed, topic_messages, view
 from lakeloom.sources.tables import load
 
@@ -232,3 +233,58 @@ def q_rolled_up_users(s, d):
         return F.abs(x - exactly) <= SK.bound(exactly, of=of)
     return rows.select("event_type", "days", near(F.theta_sketch_estimate("theta"), F.col("n")).alias("theta_holds"), near(F.hll_sketch_estimate("hll"), F.col("n")).alias("hll_holds"),
                        near(shared, F.col("shared"), union).alias("shared_holds"), near(own, F.col("n") - F.col("shared"), union).alias("own_holds"))
+
+
+_PATTERNS = """
+select concat(form, '-', cast(n_nationkey as varchar)) as pattern_id,
+  case form when 'inner' then concat('_', cast(n_nationkey as varchar), '1', cast(n_nationkey as varchar))
+            when 'wild' then concat('E\\_', cast(n_nationkey as varchar), '%', cast(n_nationkey as varchar), '.C')
+            when 'one' then concat('\\_', cast(n_nationkey as varchar), '_.csv')
+            when 'whole' then concat('file\\_', cast(n_nationkey * 37 as varchar), '.CSV')
+            else concat(n_name, '%') end as pattern
+from nation cross join (values ('inner'), ('wild'), ('one'), ('whole'), ('none')) f(form)"""
+
+
+def search_patterns(s, d):
+    """Five patterns of each nation: literals, wildcards, escapes, mixed case, and names that no file has."""
+    k = F.col("n_nationkey").cast("string")
+    forms = {"inner": F.concat(F.lit("_"), k, F.lit("1"), k), "wild": F.concat(F.lit("E\\_"), k, F.lit("%"), k, F.lit(".C")),
+             "one": F.concat(F.lit("\\_"), k, F.lit("_.csv")), "whole": F.concat(F.lit("file\\_"), (F.col("n_nationkey") * 37).cast("string"), F.lit(".CSV")),
+             "none": F.concat("n_name", F.lit("%"))}
+    rows = F.array(*[F.struct(F.concat(F.lit(f"{name}-"), k).alias("pattern_id"), p.alias("pattern")) for name, p in forms.items()])
+    return load(s, d, "nation").select(F.inline(rows))
+
+
+@register("search_files_indexed", views=("fps",), extra={"patterns": _PATTERNS}, oracle="""
+select p.pattern_id, f.id, f.file_name, f.file_type from fps f join patterns p on f.file_name ilike concat('%', p.pattern, '%') escape '\\'""")
+def q_search_files_indexed(s, d):
+    """Many patterns at once by an index of pieces, every match of each."""
+    files = view(s, d, "fps").select("id", "file_name", "file_type")
+    return TextIndex.build(files, "file_name", scratch_path(s, "text_index")).search(search_patterns(s, d))
+
+
+@register("stream_latency", views=("topic_messages", "consumed"), oracle="""
+select c.topic, c.group_id, count(*) as messages, max(epoch_ms(c.consumed_at) - epoch_ms(m.ts)) as max_ms,
+  cast(sum(epoch_ms(c.consumed_at) - epoch_ms(m.ts)) as bigint) as total_ms, true as p50_holds, true as p95_holds, true as p99_holds
+from topic_messages m join consumed c on m.msg_id = c.msg_id group by 1, 2""")
+def q_stream_latency(s, d):
+    """T12 on streams: a stream-stream join into sketches, merged over all windows; each percentile's rank is checked against the exact latencies."""
+    from lakeloom.operators.topics import epoch_ms
+    from lakeloom.plans.q_streaming import events_stream
+    from lakeloom.streaming.latency import RANK_ERROR, read_latency, start_latency
+    from lakeloom.streaming.topics import event_time
+    made = event_time(events_stream(s, d), "ts").select(F.col("event_id").alias("msg_id"), "ts")
+    reads = event_time(events_stream(s, d), "ts").where("event_id % 10 < 8").select(
+        F.col("event_id").alias("msg_id"), F.col("event_type").alias("topic"), F.when(F.col("event_id") % 2 == 0, "group-a").otherwise("group-b").alias("group_id"),
+        F.expr("ts + (event_id % 50) * interval '1' second").alias("consumed_at"))
+    path, keys = scratch_path(s, "latency"), ["topic", "group_id"]
+    start_latency(made, reads, path, keys=keys).awaitTermination()
+    told = read_latency(s, path, keys).drop("sketch")
+    exact = consumed(s, d).join(topic_messages(s, d, with_offsets=False).select("msg_id", "ts"), "msg_id").withColumn("ms", F.round(epoch_ms("consumed_at") - epoch_ms("ts")).cast("long"))
+    counts = exact.groupBy(*keys, "ms").agg(F.count("*").alias("n")).join(told, keys)
+    holds = []
+    for p in (50, 95, 99):
+        below, upto = (F.sum(F.when(test, F.col("n")).otherwise(0)) for test in (F.col("ms") < F.col(f"p{p}_ms"), F.col("ms") <= F.col(f"p{p}_ms")))
+        total = F.sum("n")
+        holds.append(((below <= (p / 100 + RANK_ERROR) * total) & (upto >= (p / 100 - RANK_ERROR) * total)).alias(f"p{p}_holds"))
+    return counts.groupBy(*keys, "messages", "max_ms", F.round(F.col("avg_ms") * F.col("messages")).cast("long").alias("total_ms")).agg(*holds)
