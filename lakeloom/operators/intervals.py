@@ -54,7 +54,8 @@ def overlap_join(left: DataFrame, right: DataFrame, lo: str, hi: str, keys: Sequ
     def within(points: DataFrame, holders: DataFrame, side: str, other: str) -> DataFrame:
         p = points.select(side, *[f"__{k}" for k in keys], F.inline(point_blocks(F.col("__lo"), levels)), F.col("__lo").alias("__t"))
         h = holders.select(other, *[f"__{k}" for k in keys], F.inline(dyadic_blocks(F.col("__lo"), F.col("__hi"), levels)))
-        return p.join(h, on).select("l", "r")
+        # Catalyst's size of either side is that of the rows before they are cut into blocks, many times too small: never broadcast
+        return p.join(h.hint("merge"), on).select("l", "r")
     # a start of the right side in [lo, hi) of the left; a start of the left side in (lo, hi) of the right
     later = within(b, a, "r", "l")
     inside = b.withColumn("__lo", F.col("__lo") + 1).where("__lo < __hi")

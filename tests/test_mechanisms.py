@@ -340,6 +340,14 @@ def test_overlaps_equal_brute_force_and_pair_nothing_else(spark):
     assert IV.overlap_join(df.limit(0), df, "s", "e").collect() == []
 
 
+def test_overlaps_are_never_broadcast(spark):
+    # by its size before it is cut into blocks either side looks small enough
+    df = spark.range(50).selectExpr("id", "id % 3 as k", "id * 10 as s", "id * 10 + 5000 as e")
+    joined = IV.overlap_join(df, df, "s", "e", ["k"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_concurrency_equals_a_plain_sweep(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["a", "b", None]), lo, lo + rng.choice([0, 1, 50, 4000, 200_000]) if i % 11 else None) for i, lo in enumerate(rng.choice([7, rng.randrange(-3000, 400_000)]) for _ in range(400))]
