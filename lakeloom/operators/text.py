@@ -7,6 +7,8 @@ so it is an Arrow-batched pandas UDF around the stdlib parser.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,24 +16,37 @@ from pyspark.sql import types as T
 
 from lakeloom.functions.scalar import is_upper_text
 from lakeloom.functions.text import html_to_text, line_break_pattern, whitespace_chars, ws_class
+from lakeloom.llm.common import give_back
+from lakeloom.session import small_batches
 
 DEFAULT_SYSTEM_PROMPT = "You are a data assistant. Answer questions about the extracted tables."
 PAGE_BREAK = "\n---\n"
 
 
+#: Rows and bytes of pages that a parser is handed at once: a batch is held several times over, in every Python worker.
+PAGE_ROWS, PAGE_BYTES = 200, 1 << 22
+
+
+def _texts(batches: Iterator[pd.Series], separator: str, strip: bool) -> Iterator[pd.Series]:
+    for html in batches:
+        yield html.map(lambda h: html_to_text(h, separator, strip))
+    give_back()
+
+
 @F.pandas_udf(T.StringType())
-def html_text_udf(html: pd.Series) -> pd.Series:
+def html_text_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stripped text nodes joined by newlines."""
-    return html.map(lambda h: html_to_text(h, "\n", True))
+    return _texts(batches, "\n", True)
 
 
 @F.pandas_udf(T.StringType())
-def html_raw_text_udf(html: pd.Series) -> pd.Series:
+def html_raw_text_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Raw concatenation of text nodes."""
-    return html.map(lambda h: html_to_text(h, "", False))
+    return _texts(batches, "", False)
 
 
 def page_text(pages: DataFrame, raw: bool = False) -> DataFrame:
+    small_batches(pages.sparkSession, PAGE_ROWS, PAGE_BYTES)
     fn = html_raw_text_udf if raw else html_text_udf
     t = pages.select("page_id", "url", fn(F.col("html")).alias("text"))
     return t.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"),

@@ -83,6 +83,13 @@ def spread(df, min_partitions: int | None = None):
     return df.repartition(want) if have < want else df
 
 
+def small_batches(spark: SparkSession, rows: int, size: int) -> None:
+    """At most ``rows`` rows and about ``size`` bytes in a batch that Spark hands to Python.  Without a bound
+    on bytes a batch of long values grows with the input until it holds 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

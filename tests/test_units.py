@@ -120,6 +120,25 @@ def test_html_text_extraction():
     assert html_to_text(html, "", False) == "T Hello & bye \n  "
 
 
+@pytest.mark.parametrize("raw", [False, True])
+def test_pages_reach_python_in_batches_of_bounded_size(spark, raw):
+    bounds = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for name in bounds:
+        spark.conf.unset(name)
+    pages = spark.range(0, 300, 1, 1).selectExpr("id as page_id", "'u' as url", "if(id = 7, null, concat('<p>', repeat('ab ', 60000), '</p>')) as html")
+    got = X.page_text(pages, raw).agg(F.count("text"), F.count("*"), F.max("n_chars")).first()
+    assert tuple(got) == (299, 300, 180_000 if raw else 179_999)
+
+    @F.pandas_udf("long")
+    def held(html: pd.Series) -> pd.Series:
+        return pd.Series([int(html.str.len().sum())] * len(html))
+    try:
+        assert pages.select(held("html").alias("n")).agg(F.max("n")).first()[0] <= 2 * X.PAGE_BYTES
+    finally:
+        for name in bounds:
+            spark.conf.unset(name)
+
+
 def test_markdown_formatting(spark):
     text = "INTRO\n\n  Items:  \nplain line\nTHIS HEADING HAS WAY TOO MANY WORDS TO BE A HEADING AT ALL\n"
     r = spark.createDataFrame([(text,), ("   \n",)], "t string").select(X.text_to_markdown(F.col("t")).alias("m"))
