@@ -11,7 +11,8 @@ and ``dense_rank`` exact across chunk borders.  Each chunk is scanned locally
 keys), a summary of at most ``groups + chunks`` rows gives the carry-in from
 earlier chunks, and a join on the same ``(group, chunk)`` columns adds it
 back without shuffling the big side again.  Small inputs (by Catalyst's size
-estimate) use a plain window, which gives the same answer.
+estimate), and those of whose sample no key holds much more than a chunk, use a plain
+window, which gives the same answer and computes the input once instead of twice.
 
 The chunk id is a pure function of the row (a binary-search ``CASE`` tree
 over literal bounds), so both branches of the plan, and any task re-run after
@@ -22,6 +23,7 @@ expressions are ascending.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 _PID = "__chunk"
 SAMPLE_PER_CHUNK = 20               # sampled rows per chunk when picking bounds
+HOT = 1.5                           # even shares of the sample that one key holds before chunks pay
 # below this plan-size estimate, one chunk per group is cheap enough; setting
 # LAKELOOM_FORCE_CHUNKS=1 takes the large-input plans everywhere (for testing them)
 SMALL_INPUT_BYTES = 0 if os.environ.get("LAKELOOM_FORCE_CHUNKS") == "1" else 256 * 1024 * 1024
@@ -45,12 +48,13 @@ def _sort_key(keys: Sequence[str], order: Sequence[Column]) -> Column:
 
 def chunk_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[Column], num_chunks: int,
                  seed: int = 17) -> list:
-    """Up to ``num_chunks - 1`` ascending, distinct bounds of the composite sort key.
+    """Up to ``num_chunks - 1`` ascending, distinct bounds of the composite sort key; none
+    where no key holds ``HOT`` even shares of the rows.
 
     The decision and the sample fraction come from Catalyst's size estimate of
-    the input plan (no job); only a large input pays for sampling (a count of
-    the sample and its collection), and the driver sees about
-    ``SAMPLE_PER_CHUNK * num_chunks`` rows whatever the estimate was.
+    the input plan (no job); only a large input pays for sampling, one pass over
+    its key columns, and the driver sees at most ``4 * SAMPLE_PER_CHUNK * num_chunks``
+    rows whatever the estimate was.
     """
     est_bytes, est_rows = _estimate(df)
     if est_bytes <= SMALL_INPUT_BYTES or num_chunks <= 1:
@@ -58,14 +62,14 @@ def chunk_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nu
     want = SAMPLE_PER_CHUNK * num_chunks
     frac = min(1.0, want / max(est_rows, 1))
     key = _sort_key(keys, order).alias("__k")
-    sampled = df.select(key).sample(fraction=frac, seed=seed)
-    got = sampled.count()
-    if got > 4 * want:
-        # the size estimate was low: thin the sample so the driver sees ~want rows
-        sampled = sampled.sample(fraction=want / got, seed=seed + 1)
-    sample = [r["__k"] for r in sampled.orderBy("__k").collect()]
+    # where the size estimate was low, an even part of the sample is left
+    sampled = df.select(key).sample(fraction=frac, seed=seed).orderBy(F.rand(seed + 1)).limit(4 * want)
+    sample = sampled.agg(F.sort_array(F.collect_list("__k"))).first()[0]
     if not sample:
         return []
+    held = Counter(tuple(str(r[i]) for i in range(len(keys))) for r in sample)
+    if max(held.values()) < HOT * len(sample) / num_chunks:
+        return []
     bounds = []
     for i in range(1, num_chunks):
         b = sample[min(len(sample) - 1, i * len(sample) // num_chunks)]
@@ -123,7 +127,7 @@ def _chunk_expr(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bou
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
              num_chunks: int | None) -> DataFrame | None:
     """The input with a chunk column, or None when one chunk per group will do
-    (small input): callers then use a plain window, which gives the same answer."""
+    (small input, or no hot key): callers then use a plain window, which gives the same answer."""
     n = num_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = chunk_bounds(df, keys, order, n)
     if not bounds:

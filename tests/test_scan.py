@@ -141,3 +141,16 @@ def test_hot_key_spread_evenly_over_chunks(spark, monkeypatch):
     hot = [r["n"] for r in ranged.filter(F.col("k") == 0).groupBy(scan._PID).agg(F.count("*").alias("n")).collect()]
     assert len(hot) >= chunks // 2                     # the hot key spans many chunks
     assert max(sizes) <= 3 * n / chunks                # and no piece is much above an even share
+
+
+def test_large_input_without_hot_key_is_scanned_once(spark, monkeypatch):
+    """Chunks compute their input twice: many even keys do without, one hot key among them does not."""
+    _force_chunks(monkeypatch)
+    even = spark.range(0, 20000).select((F.col("id") % 500).alias("k"), F.col("id").alias("v"))
+    assert scan.chunk_bounds(even, ["k"], [F.col("v")], 8) == []
+    got = scan.carry_last(even, ["k"], [F.col("v")], {"x": F.when(F.col("v") % 3 == 0, F.col("v"))}, num_chunks=8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Range (") == 1
+    hot = even.union(spark.range(0, 20000).select(F.lit(7).cast("long"), F.col("id") + 20000))
+    assert sum(b["k0"] == 7 for b in scan.chunk_bounds(hot, ["k"], [F.col("v")], 8)) >= 3
+    assert len(scan.chunk_bounds(even, [], [F.col("v")], 8)) == 7
