@@ -413,8 +413,9 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, params: dict) -> DataF
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     whole = F.col(text_col).cast("string")
     size = F.when(whole.isNull(), F.lit(0)).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1)
-    # numbers of lines are distinct; those of another row of the same id may lie beyond this text
-    kept = F.when(F.col("__gone").isNull() | whole.isNull(), size).otherwise(size - F.size(F.filter("__gone", lambda i: i < size)))
+    # numbers of lines are distinct and sorted; those of another row of the same id may lie beyond this text
+    own = F.when(F.try_element_at("__gone", F.lit(-1)) < size, F.size("__gone")).otherwise(F.size(F.array_intersect("__gone", F.sequence(F.lit(0), size - 1))))
+    kept = F.when(F.col("__gone").isNull() | whole.isNull(), size).otherwise(size - own)
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], size.cast("long").alias("__before"), kept.cast("long").alias("__kept"))
 
 

@@ -550,3 +550,16 @@ def test_added_tokens_are_one_id(spark):
     rows = packing.pack(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()
     ended = [np.append(x, 1).astype("<u4") for x in ids]
     assert {(r.doc_id, r.ids_crc32, r.doc_tokens) for r in rows} == {(i, zlib.crc32(x.tobytes()), len(x)) for i, x in enumerate(ended)}
+
+
+def test_lines_of_a_text_are_counted_once(spark, monkeypatch):
+    rows = [(1, "a\nb\nc"), (1, "a"), (2, "x\ny"), (3, None), (3, "p\nq\n"), (4, ""), (5, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = spark.createDataFrame([(1, [0, 2]), (3, [2]), (5, [0])], "doc long, lines array<int>")
+    monkeypatch.setattr(line_dedup, "repeated_lines", lambda *a, **k: gone)
+    got = line_dedup.dedup_lines(docs)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, 3, 1, "b"), (1, 1, 0, ""), (2, 2, 2, "x\ny"), (3, 0, 0, None), (3, 3, 2, "p\nq"), (4, 1, 1, ""), (5, 1, 0, "")], key=str)
+    # no function of a line, run for each of them, looks through the whole text
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(" in plan and not any("replace(" in x for x in re.findall(r"lambdafunction\((.*?), lambda ", plan))
