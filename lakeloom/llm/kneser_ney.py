@@ -41,6 +41,8 @@ ORDER = 4
 LOW, HIGH, SLACK = 0.0005, 0.999, 1.5
 #: Characters of a block of documents, and of one vectorised pass.
 BLOCK, CHARS = 24_000_000, 250_000
+#: Characters of a pass that counts, which holds a table as well.
+COUNTED = 60_000
 #: Slots of a task's tables, as powers of two: of counts and answers, and of each table of strings asked for.
 SLOTS, ASKED = 19, 20
 #: Level at which the texts of a pass are compressed.
@@ -70,10 +72,10 @@ def keys_of(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]
     return out, at, n
 
 
-def _passes(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _passes(texts: list[str], limit: int = CHARS) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHARS:
+        if size and size + len(t) > limit:
             yield lo, i
             lo, size = i, 0
         size += len(t)
@@ -92,14 +94,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SLOTS, dtype=np.int64)
     names = [*(f"g{k}" for k in range(ORDER, 0, -1)), *(f"c{k}" for k in range(ORDER - 1, 0, -1)), "n"]
 
-    def told(rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(n), 50_000):
-            part = rows[lo: lo + 50_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, k]).view(np.int64)) for k in range(width)), pa.array(n[lo: lo + 50_000])], names)
+    def told(rows: np.ndarray, n: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(places), 50_000):
+            at = places[lo: lo + 50_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[at, k].view(np.int64)) for k in range(width)), pa.array(n[at])], names)
 
     for batch in batches:
         texts = [t for t in batch.column(0).to_pylist() if t]
-        for lo, hi in _passes(texts):
+        for lo, hi in _passes(texts, COUNTED):
             keys, at, _ = keys_of(texts[lo:hi])
             found, first, n = np.unique(keys[-1][at], return_index=True, return_counts=True)
             place = at[first]
@@ -110,9 +112,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[slot[free]] = rows[free]
             own = held[slot, 0] == found
             counts[slot[own]] += n[own]
-            yield from told(rows[~own], n[~own])
-    used = np.flatnonzero(counts)
-    yield from told(held[used], counts[used])
+            yield from told(rows, n, np.flatnonzero(~own))
+    # the table is told bit by bit: a copy would double it
+    yield from told(held, counts, np.flatnonzero(counts))
 
 
 def train(texts: DataFrame, text_col: str = "text") -> DataFrame:

@@ -563,3 +563,18 @@ def test_lines_of_a_text_are_counted_once(spark, monkeypatch):
     # no function of a line, run for each of them, looks through the whole text
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction(" in plan and not any("replace(" in x for x in re.findall(r"lambdafunction\((.*?), lambda ", plan))
+
+
+def test_counting_holds_little_beside_its_table():
+    import tracemalloc
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 137, 2000))) for _ in range(1500)]
+    batches = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    total = sum(int(np.sum(b.column(b.num_columns - 1).to_numpy())) for b in kneser_ney._count.__wrapped__(batches.slice(i, 200) for i in range(0, 1500, 200)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 1500 * 2000
+    table = (1 << kneser_ney.SLOTS) * 8 * 2 * kneser_ney.ORDER
+    assert peak < table * 1.7
