@@ -41,6 +41,10 @@ NUM, DEN = 8, 10
 REMEMBERED = 100_000
 #: Characters of lines that a part of a key holds, and bits of a line's bitmap.
 PART, BITS = 1 << 18, 1024
+#: Characters that one vectorised pass takes.
+PASS, MASK = 60_000, (1 << 64) - 1
+#: The bin that an empty one tries, by attempt.
+TRIES = (mix(np.arange(BANDS * ROWS, dtype=U64) * U64(1009) + np.arange(1, 200, dtype=U64)[:, None]) % U64(BANDS * ROWS)).astype(np.int64)
 
 
 def normal(line: str) -> str:
@@ -52,48 +56,67 @@ def class_of(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _passes(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of ``lines`` of fewer than PASS characters (a longer line is one of its own), whose arrays stay in a core's cache."""
+    lo, size = 0, 0
+    for i, x in enumerate(lines):
+        if i > lo and size + len(x) >= PASS:
+            yield lo, i
+            lo, size = i, 0
+        size += len(x)
+    if lo < len(lines):
+        yield lo, len(lines)
+
+
+def _windows(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(polynomial over ``width`` characters from each place on, places that begin a shingle, first place and length of every line).
+
+    A line's last ``width`` - 1 places reach into the next line; a line has one shingle at least."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64)
+    n = np.array([len(x) for x in lines], dtype=np.int64)
+    end = np.cumsum(n)
+    start = end - n
+    h, size, power = code.copy(), 1, 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        for bit in bin(width)[3:]:                                         # by doubling, then one more where the bit is set
+            h[:-size] = h[:-size] * U64(power) + h[size:]
+            size, power = 2 * size, power * power & MASK
+            if bit == "1":
+                h[:-size] = h[:-size] * U64(0x9E3779B97F4A7C15) + code[size:]
+                size, power = size + 1, power * 0x9E3779B97F4A7C15 & MASK
+    keep = np.ones(len(code), dtype=bool)
+    for k in range(1, width):
+        at = end - k
+        keep[at[at > start]] = False
+    return h, keep, start, n
+
+
 def signatures(lines: list[str], width: int = WIDTH) -> np.ndarray:
     """(len(lines), BANDS) band keys of non-empty lines."""
     bins = BANDS * ROWS
     out = np.empty((len(lines), BANDS), dtype=np.int64)
-    lo = 0
-    while lo < len(lines):
-        hi, size = lo, 0
-        while hi < len(lines) and (hi == lo or size + len(lines[hi]) < 150_000):
-            size += len(lines[hi])
-            hi += 1
-        code = np.frombuffer("".join(lines[lo:hi]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64)
-        n = np.array([len(x) for x in lines[lo:hi]])
-        with np.errstate(over="ignore"):
-            h = code.copy()
-            for k in range(1, min(width, len(code))):
-                h[:-k] = h[:-k] * U64(0x9E3779B97F4A7C15) + code[k:]
-            # the last width-1 starts of a line reach into the next one; a line has one shingle at least
-            start = np.concatenate([[0], np.cumsum(n)])[:-1]
-            line = np.repeat(np.arange(hi - lo), n)
-            keep = (np.arange(len(code)) - start[line]) <= np.maximum(n - width, 0)[line]
-            for i in np.flatnonzero(n < width):
-                h[start[i]] = char_shingles(lines[lo + i], width)[0]
-            h = mix(h[keep])
-            line = line[keep]
+    for lo, hi in _passes(lines):
+        h, keep, start, n = _windows(lines[lo:hi], width)
+        for i in np.flatnonzero(n < width):
+            h[start[i]] = char_shingles(lines[lo + i], width)[0]
+        h = mix(h[keep])
+        at = np.repeat(np.arange(hi - lo) * bins, np.maximum(n - width, 0) + 1)
+        at += ((h >> U64(40)) * U64(bins) >> U64(24)).view(np.int64)
+        h &= U64((1 << 40) - 1)
         top = np.full((hi - lo) * bins, np.iinfo(np.uint64).max, dtype=U64)
-        np.minimum.at(top, line * bins + ((h >> U64(40)) * U64(bins) >> U64(24)).astype(np.int64), h & U64((1 << 40) - 1))
-        top = top.reshape(-1, bins)
-        out[lo:hi] = _keys(_densify(top))
-        lo = hi
+        np.minimum.at(top, at, h)
+        out[lo:hi] = _keys(_densify(top.reshape(-1, bins)))
     return out
 
 
 def _densify(top: np.ndarray) -> np.ndarray:
     """Empty bins take the value of a pseudo-random bin, tried in an order fixed by bin and attempt."""
     none = U64(np.iinfo(np.uint64).max)
-    bins = top.shape[1]
     full = top.copy()
     r, c = np.nonzero(top == none)
-    for attempt in range(1, 200):
+    for other in TRIES:
         if not len(r):
             break
-        other = (mix(np.arange(bins, dtype=U64) * U64(1009) + U64(attempt)) % U64(bins)).astype(np.int64)
         found = top[r, other[c]]
         full[r, c] = found
         left = found == none
@@ -174,11 +197,14 @@ class _Held:
     def near(self, s: np.ndarray, bits: np.ndarray, num: int, den: int, root: int | None = None) -> np.ndarray:
         """Places of the sets, of other roots than ``root``, that the bounds leave."""
         n = len(self.ids)
+        # |A and B| <= (|A| + |B| - apart) / 2 must reach num / (num + den) of |A| + |B|; sizes and roots leave few bitmaps to look at
         total = self.sizes[:n] + len(s)
-        # |A and B| <= (|A| + |B| - apart) / 2 must reach num / (num + den) of |A| + |B|
-        apart = np.maximum(np.bitwise_count(self.maps[:n] ^ bits).sum(axis=1, dtype=np.int64), np.abs(self.sizes[:n] - len(s)))
-        fits = (total - apart) * (num + den) >= total * 2 * num
-        return np.flatnonzero(fits if root is None else fits & (self.roots[:n] != root))
+        fits = (total - np.abs(self.sizes[:n] - len(s))) * (num + den) >= total * 2 * num
+        at = np.flatnonzero(fits if root is None else fits & (self.roots[:n] != root))
+        if not len(at):
+            return at
+        apart = np.bitwise_count(self.maps[at] ^ bits).sum(axis=1, dtype=np.int64)
+        return at[(total[at] - apart) * (num + den) >= total[at] * 2 * num]
 
     def alike(self, s: np.ndarray, bits: np.ndarray, num: int, den: int) -> list[int]:
         return [self.ids[x] for x in self.near(s, bits, num, den) if _alike(s, self.sets[x], num, den)]
@@ -312,33 +338,20 @@ def _lines_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
 def _sets(width: int, lines: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every line, as ``char_shingles`` has them; hashed for many lines in one pass."""
-    out, lo = [], 0
-    while lo < len(lines):
-        hi, size = lo, 0
-        while hi < len(lines) and (hi == lo or size + len(lines[hi] or "") < 150_000):
-            size += len(lines[hi] or "")
-            hi += 1
-        out.extend(_sets_of([x or "" for x in lines[lo:hi]], width))
-        lo = hi
-    return out
+    lines = [x or "" for x in lines]
+    return [s for lo, hi in _passes(lines) for s in _sets_of(lines[lo:hi], width)]
 
 
 def _sets_of(lines: list[str], width: int) -> list[np.ndarray]:
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64)
-    n = np.array([len(x) for x in lines])
-    start = np.cumsum(n) - n
+    h, keep, start, n = _windows(lines, width)
     with np.errstate(over="ignore"):
-        h = code.copy()
-        for k in range(1, min(width, len(code))):
-            h[:-k] = h[:-k] * U64(0x9E3779B97F4A7C15) + code[k:]
         h = mix(h + U64(width))
     for i in np.flatnonzero((n > 0) & (n < width)):
         h[start[i]] = char_shingles(lines[i], width)[0]
-    line = np.repeat(np.arange(len(lines)), n)
-    # the last width-1 starts of a line reach into the next one; a line has one shingle at least
-    keep = (np.arange(len(code)) - start[line]) <= np.maximum(n - width, 0)[line]
-    h, line = h[keep], line[keep]
-    edge = np.searchsorted(line, np.arange(len(lines) + 1))
+    h = h[keep]
+    count = np.where(n > 0, np.maximum(n - width, 0) + 1, 0)
+    edge = np.concatenate([[0], np.cumsum(count)])
+    line = np.repeat(np.arange(len(lines)), count)
     for a, b in zip(edge[:-1], edge[1:]):
         h[a:b].sort()
     new = np.ones(len(h), dtype=bool)
@@ -348,7 +361,7 @@ def _sets_of(lines: list[str], width: int) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
 
-def _missed(texts: DataFrame, classes: DataFrame, led: DataFrame, alone: DataFrame, links: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _missed(lines: DataFrame, led: DataFrame, alone: DataFrame, links: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links of members that share a key and that ``links`` leave in different components.
 
     Of a key only the members beside its lead (``led``) count: each was compared with the lead.  A key
@@ -360,22 +373,29 @@ def _missed(texts: DataFrame, classes: DataFrame, led: DataFrame, alone: DataFra
     members = cut(members.join(several, "key"))
     if not members.limit(1).count():
         return links.limit(0)
-    ids = members.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    return cut(_across(members, _lines_of(texts, classes, ids), width, num, den))
+    return cut(_across(members, lines, width, num, den))
+
+
+def _led(lines: DataFrame) -> DataFrame:
+    """(key, lead, cid) of every class beside the lead, the smallest, of a key; a class signed by several tasks counts once."""
+    keyed = lines.where("keys is not null").select("cid", F.explode("keys").alias("key"))
+    led = keyed.withColumn("lead", F.min("cid").over(Window.partitionBy("key"))).where("cid <> lead")
+    return cut(led.select("key", "lead", "cid").distinct())
 
 
 def _led_links(texts: DataFrame, classes: DataFrame, led: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect all alike classes that share a key; ``led``: (key, lead, cid) of all but the leads."""
     pairs = cut(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
-    tested = cut(verified(pairs, _lines_of(texts, classes, pairs), partial(_sets, width)))
+    lines = cut(_lines_of(texts, classes, pairs))                          # for every step below: the texts are read once
+    tested = cut(verified(pairs, lines, partial(_sets, width)))
     links = tested.where(F.col("inter") * den >= (F.col("na") + F.col("nb") - F.col("inter")) * num).select("a", "b")
     # those that failed elect leaders among themselves, key by key, in one stream
     alone = cut(led.join(links.toDF("lead", "cid"), ["lead", "cid"], "left_anti").select("key", "cid"))
     left = cut(alone.join(alone.groupBy("key").count().where("count > 1").select("key"), "key"))
     if left.limit(1).count():
-        links = links.union(_elect(left, _lines_of(texts, classes, left.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), width, num, den))
+        links = links.union(_elect(left, lines, width, num, den))
     links = cut(links)
-    return links.union(_missed(texts, classes, led, alone, links, width, num, den))
+    return links.union(_missed(lines, led, alone, links, width, num, den))
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -386,13 +406,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lines = cut(texts.mapInArrow(partial(_scan, width=width, min_words=min_words), "doc long, line int, cid long, keys array<long>"))
     classes = cut(lines.groupBy("cid").agg(F.min(F.struct("doc", "line")).alias("owner"), F.count("*").alias("n")))
 
-    # keys that two classes share; a class signed by several tasks counts once
-    keyed = lines.where("keys is not null").select("cid", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
-    shared = keyed.select("cid", "key", F.min("cid").over(w).alias("lead"), F.max("cid").over(w).alias("last"))
-    shared = cut(shared.where("lead <> last").select("key", "cid").distinct())
-    led = shared.withColumn("lead", F.min("cid").over(w)).where("cid <> lead")
-    links = _led_links(texts, classes, led, width, num, den)
+    links = _led_links(texts, classes, _led(lines), width, num, den)
     roots = components(links)
 
     kept = classes.where("n > 1").select("cid", F.col("owner").alias("keep"))
@@ -407,12 +421,14 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def _deduped(docs: DataFrame, id_col: str, text_col: str, params: dict) -> DataFrame:
     """``docs`` with its texts' kept lines, ``__before`` and ``__kept``."""
     gone = cut(repeated_lines(docs, id_col=id_col, text_col=text_col, **params)).toDF("__doc", "__gone")
+    whole = F.col(text_col).cast("string")
+    parts = F.split(whole, "\n", -1)
+    # a column of its own, so that a text's lines are counted once, not wherever their number stands
     rows = docs.join(bounded(gone), F.col(id_col).cast("long") == F.col("__doc"), "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
+    rows = rows.select("*", F.when(whole.isNull(), F.lit(0)).otherwise(F.size(parts)).alias("__before"))
     left = F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    whole = F.col(text_col).cast("string")
-    size = F.when(whole.isNull(), F.lit(0)).otherwise(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1)
+    size = F.col("__before")
     # numbers of lines are distinct and sorted; those of another row of the same id may lie beyond this text
     own = F.when(F.try_element_at("__gone", F.lit(-1)) < size, F.size("__gone")).otherwise(F.size(F.array_intersect("__gone", F.sequence(F.lit(0), size - 1))))
     kept = F.when(F.col("__gone").isNull() | whole.isNull(), size).otherwise(size - own)

@@ -578,3 +578,43 @@ def test_counting_holds_little_beside_its_table():
     assert total == 1500 * 2000
     table = (1 << kneser_ney.SLOTS) * 8 * 2 * kneser_ney.ORDER
     assert peak < table * 1.7
+
+
+def test_lines_are_counted_in_one_place(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "repeated_lines", lambda *a, **k: spark.createDataFrame([(1, [0])], "doc long, lines array<int>"))
+    got = line_dedup.dedup_lines(docs)
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, "b"), (2, 0, 0, None)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("size(split(") == 1 and "replace(" not in plan
+
+
+def test_texts_are_read_once_for_all_comparisons(spark, monkeypatch):
+    """The lead's pairs, the leaders and the pairs they missed all take their lines from one read."""
+    a = "the quick brown fox jumps over the lazy dog near the old river bank at dawn while the miller sleeps"
+    lines = ["something else altogether, which is like none of the others in any way", a, a.replace("lazy", "laxy"), a.replace("quick", "quack"), "ab"]
+    lines.sort(key=line_dedup.class_of)
+    ids = [line_dedup.class_of(x) for x in lines]
+    texts = spark.createDataFrame([(7, "\n".join(lines))], "doc long, text string")
+    classes = spark.createDataFrame([(c, (7, i)) for i, c in enumerate(ids)], "cid long, owner struct<doc long, line int>")
+    scanned = spark.createDataFrame([(c, [1, 100 + i]) for i, c in enumerate(ids)] + [(ids[0], [1, 100]), (ids[2], None)], "cid long, keys array<long>")
+    led = line_dedup._led(scanned)
+    assert sorted(map(tuple, led.collect())) == [(1, ids[0], c) for c in ids[1:]]
+    read = []
+    inner = line_dedup._lines_of
+    monkeypatch.setattr(line_dedup, "_lines_of", lambda *x: read.append(1) or inner(*x))
+    links = line_dedup._led_links(texts, classes, led, 9, 8, 10)
+    root = {r.id: r.root for r in line_dedup.components(links).collect()}
+    near = {c for c, x in zip(ids, lines) if x.startswith("the qu")}
+    assert set(root) == near and len(set(root.values())) == 1
+    assert len(read) == 1
+
+
+def test_signatures_are_those_of_single_lines():
+    rnd = random.Random(4)
+    lines = ["".join(rnd.choice("abc d日") for _ in range(rnd.choice([1, 2, 8, 9, 10, 40]))) for _ in range(60)] + ["y" * 70_000, "\ud800abc"]
+    for width in (1, 2, 5, 9, 12):
+        for at, s in enumerate(line_dedup._sets(width, lines + ["", None])[:-2]):
+            assert np.array_equal(s, np.unique(line_dedup.char_shingles(lines[at], width)))
+        assert np.array_equal(line_dedup.signatures(lines, width), np.concatenate([line_dedup.signatures([x], width) for x in lines]))
+        assert [len(s) for s in line_dedup._sets(width, ["", None])] == [0, 0]
